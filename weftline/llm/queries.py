@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.llm.decontamination import decontaminate
+from weftline.llm.line_dedup import line_dedup
+from weftline.llm.mixing import mix_sources
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
 
@@ -45,3 +48,48 @@ def op1_substring_dedup(spark, sf_dir):
 def op10_suffix_array_dedup(spark, sf_dir):
     """Strings of 400 bytes that start elsewhere too are removed."""
     return suffix_dedup(table(spark, sf_dir, "documents"), k=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7|' || coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+s1 AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS goal FROM s0),
+s2 AS (SELECT *, (goal - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM s1 WINDOW w AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, max(CASE WHEN level * weight < cap THEN level END) OVER () AS final FROM s2),
+s AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(final * weight, cap::DOUBLE)) AS target FROM s3),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS passes FROM s),
+r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.passes, q.quota - q.passes * q.source_size - (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.m ROWS UNBOUNDED PRECEDING) - d.size) AS room FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, room)))::BIGINT AS taken FROM r""")
+def op2_mix_sources(spark, sf_dir):
+    """A mix of 150 % of all words, by weights 3, 1, 2."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 11, 2))) t(i) WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, ns, unnest(range(1, greatest(len(w) - n + 2, 1))) t(i)),
+hit AS (SELECT DISTINCT doc_id, n, i, item_id FROM dw JOIN bw USING (n, s)),
+pos AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hit, unnest(range(13)) t(o) WHERE o < n GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op3_decontamination(spark, sf_dir):
+    """Documents that hold 13-word windows of benchmark items."""
+    t = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return t.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, p, line, trim(line, E' \t\n\x0b\x0c\r') AS k FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)),
+k AS (SELECT *, translate(k, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.p, k.line, c.key IS NOT NULL AND k.doc_id < c.top AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""")
+def op6_line_dedup(spark, sf_dir):
+    """Lines of 40 code points that five documents hold stay in one."""
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")

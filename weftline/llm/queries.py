@@ -8,8 +8,10 @@ from weftline.llm.decontamination import decontaminate
 from weftline.llm.jaccard_join import jaccard_join
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.mixing import mix_sources
+from weftline.llm.quality_rules import quality_rules
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
+from weftline.llm.warc import archive_pages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +109,18 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d L
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Components of documents whose 5-word shingles have similarity 0.8."""
     return jaccard_join(table(spark, sf_dir, "documents"), n=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op7_quality_rules(spark, sf_dir):
+    """Base rules, then divergence from the language's histograms."""
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+def op8_warc(spark, sf_dir):
+    """Archives written and read back, through their merged capture index."""
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.llm import language_id, toxicity
 from weftline.llm.decontamination import decontaminate
 from weftline.llm.jaccard_join import jaccard_join
 from weftline.llm.line_dedup import line_dedup
@@ -124,3 +125,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 def op8_warc(spark, sf_dir):
     """Archives written and read back, through their merged capture index."""
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def remainder(k: int):
+    """crc32 of the id's text modulo k; null ids count as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % k
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of restored texts, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model, (remainder(5) == 0).alias("held_out"))
+
+
+@query()
+def op5_language_id(spark, sf_dir):
+    """Language by a byte network, learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, remainder(3) != 1)
+    return language_id.identify(docs, model, (remainder(3) == 1).alias("held_out"))

@@ -101,15 +101,18 @@ class LineRuns:
         return out.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("top").alias("top")).filter(F.col("n") >= min_docs).select("hi", "lo", "top")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` (lines kept), ``n_lines, n_dropped, kept_sha256``; ``docs`` goes through the runs in ``batches`` parts by id."""
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``text`` (lines kept), ``n_lines, n_dropped, kept_sha256``; ``docs`` goes through the runs in ``batches`` parts by id."""
     runs = LineRuns(docs.sparkSession, fanout)
     lines = c.store(line_hashes(docs, min_chars, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(batches))))
     for k in range(batches):
         runs.ingest(lines.filter(F.col("part") == k))
     common = c.store(runs.common(min_docs))
     drops = lines.join(common, ["hi", "lo"]).filter(F.col("_id") < F.col("top")).groupBy("_id", "_h").agg(F.collect_set(F.struct("hi", "lo")).alias("_keys"))
-    joined = c.keyed(docs, id_col, text_col).join(drops, ["_id", "_h"], "left").select("_id", "_h", "_text", "_keys")
+    own = [F.col(x).alias(f"_keep_{x}") for x in keep]
+    table = c.keyed(docs, id_col, text_col, *own)
+    fields = "".join(f", `{x.name}` {x.dataType.simpleString()}" for x in table.schema.fields[3:])
+    joined = table.join(drops, ["_id", "_h"], "left").select("_id", "_h", "_text", "_keys", *table.columns[3:])
 
     def finish(it):
         for batch in it:
@@ -123,7 +126,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
                 out = "\n".join(kept)
                 rows.append((out, len(lines), len(lines) - len(kept), hashlib.sha256(out.encode()).hexdigest()))
             text, n, dropped, sha = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=["_id", "_h", "text", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string()), *(batch.column(i) for i in range(4, batch.num_columns))], names=["_id", "_h", "text", "n_lines", "n_dropped", "kept_sha256", *table.columns[3:]])
 
-    done = joined.mapInArrow(finish, "_id long, _h long, text string, n_lines long, n_dropped long, kept_sha256 string")
-    return done.select(c.plain_id(), "_h", "text", "n_lines", "n_dropped", "kept_sha256")
+    done = joined.mapInArrow(finish, f"_id long, _h long, text string, n_lines long, n_dropped long, kept_sha256 string{fields}")
+    return done.select(c.plain_id(), *(F.col(f"_keep_{x}").alias(x) for x in keep), "text", "n_lines", "n_dropped", "kept_sha256")

@@ -111,8 +111,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     drops = lines.join(common, ["hi", "lo"]).filter(F.col("_id") < F.col("top")).groupBy("_id", "_h").agg(F.collect_set(F.struct("hi", "lo")).alias("_keys"))
     own = [F.col(x).alias(f"_keep_{x}") for x in keep]
     table = c.keyed(docs, id_col, text_col, *own)
+    more = table.columns[3:]
     fields = "".join(f", `{x.name}` {x.dataType.simpleString()}" for x in table.schema.fields[3:])
-    joined = table.join(drops, ["_id", "_h"], "left").select("_id", "_h", "_text", "_keys", *table.columns[3:])
+    joined = table.join(drops, ["_id", "_h"], "left").select("_id", "_h", "_text", "_keys", *more)
 
     def finish(it):
         for batch in it:
@@ -126,7 +127,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
                 out = "\n".join(kept)
                 rows.append((out, len(lines), len(lines) - len(kept), hashlib.sha256(out.encode()).hexdigest()))
             text, n, dropped, sha = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string()), *(batch.column(i) for i in range(4, batch.num_columns))], names=["_id", "_h", "text", "n_lines", "n_dropped", "kept_sha256", *table.columns[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string()), *(batch.column(i) for i in range(4, batch.num_columns))], names=["_id", "_h", "text", "n_lines", "n_dropped", "kept_sha256", *more])
 
     done = joined.mapInArrow(finish, f"_id long, _h long, text string, n_lines long, n_dropped long, kept_sha256 string{fields}")
     return done.select(c.plain_id(), *(F.col(f"_keep_{x}").alias(x) for x in keep), "text", "n_lines", "n_dropped", "kept_sha256")

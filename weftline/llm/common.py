@@ -193,6 +193,15 @@ def runs(marks: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 FIELDS = (("id", np.int64), ("h", np.int64), ("key", np.uint64), ("start", np.int32), ("windows", np.int32), ("length", np.int32), ("anchor", np.int32), ("flag", np.int8))
 
 
+def squeeze(body: bytes) -> bytes:
+    """Compressed, with its length in front."""
+    return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
+
+
+def spread(payload: bytes) -> bytes:
+    return pa.decompress(payload[8:], int(np.frombuffer(payload[:8], np.int64)[0]), codec="zstd", asbytes=True)
+
+
 class Blobs:
     """Packed strings on their way to buckets: gathered by bucket, compressed, and sent once a limit is reached."""
 
@@ -200,8 +209,9 @@ class Blobs:
         self.buckets, self.limit, self.size = buckets, limit, 0
         self.held: dict[int, list[tuple[list[np.ndarray], bytes]]] = {}
 
-    def add(self, columns: dict[str, np.ndarray], text: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = (mix(columns["key"]) % np.uint64(self.buckets)).astype(np.int64)
+    def add(self, key: np.ndarray, columns: dict[str, np.ndarray], text: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Strings ``text[a:b]`` for the buckets of their keys, with columns of FIELDS."""
+        bucket = (mix(key) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         raw = memoryview(text)
@@ -223,7 +233,7 @@ class Blobs:
         for k, parts in sorted(self.held.items()):
             columns = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)]
             body = b"".join([np.int64(len(columns[0])).tobytes(), *(c.tobytes() for c in columns), *(p[1] for p in parts)])
-            out.append((k, np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)))
+            out.append((k, squeeze(body)))
             size += len(out[-1][1])
             if size > 4 << 20:
                 yield self._batch(out)
@@ -245,7 +255,13 @@ SPANS_SQL = "_id long, _h long, s int, n int"
 
 
 def known(ids, hashes, s, n, buckets: int) -> pa.RecordBatch:
-    """Spans that are settled before the exchange; they travel spread by document."""
+    """Spans (in order) that are settled before the exchange, joined where one follows the other; they travel spread by document."""
+    s, n = np.asarray(s, np.int64), np.asarray(n, np.int64)
+    first = np.ones(len(s), bool)
+    first[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]) | (s[1:] != s[:-1] + n[:-1])
+    at = np.flatnonzero(first)
+    if len(at):
+        ids, hashes, s, n = ids[at], hashes[at], s[at], np.add.reduceat(n, at)
     k = len(ids)
     bucket = (mix(np.asarray(hashes).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32))], schema=MOVED)
@@ -256,7 +272,7 @@ def unpack(payloads: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
     columns: list[list[np.ndarray]] = []
     texts: list[bytes] = []
     for p in payloads:
-        body = pa.decompress(p[8:], int(np.frombuffer(p[:8], np.int64)[0]), codec="zstd", asbytes=True)
+        body = spread(p)
         n, at, row = int(np.frombuffer(body[:8], np.int64)[0]), 8, []
         for _, t in FIELDS:
             row.append(np.frombuffer(body, t, n, at))

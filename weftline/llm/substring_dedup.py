@@ -72,7 +72,7 @@ def _map(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int) -> Ite
         if rest.any():
             yield c.known(ids[rest], hs[rest], start[rest], count[rest], buckets)
         a, b = words.starts[first[keep]], words.ends[last[keep] - 1] + 1
-        yield from blobs.add({"id": ids[keep], "h": hs[keep], "key": key[keep], "start": start[keep], "windows": count[keep], "length": b - a}, words.norm, a, b)
+        yield from blobs.add(key[keep], {"id": ids[keep], "h": hs[keep], "start": start[keep], "windows": count[keep], "length": b - a}, words.norm, a, b)
     yield from blobs.flush()
 
 

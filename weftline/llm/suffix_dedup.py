@@ -61,7 +61,7 @@ def _map(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa
         if flag.any():
             yield c.known(ids[flag], hs[flag], start[flag], count[flag], buckets)
         keep = np.sort(order[~same])
-        yield from blobs.add({"id": ids[keep], "h": hs[keep], "key": grams[at[first[keep]]], "start": start[keep], "windows": count[keep], "length": (b - a)[keep], "anchor": at[first[keep]] - a[keep], "flag": flag[keep]}, chunk.data, a[keep], b[keep])
+        yield from blobs.add(grams[at[first[keep]]], {"id": ids[keep], "h": hs[keep], "key": grams[at[first[keep]]], "start": start[keep], "windows": count[keep], "length": (b - a)[keep], "anchor": at[first[keep]] - a[keep], "flag": flag[keep]}, chunk.data, a[keep], b[keep])
     yield from blobs.flush()
 
 

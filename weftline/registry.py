@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import basics
+from weftline.plans import basics, biology  # noqa: F401  biology registers its queries in basics
 
-FLAGSHIP = "q_flagship"
+FLAGSHIP = "j03_variant_exon_join"
 
 
 def queries() -> dict:

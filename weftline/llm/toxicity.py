@@ -241,8 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     if len(counts) < 2:
         return empty
     share = F.when(F.col("_label") == 1, F.lit(min(1.0, sample / 2 / counts[1]))).otherwise(F.lit(min(1.0, sample / 2 / counts[0])))
-    drawn = known.filter(F.pmod(F.xxhash64("_key", F.lit(13)), F.lit(1 << 20)) < share * (1 << 20))
-    chosen = c.store(rows.join(drawn, "_key").select(F.col("_label").cast("long").alias("_id"), F.xxhash64("_text").alias("_h"), "_text").repartition(8, "_h"))
+    place = F.pmod(F.xxhash64("_key", F.lit(13)), F.lit(1 << 20))
+    drawn = c.store(known.filter(place < share * (1 << 20)))
+    # ``sample`` rows in expectation, whatever the input: small enough to broadcast, and full texts stay where they are
+    chosen = c.store(rows.join(F.broadcast(drawn), "_key").select(F.col("_label").cast("long").alias("_id"), F.xxhash64("_text").alias("_h"), "_text").repartition(8, "_h"))
     chosen = chosen.dropDuplicates(["_h"])
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 

@@ -20,3 +20,17 @@ def reconstruction(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean squared error over all elements of two vector columns, and its share of the variance of ``a``."""
     t = df.select(F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("z")).select(F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
     return t.agg(F.avg((F.col("a") - F.col("b")) ** 2).alias("mse"), F.var_pop("a").alias("variance")).withColumn("explained", 1 - F.col("mse") / F.col("variance"))
+
+
+def average_ranks(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
+    """``group, value, out``: the mean rank of each distinct value, from counts of distinct values."""
+    t = df.groupBy(group, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return t.select(group, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(out))
+
+
+def spearman(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
+    """Rank correlation per group; ties take their mean rank, rows with a null stay out."""
+    t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
+    t = t.join(average_ranks(t, a, group, "_a"), [group, a]).join(average_ranks(t, b, group, "_b"), [group, b])
+    return t.groupBy(group).agg(F.corr("_a", "_b").alias("spearman"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import basics, biology  # noqa: F401  biology registers its queries in basics
+from weftline.plans import basics, biology, training  # noqa: F401  they register their queries in basics
 
 FLAGSHIP = "j03_variant_exon_join"
 

@@ -70,3 +70,17 @@ def test_strata_and_groups(spark):
 def test_spearman_with_ties(spark):
     t = spark.createDataFrame([("g", 1, 1), ("g", 2, 3), ("g", 2, 2), ("g", 3, 4), ("g", None, 9)], "g string, a int, b int")
     assert scores.spearman(t, "a", "b", "g").first().spearman == pytest.approx(0.9486832981)
+
+
+def test_pr_auc(spark):
+    t = spark.createDataFrame([("g", 3, 1), ("g", 2, 1), ("g", 2, 0), ("g", 1, 0), ("h", 1, 0)], "g string, s int, y int")
+    got = {r.g: r.pr_auc for r in scores.pr_auc(t, "s", "y", "g").collect()}
+    assert got == {"g": pytest.approx(0.5 + 0.5 * (1 + 2 / 3) / 2), "h": None}
+
+
+def test_draws(spark):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(10)], "i int, v string")
+    few, many = ({(r.draw, r.v) for r in packing.resampled(rows, "i", k, 1).collect()} for k in (20, 50))
+    assert len(few) == 20 and few < many
+    assert packing.resampled(rows.limit(0), "i", 5, 1).isEmpty()
+    assert {r["rank"] for r in packing.rank_shards(spark.range(100), "id", 4, 1).collect()} == {0, 1, 2, 3}

@@ -74,3 +74,17 @@ def length_stratified(df: DataFrame, key: str, size: str, n: int, bins: int, see
     rank = F.row_number().over(Window.partitionBy("bin").orderBy(roll(F.col(key), seed), key))
     t = t.withColumn("_r", rank).filter(F.col("_r") <= n // bins + 1)
     return t.filter(F.col("_r") <= F.lit(n // bins) + (F.col("bin") < n % bins).cast("int")).select("bin", key)
+
+
+def rank_shards(df: DataFrame, key: str, world: int, seed: int) -> DataFrame:
+    """Adds ``rank``: rows dealt to ``world`` readers by hash of their key."""
+    return df.withColumn("rank", F.floor(roll(F.col(key), seed) * world).cast("int"))
+
+
+def resampled(indexed: DataFrame, index: str, draws: int, seed: int) -> DataFrame:
+    """``draw`` and the columns of ``indexed``, whose ``index`` runs densely from 0: each draw takes the row that a hash of
+    (seed, draw) names, so a draw doesn't depend on how many others there are."""
+    n = indexed.agg(F.count("*").alias("_len"))
+    t = indexed.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).filter("_len > 0")
+    t = t.select("draw", F.floor(roll(F.col("draw"), seed) * F.col("_len")).cast("long").alias(index))
+    return t.join(indexed.withColumn(index, F.col(index).cast("long")), index)

@@ -34,3 +34,15 @@ def spearman(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
     t = t.join(average_ranks(t, a, group, "_a"), [group, a]).join(average_ranks(t, b, group, "_b"), [group, b])
     return t.groupBy(group).agg(F.corr("_a", "_b").alias("spearman"))
+
+
+def pr_auc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+    """Area under the precision-recall curve per group by trapezoids over distinct scores, from (recall 0, precision 1);
+    null without a positive."""
+    t = df.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    w = Window.partitionBy(group).orderBy(F.desc(score))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"tp": F.sum("p").over(run), "called": F.sum("n").over(run), "all": F.sum("p").over(Window.partitionBy(group))})
+    t = t.withColumn("precision", F.col("tp") / F.col("called"))
+    t = t.withColumn("area", F.col("p") * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2)
+    return t.groupBy(group).agg(F.when(F.max("all") > 0, F.sum("area") / F.max("all")).alias("pr_auc"))

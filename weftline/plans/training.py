@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import sequences as S
 from weftline.functions import tokens as T
-from weftline.operators import packing, scores
+from weftline.operators import matrix, packing, scores
 from weftline.plans.basics import query
 from weftline.plans.biology import AMINO, CODONS, ROLL, SEQS, acts, seqs, table
+from weftline.sources import records
 
 IDS = f"ids AS (SELECT doc_id, source, list_transform({CODONS}, lambda c: 5 + 16 * (instr('ACGT', c[1]) - 1) + 4 * (instr('ACGT', c[2]) - 1) + instr('ACGT', c[3]) - 1) AS ids FROM seqs)"
 TEXT = "array_to_string({}, ',')"
@@ -151,3 +152,39 @@ def t07_spearman(spark, sf_dir):
     """Rank correlation per fold, ties averaged."""
     t = scores.spearman(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", "o_orderpriority")
     return t.select(F.col("o_orderpriority").alias("fold"), F.round("spearman", 6).alias("spearman"))
+
+
+@query("WITH x AS (SELECT lang, n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), g AS (SELECT lang, s, sum(y)::BIGINT AS p, count(*) AS n FROM x GROUP BY ALL), c AS (SELECT lang, s, p, (sum(p) OVER w)::DOUBLE / sum(n) OVER w AS prec, sum(p) OVER (PARTITION BY lang) AS positives FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), a AS (SELECT *, p * (prec + coalesce(lag(prec) OVER (PARTITION BY lang ORDER BY s DESC), 1)) / 2 AS area FROM c) SELECT lang, CASE WHEN max(positives) > 0 THEN round(sum(area) / max(positives), 6) END AS pr_auc FROM a GROUP BY lang")
+def t05_pr_auc(spark, sf_dir):
+    """Area under precision and recall, per language."""
+    t = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("quality is not null")
+    return scores.pr_auc(t, "n_chars", "quality", "lang").withColumn("pr_auc", F.round("pr_auc", 6))
+
+
+@query(f"SELECT event_id, floor({ROLL.format(seed=2, key='event_id')} * 12)::INT AS rank FROM events")
+def r21_rank_shards(spark, sf_dir):
+    """Events dealt to twelve readers."""
+    return packing.rank_shards(table(spark, sf_dir, "events").select("event_id"), "event_id", 12, 2)
+
+
+@query(f"WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders), d AS (SELECT d AS draw, floor({ROLL.format(seed=6, key='d')} * (SELECT count(*) FROM orders))::BIGINT AS row_index FROM range(0, 5000) t(d)) SELECT draw, row_index, o_orderkey FROM d JOIN i USING (row_index)")
+def r10_resampled(spark, sf_dir):
+    """Five thousand draws of orders with replacement."""
+    rows = matrix.dense_index(table(spark, sf_dir, "orders"), "o_orderkey")
+    return packing.resampled(rows, "row_index", 5000, 6).select("draw", "row_index", "o_orderkey")
+
+
+@query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS ts, event_type AS metric, event_id % 1000 AS iteration, value AS reading FROM events WHERE value IS NOT NULL")
+def s23_metric_lines(spark, sf_dir):
+    """Log lines to metrics; the lines are written from the events."""
+    t = table(spark, sf_dir, "events").filter("value is not null")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" - INFO - "), "event_type", F.lit(" iteration="), (F.col("event_id") % 1000).cast("string"), F.lit(" value="), F.col("value").cast("string"))
+    return records.parse_metrics(t.select("event_id", line.alias("value")), keep=["event_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_suppkey % 90)::INT AS start, (l_suppkey % 90 + 1 + l_partkey % 9)::INT AS stop FROM lineitem")
+def p29_positions(spark, sf_dir):
+    """Position texts to half-open intervals; the texts are written from line items."""
+    t = table(spark, sf_dir, "lineitem")
+    text = F.concat(F.lit("<"), (F.col("l_suppkey") % 90 + 1).cast("string"), F.lit(".."), (F.col("l_suppkey") % 90 + 1 + F.col("l_partkey") % 9).cast("string"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", records.position(text).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "p.start", "p.stop")

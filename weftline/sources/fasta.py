@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def read_fasta(spark: SparkSession, path: str, min_length: int = 0, max_length: int = 0) -> DataFrame:
     """``seq_id, description, seq``: records are cut at ``>`` by the reader itself, so files are split as usual and gzip works."""
-    t = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    return fasta_records(spark.read.option("lineSep", ">").text(path), min_length, max_length)
+
+
+def fasta_records(records: DataFrame, min_length: int = 0, max_length: int = 0) -> DataFrame:
+    """The same of a table or stream of records already cut at ``>``."""
+    t = records.filter(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     t = t.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("seq_id"), F.trim(F.regexp_replace(head, r"^\s*\S*", "")).alias("description"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
     if min_length:

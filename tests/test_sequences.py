@@ -52,7 +52,7 @@ def test_interval_join_equals_brute_force(spark):
 
 def test_token_batches(spark):
     rows = [("a", i, 2) for i in range(5)] + [("a", 9, 50)]
-    got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), "lane", "i", "n", 4).collect()
+    got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), ["lane"], "i", "n", 4).collect()
     assert [r.batch for r in sorted(got, key=lambda r: r.i)] == [0, 0, 1, 1, 2]
 
 

@@ -36,9 +36,9 @@ def python_slice(seq: Column, start: int, stop: int) -> Column:
 
 
 def codons(seq: Column) -> Column:
-    """Consecutive 3-mers, upper-cased; the tail is dropped."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(F.upper(seq), i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Consecutive 3-mers, upper-cased; the tail is dropped. One match over the sequence: in a lambda over places, a derived
+    sequence would be computed again for each codon."""
+    return F.when(F.length(seq) > 2, F.regexp_extract_all(F.upper(seq), F.lit("(?s)..."), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def amino_acid(codon: Column) -> Column:
@@ -64,3 +64,20 @@ def window_count(length: Column, window: int, stride: int) -> Column:
 def sample_id(name: Column) -> Column:
     """``A__EXT-S1__C`` gives ``S1``."""
     return F.regexp_extract(name, r"__[^_]*-([^_]+)__", 1)
+
+
+def coding_change(text: Column) -> Column:
+    """Struct ``transcript, pos, ref, alt`` of ``T1:c.45A>G``, null for other texts."""
+    shape = r"^(?:([^:]*):)?c\.(\d+)([ACGT])>([ACGT])"
+    part = lambda k: F.regexp_extract(text, shape, k)
+    return F.when(text.rlike(shape), F.struct(F.nullif(part(1), F.lit("")).alias("transcript"), part(2).try_cast("int").alias("pos"), part(3).alias("ref"), part(4).alias("alt")))
+
+
+def gene_prefix(name: Column) -> Column:
+    """What stands before the first digit."""
+    return F.regexp_extract(name, r"^([^0-9]*)", 1)
+
+
+def bin_of(value: Column, scale: float, missing: int = -1000) -> Column:
+    """The value times ``scale``, truncated; ``missing`` for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value.cast("double")), missing).otherwise((value * scale).cast("int"))

@@ -71,11 +71,85 @@ def lineage_tag(levels: dict[str, Column], key: Column, seed: int, dropout: floa
 
 def inject_tag(seq: Column, tag: Column, spacing: int) -> Column:
     """The tag before each piece of ``spacing`` less its own length."""
-    step = F.lit(spacing) - F.length(tag)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), step)
-    return F.when(F.length(seq) > 0, F.array_join(F.transform(starts, lambda s: F.concat(tag, F.substring(seq, s + 1, step))), "")).otherwise("")
+    piece = F.concat(F.lit("(?s).{1,"), (F.lit(spacing) - F.length(tag)).cast("string"), F.lit("}"))
+    pieces = F.regexp_extract_all(seq, piece, F.lit(0))
+    return F.when(F.length(seq) > 0, F.concat(tag, F.call_function("array_join", pieces, tag))).otherwise("")
 
 
 def joined(ids: Column) -> Column:
     """An array as text, for digests and comparisons."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+# What counts as sequence in a tagged text (bases and degenerate bases in both cases, the gap, the split marks).
+SEQUENCE_CLASS = r"[-@#ACGTUWSMKRYBDHVNacgtuwsmkrybdhvn]"
+END = "\u0100"  # stands for an end token in texts; no byte has it
+
+
+def tag_mask(ids: Column, longest: int = 2048, end: int = 0) -> Column:
+    """1 on sequence, 0 on lineage tags, for codes of characters. Documents lie between end tokens, which stay on. In a document
+    the pieces between pipes are tags and sequence in turn; whether the first is a tag shows in what follows its pipe.
+    A piece of ``longest`` or more is no tag whatever its turn, and the next then is one. A document without a pipe goes
+    as a whole if it is shorter than that and has anything but sequence in it. Pipes, and what is no sequence, are off.
+    A lone token is off only if it is one of ``|_;`` and space."""
+    text = F.array_join(F.transform(ids, lambda x: F.when(x == end, F.lit(END)).when(x.between(1, 255), F.char(x.cast("long"))).otherwise("?")), "")
+    plain = lambda s: ~s.rlike(f"[^{SEQUENCE_CLASS[1:]}")
+    bits = lambda s, on: F.repeat(F.when(on, "1").otherwise("0"), F.length(s))
+
+    def document(s: Column) -> Column:
+        pieces = F.split(s, r"\|", -1)
+        head = F.get(pieces, F.lit(0))
+        rest = F.substring(s, F.length(head) + 2, F.length(s))
+        short = F.length(head) < longest
+        first_is_tag = (
+            F.when(F.length(rest) == 0, ~plain(head))
+            .when(F.length(rest) == 1, ~rest.rlike("^[DdRr;]"))
+            .otherwise(~rest.rlike("(?s)^(?:;|._)"))
+        )
+        start = F.struct(first_is_tag.alias("tag"), F.lit("").alias("out"))
+
+        def turn(state: Column, piece: Column) -> Column:
+            off = state["tag"] & (F.length(piece) < longest)
+            return F.struct((~off).alias("tag"), F.concat(state["out"], bits(piece, ~off), F.lit("0")).alias("out"))
+
+        walked = F.aggregate(pieces, start, turn)["out"]
+        closed = F.when(F.length(rest) == 0, F.concat(bits(head, ~(short & ~plain(head))), F.lit("0"))).otherwise(F.substring(walked, F.lit(1), F.length(s)))
+        return F.when(F.size(pieces) > 1, closed).otherwise(bits(s, ~(short & ~plain(s))))
+
+    mask = F.array_join(F.transform(F.split(text, END, -1), document), "1")
+    # Mask and text are zipped: inside a lambda they would be computed again for every token.
+    on = lambda m, c: F.when((c == END) | ((m == "1") & c.rlike(f"^{SEQUENCE_CLASS}$")), 1).otherwise(0)
+    sequence = F.zip_with(F.split(mask, ""), F.split(text, ""), on)
+    lone = F.array(F.when(F.char(F.get(ids, F.lit(0)).cast("long")).isin("|", "_", ";", " "), 0).otherwise(1))
+    return F.when(F.size(ids) == 0, F.array().cast("array<int>")).when(F.size(ids) == 1, lone).otherwise(sequence)
+
+
+def variant_input(ids: Column, place: Column, new: Column) -> Column:
+    """A framed row with the token of codon ``place`` (after CLS) replaced; a place beyond the tokens fails the job."""
+    inside = (place >= 0) & (place < F.size(ids) - 2)
+    at = place.cast("int") + 2
+    row = F.concat(F.slice(ids, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(new), F.slice(ids, F.greatest(at + 1, F.lit(1)), F.size(ids)))
+    return F.when(inside, row).otherwise(F.raise_error(F.lit("the variant lies outside its row")).cast("array<int>"))
+
+
+def control_name(name: Column) -> Column:
+    """``<ctrl_a>`` of an id ``A__rest``."""
+    return F.concat(F.lit("<ctrl_"), F.lower(F.split_part(name, F.lit("__"), F.lit(1))), F.lit(">"))
+
+
+def headed(ids: Column, head: list[int], tail: list[int], pad: int, context: int) -> Column:
+    """Head, tokens as room is left, tail, padding up to ``context``."""
+    room = context - len(head) - len(tail)
+    if room < 0:
+        raise ValueError("no room for tokens")
+    fixed = lambda v: F.array(*map(F.lit, v)).cast("array<int>")
+    body = F.slice(ids, 1, room)
+    return F.concat(fixed(head), body, fixed(tail), F.array_repeat(F.lit(pad), F.lit(room) - F.size(body)))
+
+
+def class_labels(labels: Column, classes: str, start: Column, stop: Column) -> Column:
+    """The class of each letter of ``labels`` in [start, stop), between two ignored places for special tokens; unknown letters are ignored."""
+    one = lambda x: F.when(F.instr(F.lit(classes), x) > 0, F.instr(F.lit(classes), x) - 1).otherwise(IGNORED)
+    part = F.substring(labels, start + 1, stop - start)
+    edge = F.array(F.lit(IGNORED))
+    return F.concat(edge, F.when(F.length(part) > 0, F.transform(F.split(part, ""), one)).otherwise(F.array().cast("array<int>")), edge)

@@ -58,3 +58,27 @@ def top_rows(acts: DataFrame, id_col: str, k: int) -> DataFrame:
     """The k largest positive rows of each feature, ties by id."""
     w = Window.partitionBy("feature").orderBy(F.desc("value"), id_col)
     return acts.filter("value > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def dense_rows(coo: DataFrame, row: str, col: str, value: str, width: int) -> DataFrame:
+    """``row, values``: arrays of ``width`` with zeros where nothing is stored; entries of one place add up, columns outside go."""
+    t = coo.filter(F.col(col).between(0, width - 1)).groupBy(row, F.col(col).cast("int").alias("_c")).agg(F.sum(value).alias("_v"))
+    t = t.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m"))
+    return t.select(row, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))).alias("values"))
+
+
+def lookup(wanted: DataFrame, coo: DataFrame, row: str, col: str, value: str, missing=None) -> DataFrame:
+    """``wanted`` with the stored value of each place, else ``missing``."""
+    return wanted.join(coo.select(row, col, value), [row, col], "left").withColumn(value, F.coalesce(F.col(value), F.lit(missing)))
+
+
+def block_bounds(blocks: DataFrame, block: str, rows: str) -> DataFrame:
+    """``block, start, stop`` of rows that are numbered on through the blocks; there are as many rows here as blocks."""
+    w = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("stop", F.sum(rows).over(w)).select(block, (F.col("stop") - F.col(rows)).alias("start"), "stop")
+
+
+def near_maximum(values: DataFrame, row: str, place: str, value: str, reach: int, out: str) -> DataFrame:
+    """Adds the maximum of the values within ``reach`` places of the same row."""
+    w = Window.partitionBy(row).orderBy(place).rowsBetween(-reach, reach)
+    return values.withColumn(out, F.max(value).over(w))

@@ -24,18 +24,30 @@ def weighted_split(df: DataFrame, key: Column, weights: dict[str, float], seed:
     return df.withColumn("split", out.otherwise(name))
 
 
+def hash_positions(df: DataFrame, group: list[str], key: str, seed: int, blocks: int = 256) -> DataFrame:
+    """Adds ``_pos``, the place from 0 of a row in its group by (roll, key), and ``_total``, the group's size. Counts of blocks of
+    the hash range give each block its first place, and rows are ranked only inside a block, so a hot group is spread."""
+    r = roll(F.col(key), seed)
+    t = df.withColumns({"_r": r, "_b": F.floor(r * blocks)})
+    w = Window.partitionBy(*(f"_g{i}" for i in range(len(group))))
+    n = t.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    n = n.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(w)})
+    same = F.col("_b") == F.col("_c")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    t = t.join(n, same).withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_r", key)) - 1)
+    return t.drop("_r", "_b", "_c", "_n", "_before", *(f"_g{i}" for i in range(len(group))))
+
+
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, seed: int) -> DataFrame:
     """ceil(fraction * size) rows of each stratum, in order of their roll."""
-    w = Window.partitionBy(stratum)
-    t = df.withColumns({"_r": F.row_number().over(w.orderBy(roll(F.col(key), seed), key)), "_n": F.count("*").over(w)})
-    return t.filter(F.col("_r") <= F.ceil(F.col("_n") * fraction)).drop("_r", "_n")
+    return hash_positions(df, [stratum], key, seed).filter(F.col("_pos") < F.ceil(F.col("_total") * fraction)).drop("_pos", "_total")
 
 
 def class_balanced(df: DataFrame, label: str, key: str, fraction: float, seed: int) -> DataFrame:
     """ceil(fraction * smallest class) rows of every class."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.ceil(F.min("n") * fraction).alias("_k"))
-    w = Window.partitionBy(label).orderBy(roll(F.col(key), seed), key)
-    return df.withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    return hash_positions(df, [label], key, seed).crossJoin(F.broadcast(least)).filter(F.col("_pos") < F.col("_k")).drop("_pos", "_total", "_k")
 
 
 def size_bucket(size: Column, bounds: list[int]) -> Column:
@@ -46,9 +58,9 @@ def size_bucket(size: Column, bounds: list[int]) -> Column:
     return out
 
 
-def token_batches(items: DataFrame, lane: str, order: str, size: str, budget: int) -> DataFrame:
+def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budget: int) -> DataFrame:
     """``lane, order, size, batch``: greedy batches of up to ``budget`` in each lane, in order; larger items are skipped.
-    The only order-dependent step; lanes are the unit of parallelism."""
+    The only order-dependent step; a lane is held by one task, so lanes are to be stretches of bounded size."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[size] <= budget].sort_values([order])
@@ -60,4 +72,5 @@ def token_batches(items: DataFrame, lane: str, order: str, size: str, budget: in
             out.append(batch)
         return pdf.assign(batch=out)
 
-    return items.select(lane, order, size).groupBy(lane).applyInPandas(work, items.select(lane, order, size).schema.simpleString()[7:-1].replace(":", " ") + ", batch int")
+    rows = items.select(*lane, order, size)
+    return rows.groupBy(*lane).applyInPandas(work, rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch int")

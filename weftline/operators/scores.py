@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,46 @@ def pr_auc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
     t = t.withColumn("precision", F.col("tp") / F.col("called"))
     t = t.withColumn("area", F.col("p") * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2)
     return t.groupBy(group).agg(F.when(F.max("all") > 0, F.sum("area") / F.max("all")).alias("pr_auc"))
+
+
+def log_probability(logits: Column, target: Column) -> Column:
+    """The log-softmax of an array of logits at the zero-based ``target``, in one pass with a running maximum."""
+    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("sum"))
+
+    def add(s: Column, v: Column) -> Column:
+        top = F.greatest(s["top"], v.cast("double"))
+        return F.struct(top.alias("top"), (s["sum"] * F.exp(s["top"] - top) + F.exp(v.cast("double") - top)).alias("sum"))
+
+    return F.get(logits, target).cast("double") - F.aggregate(logits, start, add, lambda s: s["top"] + F.log(s["sum"]))
+
+
+def token_losses(df: DataFrame, group: str, logp: str) -> DataFrame:
+    """``group, tokens, cross_entropy, perplexity`` of token log-probabilities; nulls are masked tokens."""
+    t = df.groupBy(group).agg(F.count(logp).alias("tokens"), F.avg(-F.col(logp)).alias("cross_entropy"))
+    return t.withColumn("perplexity", F.exp("cross_entropy"))
+
+
+def loss_recovered(original: Column, patched: Column, zeroed: Column) -> Column:
+    """The share of a loss gap that a patched run wins back."""
+    return 1 - (patched - original) / (zeroed - original + 1e-8)
+
+
+def token_accuracy(df: DataFrame, logits: str, label: str, ignored: int = -100) -> DataFrame:
+    """``tokens, accuracy``: how often the first largest logit is the label; ignored and null labels don't count."""
+    hit = F.array_position(logits, F.array_max(logits)) - 1 == F.col(label)
+    return df.filter(F.col(label) != ignored).agg(F.count("*").alias("tokens"), F.avg(hit.cast("double")).alias("accuracy"))
+
+
+def product(a: DataFrame, b: DataFrame, on: str, row: str, col: str, value: str) -> DataFrame:
+    """``row, col, score`` of two matrices in long form: ``a`` has ``row, on, value``, ``b`` has ``col, on, value``."""
+    t = a.select(row, on, F.col(value).alias("_a")).join(b.select(col, on, F.col(value).alias("_b")), on)
+    return t.groupBy(row, col).agg(F.sum(F.col("_a") * F.col("_b")).alias("score"))
+
+
+def extremes(scores: DataFrame, row: str, col: str, k: int) -> DataFrame:
+    """The ``k`` highest (``side`` top) and lowest (bottom) columns of each row, with ``rank``; ties by column."""
+    sides = []
+    for side, order in (("top", F.desc("score")), ("bottom", F.asc("score"))):
+        w = Window.partitionBy(row).orderBy(order, col)
+        sides.append(scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("side", F.lit(side)))
+    return sides[0].unionByName(sides[1])

@@ -132,9 +132,9 @@ def i11_size_buckets(spark, sf_dir):
 
 @query()
 def i13_token_batches(spark, sf_dir):
-    """Greedy batches of 4000 bases in each source."""
-    t = seqs(spark, sf_dir).select("source", "doc_id", F.length("seq").alias("n"))
-    return sampling.token_batches(t, "source", "doc_id", "n", 4000)
+    """Greedy batches of 4000 bases in each source's stretches of 1000 ids."""
+    t = seqs(spark, sf_dir).select("source", F.floor(F.col("doc_id") / 1000).alias("stretch"), "doc_id", F.length("seq").alias("n"))
+    return sampling.token_batches(t, ["source", "stretch"], "doc_id", "n", 4000)
 
 
 @query(f"WITH {VARIANTS}, {EXONS} SELECT event_id, tx, pos, s, e FROM variants JOIN exons USING (chrom) WHERE pos >= s AND pos < e")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -205,7 +206,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "s.txt").write_text("1ABC\n3\nM K L\nH . E\n\n2XYZ\n1\nA\nC\n")
     path = f"file://{tmp_path}/s.txt"
     assert sorted(map(tuple, tables.read_structures(spark, path).collect())) == [("1ABC", "MKL", "H~E"), ("2XYZ", "A", "C")]
-    assert tables.checksums(spark, path).first().length == 32
+    assert tables.checksums(spark, path).first().sha256 == hashlib.sha256((tmp_path / "s.txt").read_bytes()).hexdigest()
     (tmp_path / "b.csv").write_text("id,value,ref_seq,split\na,1.5,AUG,train\nb,x,GUU,test\n")
     assert [tuple(r) for r in tables.read_benchmark(spark, f"file://{tmp_path}/b.csv", "test").collect()] == [("b", None, "GTT", "test")]
     with pytest.raises(ValueError, match="no column z"):

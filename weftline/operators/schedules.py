@@ -16,13 +16,16 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
     and no index has to walk. An index outside [0, n) gives null."""
     n = n.cast("long")
 
+    def drawn(r: Column) -> Column:
+        name = F.concat_ws("|", key, r.cast("string"))
+        return F.struct(name.alias("name"), (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") % n).alias("k"))
+
     def one(x: Column, r: Column) -> Column:
-        k = F.conv(F.substring(F.md5(F.concat_ws("|", key, r.cast("string"))), 1, 13), 16, 10).cast("long")
-        other = F.pmod(k % n - x, n)
-        bit = F.substring(F.md5(F.concat_ws("|", key, r.cast("string"), F.greatest(x, other).cast("string"))), 1, 1) >= "8"
+        other = F.pmod(r["k"] - x, n)
+        bit = F.substring(F.md5(F.concat_ws("|", r["name"], F.greatest(x, other).cast("string"))), 1, 1) >= "8"
         return F.when(bit, other).otherwise(x)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), index.cast("long"), one)
+    walked = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), drawn), index.cast("long"), one)
     return F.when((index >= 0) & (index < n), walked)
 
 

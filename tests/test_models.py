@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import pytest
@@ -7,9 +8,12 @@ from pyspark.sql import functions as F
 from weftline.functions import sequences as S
 from weftline.functions import tokens as T
 from weftline.operators import batches, enrichment, genome, graph, matrix, sampling, schedules, scores
+from weftline.plans import basics, biology, models
 from weftline.sources import tables
 from weftline.streaming import packing_stream
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
@@ -151,6 +155,30 @@ def test_regions_and_windows(spark):
     assert {r.i: r.ref for r in genome.reference_base(v, chunks, "c", "p", 16).collect()} == {0: g[0], 3: g[3], 50: g[50], 99: g[99], 100: None}
 
 
+def test_whole_sequences_reach_the_genome(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 3, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 7, 40, 300])))) for i in range(60)] + [(9, 0, "ACGTACGT"), (61, 1, None)]
+    got = genome.contig_chunks(spark.createDataFrame(rows, "i long, c int, seq string"), "c", "i", "seq", 16, block=8).collect()
+    for k in range(3):
+        whole = "".join(q for _, c, q in sorted((r for r in rows if r[2]), key=lambda r: (r[0], r[2])) if c == k)
+        assert {r.chunk_no: r.seq for r in got if r.c == k} == {at // 16: whole[at : at + 16] for at in range(0, len(whole), 16)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_whole_queries_use_every_base_and_codon(spark):
+    bases = biology.seqs(spark, SF).select(F.length("seq").alias("n"), F.floor(F.length("seq") / 3).alias("codons"))
+    n, codons, longest = bases.agg(F.sum("n"), F.sum("codons"), F.max("codons")).first()
+    assert longest > 126
+    whole, sizes = models.whole_genome(spark, SF)
+    assert whole.agg(F.sum(F.length("seq"))).first()[0] == sizes.agg(F.sum("n")).first()[0] == n
+    tokens = lambda name: basics.QUERIES[name](spark, SF).agg(F.sum(F.size(F.array_remove(F.split("ids", ","), "3")))).first()[0]
+    rows = {name: basics.QUERIES[name](spark, SF).count() for name in ("m04_variant_input_whole", "p16_control_tags_whole")}
+    assert tokens("m04_variant_input_whole") == codons + 2 * rows["m04_variant_input_whole"]
+    assert tokens("p16_control_tags_whole") == codons + 4 * rows["p16_control_tags_whole"]
+    places = basics.QUERIES["j18_reference_base_whole"](spark, SF)
+    assert places.join(sizes, "chrom").filter(F.col("pos") > F.col("n") * 0.9).count() > 0
+
+
 def test_covered_length(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(4), s := rng.randrange(60), s + rng.choice([0, 1, 4, 30])) for _ in range(60)]

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from weftline.functions import sequences as S
 
 
+def contig_chunks(sequences: DataFrame, contig: str, order: str, seq: str, size: int, block: int = 1024) -> DataFrame:
+    """``contig, chunk_no, seq``: the whole sequences of each contig, end to end by ``order`` (a number; ties by sequence), in chunks of
+    ``size`` bases; only a contig's last chunk may be shorter. Where a sequence begins is the sum of the blocks of ``block``
+    orders before its own and a running sum inside the block, so no task numbers a whole contig."""
+    n = F.length(seq).cast("long")
+    t = sequences.filter(n > 0).select(contig, F.col(order).alias("_o"), F.col(seq).alias("_q"), n.alias("_n"), F.floor(F.col(order) / block).alias("_block"))
+    before = Window.partitionBy(contig).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy(contig, "_block").agg(F.sum("_n").alias("_sum")).withColumn("_at", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    w = Window.partitionBy(contig, "_block").orderBy("_o", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_to", F.sum("_n").over(w)).join(blocks, [contig, "_block"])
+    t = t.withColumn("_from", F.col("_at") + F.col("_to") - F.col("_n"))
+    t = t.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_from") + F.col("_n") - 1) / size))))
+    first = F.greatest(F.col("chunk_no") * size - F.col("_from"), F.lit(0))
+    piece = F.substring(F.col("_q"), (first + 1).cast("int"), ((F.col("chunk_no") + 1) * size - F.col("_from") - first).cast("int"))
+    t = t.select(contig, "chunk_no", F.struct("_from", piece.alias("p")).alias("_p"))
+    return t.groupBy(contig, "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["p"]), "").alias(seq))
+
+
 def read_regions(regions: DataFrame, chunks: DataFrame, keys: list[str], contig: str, start: str, end: str, size: int, out: str = "seq") -> DataFrame:
     """``keys, out``: bases [start, end) of each region, clamped to the contig. ``chunks`` has ``contig, chunk_no, seq`` with
     ``size`` bases in every chunk but a contig's last; ``keys`` name a region. An equi-join on (contig, chunk): a long

@@ -16,6 +16,10 @@ from weftline.sources import tables
 SIZE = 256
 CHUNKS = f"chunks AS (SELECT doc_id % 25 AS chrom, doc_id // 25 AS chunk_no, substr(seq || repeat('ACGT', 64), 1, {SIZE}) AS seq FROM seqs), genome AS (SELECT chrom, string_agg(seq, '' ORDER BY chunk_no) AS g FROM chunks GROUP BY chrom)"
 
+WHOLE = "genome AS (SELECT chrom, string_agg(seq, '' ORDER BY doc_id, seq) AS g, sum(length(seq))::BIGINT AS n FROM (SELECT doc_id, doc_id % 25 AS chrom, seq FROM seqs WHERE length(seq) > 0) GROUP BY chrom)"
+WHOLE_VARIANTS = "wide AS (SELECT event_id, user_id % 25 AS chrom, event_id * 7919 % (coalesce(n, 0) + 1) AS pos, event_id % 4 AS alt FROM events LEFT JOIN genome ON chrom = user_id % 25)"
+WHOLE_EXONS = "wide AS (SELECT tx, exons.chrom AS chrom, (tx * 7919 + s) % (coalesce(n, 0) + 1) AS s, (tx * 7919 + s) % (coalesce(n, 0) + 1) + e - s AS e FROM exons LEFT JOIN genome USING (chrom))"
+
 
 def walked(base: str) -> str:
     """SQL of ``permuted``: ``base`` has ``i, n, key``; ``walked`` adds ``x``."""
@@ -29,6 +33,19 @@ def chunks(spark, sf_dir):
     return seqs(spark, sf_dir).select((F.col("doc_id") % 25).alias("chrom"), F.floor(F.col("doc_id") / 25).alias("chunk_no"), F.substring(F.concat("seq", F.repeat(F.lit("ACGT"), F.lit(64))), 1, SIZE).alias("seq"))
 
 
+def whole_genome(spark, sf_dir):
+    """The whole sequences of all documents as 25 contigs, in chunks of 256 bases, and ``chrom, n``: how long each contig is."""
+    t = seqs(spark, sf_dir).withColumn("chrom", F.col("doc_id") % 25)
+    return genome.contig_chunks(t, "chrom", "doc_id", "seq", SIZE), t.filter("length(seq) > 0").groupBy("chrom").agg(F.sum(F.length("seq").cast("long")).alias("n"))
+
+
+def spread(places, sizes, key, *at):
+    """``places`` moved by a stride of ``key`` over the whole contig; the first of ``at`` is the place that is wrapped."""
+    t = places.join(F.broadcast(sizes), "chrom", "left")  # 25 rows
+    first = (F.col(key) * 7919 + F.col(at[0])) % (F.coalesce("n", F.lit(0)) + 1)
+    return t.withColumns({x: first + F.col(x) - F.col(at[0]) for x in at}).drop("n")
+
+
 @query(f"WITH RECURSIVE b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n, '11' AS key FROM orders), {walked('b')} SELECT o_orderkey, x AS place FROM walked")
 def r08_permutation(spark, sf_dir):
     """A keyed permutation of all orders, without a sort."""
@@ -89,6 +106,31 @@ def p37_variant_windows(spark, sf_dir):
     return genome.variant_windows(v, chunks(spark, sf_dir), ["event_id"], "chrom", "pos", "alt", 16, SIZE)
 
 
+@query(f"WITH {SEQS}, {WHOLE}, {EXONS}, {WHOLE_EXONS}, x AS (SELECT DISTINCT * FROM wide), r AS (SELECT tx, string_agg(coalesce(substr(g, (s + 1)::INT, (e - s)::INT), ''), '' ORDER BY s, e) AS cds FROM x LEFT JOIN genome USING (chrom) GROUP BY tx) SELECT tx, length(cds)::INT AS n_bases, CASE WHEN tx % 2 = 1 THEN reverse(translate(cds, 'ACGT', 'TGCA')) ELSE cds END AS cds FROM r")
+def a02_p04_spliced_whole(spark, sf_dir):
+    """Coding sequences read from all bases of all documents, exons over the whole contigs."""
+    whole, sizes = whole_genome(spark, sf_dir)
+    t = spread(exons(spark, sf_dir), sizes, "tx", "s", "e").withColumn("minus", F.col("tx") % 2 == 1)
+    return genome.spliced(t, whole, "tx", "chrom", "s", "e", "minus", SIZE)
+
+
+@query(f"WITH {SEQS}, {WHOLE}, {WHOLE_VARIANTS} SELECT event_id, chrom, pos, nullif(substr(g, (pos + 1)::INT, 1), '') AS ref, coalesce(substr(g, (pos + 1)::INT, 1) = substr('ACGT', (alt + 1)::INT, 1), false) AS unchanged FROM wide LEFT JOIN genome USING (chrom)")
+def j18_reference_base_whole(spark, sf_dir):
+    """The base at variants over the whole contigs, from all bases of all documents."""
+    whole, sizes = whole_genome(spark, sf_dir)
+    t = genome.reference_base(spread(variants(spark, sf_dir).withColumn("pos", F.lit(0)), sizes, "event_id", "pos"), whole, "chrom", "pos", SIZE)
+    alt = F.substring(F.lit("ACGT"), (F.col("alt") + 1).cast("int"), F.lit(1))
+    return t.select("event_id", "chrom", "pos", "ref", F.coalesce(F.col("ref") == alt, F.lit(False)).alias("unchanged"))
+
+
+@query(f"WITH {SEQS}, {WHOLE}, {WHOLE_VARIANTS}, w AS (SELECT event_id, greatest(pos - 16, 0) AS f, pos, substr('ACGT', (alt + 1)::INT, 1) AS a, g FROM wide JOIN genome USING (chrom) WHERE pos < length(g)), r AS (SELECT *, substr(g, (f + 1)::INT, (pos + 17 - f)::INT) AS ref_window FROM w) SELECT event_id, ref_window, substr(ref_window, 1, (pos - f)::INT) || a || substr(ref_window, (pos - f + 2)::INT) AS alt_window FROM r")
+def p37_variant_windows_whole(spark, sf_dir):
+    """Windows around variants over the whole contigs, from all bases of all documents."""
+    whole, sizes = whole_genome(spark, sf_dir)
+    v = spread(variants(spark, sf_dir).withColumn("pos", F.lit(0)), sizes, "event_id", "pos").withColumn("alt", F.substring(F.lit("ACGT"), (F.col("alt") + 1).cast("int"), F.lit(1)))
+    return genome.variant_windows(v, whole, ["event_id"], "chrom", "pos", "alt", 16, SIZE)
+
+
 @query("SELECT gene, min_by(tx, (p, tx)) AS tx FROM (SELECT o_custkey AS gene, o_orderkey AS tx, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 END AS p FROM orders) WHERE p IS NOT NULL GROUP BY gene")
 def j17_canonical(spark, sf_dir):
     """The transcript of the first tag per gene."""
@@ -282,6 +324,29 @@ def m04_variant_input(spark, sf_dir):
     return t.select("doc_id", T.joined(T.variant_input(row, F.col("doc_id") % F.size("x"), F.lit(T.MASK))).alias("ids"))
 
 
+def codon_windows(spark, sf_dir, window, specials):
+    """``doc_id, source, window_no, x``: every codon of every document once, in windows that leave room for special tokens."""
+    n = F.floor(F.length("seq") / 3).cast("int")
+    t = seqs(spark, sf_dir).select("doc_id", "source", T.codon_ids(F.col("seq")).alias("ids"), n.alias("n"))
+    t = t.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(window - specials))).alias("window_no", "start"))
+    return t.select("doc_id", "source", "window_no", F.slice("ids", F.col("start") + 1, window - specials).alias("x"))
+
+
+@query(f"WITH {SEQS}, {IDS}, w AS (SELECT doc_id, k // 126 AS window_no, ids[k + 1:k + 126] AS x FROM ids, unnest(range(0, len(ids), 126)) t(k)) SELECT doc_id, window_no::INT AS window_no, {TEXT.format('list_concat([0], x[1:(doc_id % len(x))::INT], [4], x[(doc_id % len(x) + 2)::INT:], [1])')} AS ids FROM w")
+def m04_variant_input_whole(spark, sf_dir):
+    """One codon masked in each window of 126 codons of every sequence; a sequence without a codon has none to mask."""
+    t = codon_windows(spark, sf_dir, 128, 2).filter(F.size("x") > 0)
+    row = F.concat(F.array(F.lit(T.CLS)), "x", F.array(F.lit(T.SEP)))
+    return t.select("doc_id", "window_no", T.joined(T.variant_input(row, F.col("doc_id") % F.size("x"), F.lit(T.MASK))).alias("ids"))
+
+
+@query(f"WITH {SEQS}, {IDS}, w AS (SELECT doc_id, source, k // 60 AS window_no, ids[k + 1:k + 60] AS x FROM ids, unnest(range(0, greatest(len(ids), 1), 60)) t(k)) SELECT doc_id, window_no::INT AS window_no, '<ctrl_' || lower(source) || '>' AS control, {TEXT.format('list_concat([0, 70, 2], x, [1], list_transform(range(60 - len(x)), lambda i: 3))')} AS ids FROM w")
+def p16_control_tags_whole(spark, sf_dir):
+    """A control tag before each window of 60 codons of every sequence."""
+    t = codon_windows(spark, sf_dir, 64, 4).withColumn("control", T.control_name(F.concat("source", F.lit("__x"))))
+    return t.select("doc_id", "window_no", "control", T.joined(T.headed(F.col("x"), [0, 70, 2], [1], T.PAD, 64)).alias("ids"))
+
+
 @query(f"WITH {SEQS}, n AS (SELECT doc_id, seq, length(seq) AS n FROM seqs), w AS (SELECT doc_id, k AS window_no, substr(seq, (k * 94 + 1)::INT, 126) AS s FROM n, unnest(range(0, 1 + ceil(greatest(n - 126, 0) / 94)::BIGINT)) t(k)) SELECT doc_id, window_no::INT AS window_no, {TEXT.format('list_concat([-100], list_transform(range(1, length(s) + 1), lambda i: CASE WHEN instr(chr(65) || chr(67) || chr(71), substr(s, i::INT, 1)) > 0 THEN instr(chr(65) || chr(67) || chr(71), substr(s, i::INT, 1)) - 1 ELSE -100 END), [-100])')} AS labels FROM w")
 def m07_window_labels(spark, sf_dir):
     """Labels of the letters of overlapping windows; T counts as unknown."""

@@ -154,6 +154,21 @@ def test_decontamination_small_cases(spark):
     assert got == {0: (25, 25, ["0"], True), 1: (325, 25, ["0"], True), 2: (4, 2, ["1"], True), 3: (3, 0, [], False), 4: (0, 0, [], False), 5: (0, 0, [], False)}
 
 
+def test_decontamination_near_passages(spark):
+    words = [f"t{i}" for i in range(26)]
+    bench = spark.createDataFrame([(0, " ".join(words)), (1, "six words are one near hit"), (2, "two words")], "item_id long, text string")
+    put_in = words[:6] + ["new"] + words[6:19] + ["more"] + words[19:]
+    swapped = words[:6] + [words[7], words[6]] + words[8:19] + [words[20], words[19]] + words[21:]
+    changed = [("x" if i % 6 == 2 else w) for i, w in enumerate(words)]
+    far = [("x" if i % 4 == 2 else w) for i, w in enumerate(words)]
+    texts = [put_in, swapped, changed, far, words, ["pad"] * 5 + put_in[:9], "six words are no near hit".split(), ["two", "other"], None]
+    got = {r.doc_id: r for r in decontaminate(frame(spark, [t and " ".join(t) for t in texts]), bench).collect()}
+    assert [got[i]["near_items"] for i in range(9)] == [["0"], ["0"], ["0"], [], [], [], ["1"], [], []]
+    assert [got[i].n_hit for i in range(9)] == [13, 0, 0, 0, 26, 0, 0, 0, 0]
+    assert {(x.s, x.n, x.d) for x in got[6].near} == {(0, 6, 1)}
+    assert (0, 14, 1) in {(x.s, x.n, x.d) for x in got[0].near}
+
+
 def jaccard_brute(texts, n=5, percent=80):
     sets = []
     for t in texts:

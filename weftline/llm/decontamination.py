@@ -1,11 +1,14 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 A test item gives windows of ``n`` consecutive words (an item of fewer words is one window). One pass over
-the documents counts the test terms; each window then picks its two rarest terms. A second pass
-stores the postings (term, document, position) of the rarest terms alone, each with the words
-around it, and intersects the offset-adjusted lists from the rarest term on: the second rarest
-term must stand at its offset, then all words of the phrase. Windows with a term that no document
-holds are dropped, since they cannot occur.
+the documents counts the test terms; each window then picks its rarest terms, one more than the edits that it allows. A
+second pass writes the postings (term, document, position) of the chosen terms as a table, each with the words
+around it. Lists are intersected by (window, document, position less offset); all words of the phrase are compared last.
+
+Exact hits hold the window as it is: each chosen term stands at its offset. Near hits hold it with one to ``edits``
+words put in, left out or changed (two neighbours swapped are two edits): SLOP edits for a window, but at most one for
+each six of its words, so windows of under six words have none. One of the chosen terms is then left, at its offset give or take the edits.
+Windows with more terms that no document holds than they allow edits are dropped, since they cannot occur.
 
 Terms and windows are broadcast up to BROADCAST_ROWS rows (counted) and joined by a shuffle beyond.
 Only hits are exchanged, already gathered for each document; full texts never are.
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common as c
 
 BROADCAST_ROWS = 200_000
+SLOP = 2
 _BREAKS = "".join(chr(x) for x in range(128) if chr(x) not in string.ascii_letters + string.digits)
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -46,21 +50,58 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def edits(n: Column) -> Column:
+    """How many edits a window of ``n`` words allows."""
+    return F.least(F.lit(SLOP), F.floor(n / 6)).cast("int")
+
+
+def postings(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """The table ``term, _id, _h, pos, left, around``: where documents hold a term, and the words from place ``left`` on, ``reach`` on both sides."""
+    t = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term")).join(terms, "term")
+    left = F.greatest(F.col("pos") - reach, F.lit(0))
+    return c.store(t.select("term", "_id", "_h", "pos", left.alias("left"), F.slice("_words", left + 1, F.col("pos") + reach + 1 - left).alias("around")))
+
+
+def nearest(window: Column, span: Column, first: Column, start: Column, n: Column) -> Column:
+    """Struct ``d, off, s, n``: the stretch of ``span`` (whose first word is at ``first``) of least word edit distance to the
+    window, among those that begin and end within SLOP of its place."""
+    code = lambda words: F.array_join(F.transform(words, lambda w: F.format_string("%c", (F.array_position(window, w) + 256).cast("int"))), "")
+    here, there = code(span), code(window)
+    found = []
+    for shift in range(-SLOP, SLOP + 1):
+        at = start + shift
+        for longer in range(-SLOP, SLOP + 1):
+            part = F.substring(here, (at - first + 1).cast("int"), (n + longer).cast("int"))
+            found.append(F.when((at >= first) & (n + longer > 0), F.struct(F.levenshtein(part, there).alias("d"), F.lit(abs(longer)).alias("off"), at.cast("int").alias("s"), F.length(part).alias("n"))))
+    return F.array_min(F.array(*found))
+
+
 def find_items(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``_id, _h, hits`` (distinct structs of first word ``s`` and length ``n``) and ``items`` for documents with any hit."""
+    """``_id, _h, hits`` (distinct structs of first word ``s`` and length ``n``), ``items``, and ``near`` (with the edits ``d``) and
+    ``near_items`` for documents with any hit."""
     texts = c.keyed(docs, id_col, text_col).withColumn("_words", words_of(F.col("_text"))).select("_id", "_h", "_words")
     windows = c.store(item_windows(items, n, item_col, item_text_col).withColumn("_w", F.xxhash64("item_id", "window")))
     terms = _small(c.store(windows.select(F.explode("window").alias("term")).distinct()))
     counts = c.store(texts.select(F.explode("_words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df")))
     ranked = windows.select("item_id", "window", "_w", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
-    ranked = ranked.groupBy("_w", "item_id", "window").agg(F.array_sort(F.collect_list(F.struct("df", "at", "term"))).alias("r"), F.count("df").alias("there"))
-    ranked = ranked.filter(F.col("there") == F.size("window"))
-    rare = ranked.select("item_id", "window", F.col("r")[0]["term"].alias("term"), F.col("r")[0]["at"].alias("at"), F.get("r", F.least(F.lit(1), F.size("r") - 1)).alias("second"))
-    rare = _small(c.store(rare.select("item_id", "window", "term", "at", F.col("second.term").alias("term2"), F.col("second.at").alias("at2"), F.size("window").alias("n"))))
-    postings = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term"))
+    ranked = ranked.groupBy("_w", "item_id", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("r"), F.count("df").alias("there"))
+    ranked = ranked.withColumns({"n": F.size("window"), "e": edits(F.size("window"))}).filter(F.col("n") - F.col("there") <= F.col("e"))
+    chosen = ranked.select("_w", "item_id", "window", "n", "e", F.explode(F.slice("r", F.lit(1), F.col("e") + 1)).alias("r")).filter("r.df > 0")
+    chosen = c.store(chosen.select("_w", "item_id", "window", "n", "e", F.col("r.term").alias("term"), F.col("r.at").alias("at")))
+    lists = postings(texts, _small(c.store(chosen.select("term").distinct())), n + SLOP)
     start = F.col("pos") - F.col("at")
-    hits = postings.join(rare, "term").filter(start >= 0).filter(F.get("_words", start + F.col("at2")) == F.col("term2")).filter(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window"))
-    return hits.select("_id", "_h", F.struct(start.alias("s"), "n").alias("hit"), "item_id").groupBy("_id", "_h").agg(F.collect_set("hit").alias("hits"), F.collect_set("item_id").alias("items"))
+    first = F.greatest(start - F.col("e"), F.lit(0))
+    t = lists.join(_small(chosen), "term").withColumns({"start": start, "first": first}).filter(F.col("start") >= -F.col("e"))
+    t = t.withColumn("span", F.slice("around", F.col("first") - F.col("left") + 1, F.col("start") + F.col("n") + F.col("e") - F.col("first")))
+    t = t.filter(F.size(F.array_intersect("span", "window")) >= F.size(F.array_distinct("window")) - F.col("e"))
+    t = t.groupBy("_w", "_id", "_h", "start").agg(F.countDistinct("at").alias("lists"), *(F.any_value(x).alias(x) for x in ("item_id", "window", "n", "e", "first", "span")))
+    exact = (F.col("lists") == F.col("e") + 1) & (F.col("start") >= 0) & (F.slice("span", F.col("start") - F.col("first") + 1, F.col("n")) == F.col("window"))
+    t = t.withColumn("exact", exact).filter(F.col("exact") | (F.col("e") > 0))
+    best = F.when(~F.col("exact") & (F.col("e") > 0), nearest(F.col("window"), F.col("span"), F.col("first"), F.col("start"), F.col("n")))
+    t = t.withColumn("best", best).withColumn("close", F.col("best.d").between(1, F.col("e")))
+    hit, near = F.struct(F.col("start").alias("s"), "n"), F.struct(F.col("best.s").alias("s"), F.col("best.n").alias("n"), F.col("best.d").alias("d"))
+    picked = {"hits": F.when(F.col("exact"), hit), "items": F.when(F.col("exact"), F.col("item_id")), "near": F.when(F.col("close"), near), "near_items": F.when(F.col("close"), F.col("item_id"))}
+    return t.groupBy("_id", "_h").agg(*(F.collect_set(x).alias(name) for name, x in picked.items()))
 
 
 def covered_words(hits: Column) -> Column:
@@ -75,10 +116,12 @@ def covered_words(hits: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, per_hit: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, items, hits, contaminated``: a document is contaminated if ``per_hit`` times its hit words reach its words."""
+    """``doc_id, n_words, n_hit, items, hits, near, near_items, contaminated``: a document is contaminated if ``per_hit`` times its
+    exactly hit words reach its words; near hits are listed in columns of their own."""
     found = find_items(docs, items, n, id_col, text_col, item_col, item_text_col)
     sized = c.keyed(docs, id_col, text_col).select("_id", "_h", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"))
     t = sized.join(found, ["_id", "_h"], "left")
     n_hit = F.coalesce(covered_words(F.col("hits")), F.lit(0)).cast("long")
-    t = t.select(c.plain_id(), "_h", "n_words", n_hit.alias("n_hit"), F.coalesce(F.array_sort(F.transform("items", lambda x: x.cast("string"))), F.array().cast("array<string>")).alias("items"), "hits")
+    listed = lambda x: F.coalesce(F.array_sort(F.transform(x, lambda i: i.cast("string"))), F.array().cast("array<string>")).alias(x)
+    t = t.select(c.plain_id(), "_h", "n_words", n_hit.alias("n_hit"), listed("items"), "hits", "near", listed("near_items"))
     return t.withColumn("contaminated", (F.col("n_hit") > 0) & (per_hit * F.col("n_hit") >= F.col("n_words")))

@@ -88,6 +88,13 @@ def op3_decontamination(spark, sf_dir):
     return t.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op3_near_passages(spark, sf_dir):
+    """The same with benchmark items that documents hold but for up to two words in thirteen."""
+    t = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return t.select("doc_id", "n_hit", "items", F.coalesce(F.size("near"), F.lit(0)).alias("n_near"), "near_items", "contaminated")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, p, line, trim(line, E' \t\n\x0b\x0c\r') AS k FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents)),
 k AS (SELECT *, translate(k, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),

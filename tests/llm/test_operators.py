@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join as jj
+from weftline.llm import common as c
 from weftline.llm import language_id, toxicity, warc
 from weftline.llm.decontamination import decontaminate
 from weftline.llm.line_dedup import LineRuns, line_dedup, line_hashes
@@ -242,6 +243,16 @@ def test_toxicity_restores_disguised_words(spark):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_tries_every_disguise(spark):
+    costs = toxicity.character_costs(frame(spark, ["an idiot and a fat moron are clowns; the idiot is a crétin and dense, the ass"] * 50))
+    cases = {"iidiioot": "idiot", "d\u20acnse": "dense", "i\u00b7d\u00b7i\u00b7o\u00b7t": "idiot", "f a t": "fat", "i. d. i. o. t": "idiot", "cr\u00e9t1n": "crétin", "as$": "ass", "idi0t": "idiot"}
+    for text, word in cases.items():
+        raw = f"then {text} there".encode()
+        chunk = c.Chunk(np.zeros(1, np.int64), np.zeros(1, np.int64), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        docs, words = toxicity.Restorer(costs)(chunk)
+        assert word.encode() in words and set(docs) == {0}, (text, words)
+
+
 def test_language_id(spark):
     rng = random.Random(0)
     words = {"en": ["the", "with", "house", "thing"], "de": ["und", "der", "straße", "schön"]}

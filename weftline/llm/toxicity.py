@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
 1. A character model: counts of letter trigrams over all plain words of all documents.
-2. Tokens that look disguised (figures or signs between letters, letters three times in a row,
-   spaced-out single letters) become lattices: each character may stand for itself, for the
+2. Tokens that may be disguised (figures or signs beside letters, doubled letters,
+   spaced-out single characters) become lattices: each character may stand for itself, for the
    letters that it imitates, or for nothing (separators); a run of one letter may be one or two.
    Viterbi decoding takes the path of least channel cost plus character-model cost, and the words it
    restores join the text's own words.
@@ -38,9 +38,13 @@ _KIND[128:] = 27
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LETTER = (_KIND > 0)
-_DISGUISE = np.zeros(256, bool)
-_DISGUISE[[ord(x) for x in "0123456789@$!|+(._-*~'`"]] = True
-_SINGLES = re.compile(rb"(?<![^\s])(?:[a-zA-Z0-9@$!|][\s.,*_-]+){3,}[a-zA-Z0-9@$!|](?![^\s.,*_-])")
+_IMITATES, _DISGUISE = np.zeros(256, bool), np.zeros(256, bool)
+_IMITATES[[ord(x) for x in IMITATES if x < "\x80"]] = True
+_DISGUISE[[ord(x) for x in [*IMITATES, *SEPARATORS] if " " < x < "\x80"]] = True
+_WIDE = re.compile("|".join(x for x in [*IMITATES, *SEPARATORS] if x >= "\x80").encode())  # those of several bytes
+_ONE = rb"(?:[a-zA-Z0-9@$!|+(]|(?!\xc2\xb7)[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2})"
+_BETWEEN = rb"(?:[\s.,*_~'`-]|\xc2\xb7)"
+_SINGLES = re.compile(rb"(?<!\S)" + _ONE + rb"(?:" + _BETWEEN + rb"+" + _ONE + rb")+(?![a-zA-Z0-9\x80-\xff])")
 
 
 def character_costs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -76,7 +80,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while j < len(token) and token[j] == ch:
             j += 1
         n, options = j - i, []
-        if ch in LETTERS:
+        if ch in LETTERS or (ch >= "\x80" and ch.isalpha()):
             options = [(ch * min(n, 2), 0.1 if n <= 2 else 1.0)]
             if n > 1:
                 options.append((ch, 2.0 if n == 2 else 0.8))
@@ -100,8 +104,7 @@ def decode(token: str, costs: np.ndarray) -> str:
         for (a, b), (cost, word) in best.items():
             for text, channel in options:
                 x, y, total = a, b, cost + channel
-                for ch in text:
-                    k = ord(ch) - 96
+                for k in (x - 96 if x < 128 else 27 for x in text.encode()):
                     total += costs[x, y, k]
                     x, y = y, k
                 have = step.get((x, y))
@@ -130,12 +133,16 @@ class Restorer:
         data = chunk.data
         low = _LOW[data]
         letter = _LETTER[data]
+        raw = data.tobytes()
         odd = np.zeros(len(data), bool)
-        if len(data) > 2:
-            sign = _DISGUISE[data]
+        if len(data) > 3:
+            sign, imitates = _DISGUISE[data], _IMITATES[data]
             odd[1:-1] = sign[1:-1] & letter[:-2] & (letter[2:] | sign[2:])
-            odd[1:-1] |= (low[1:-1] == low[:-2]) & (low[1:-1] == low[2:]) & (_KIND[data[1:-1]] > 0) & (_KIND[data[1:-1]] < 27)
+            odd[1:] |= imitates[1:] & letter[:-1]
             odd[:-1] |= sign[:-1] & letter[1:]
+            odd[1:] |= (low[1:] == low[:-1]) & letter[1:] & (data[1:] < 128)
+            odd[3:] |= (data[3:] == data[1:-2]) & (data[2:-1] == data[:-3]) & (data[2:-1] >= 0xC2) & (data[2:-1] <= 0xDF)
+            odd[[m.start() for m in _WIDE.finditer(raw)]] = True
         space = np.isin(data, np.array([32, 9, 10, 11, 12, 13], np.uint8))
         docs, words = [], []
         at = np.flatnonzero(odd)
@@ -146,23 +153,15 @@ class Restorer:
             ends = gaps[np.minimum(right, len(gaps) - 1)]
             starts = np.where(right > 0, gaps[np.maximum(right, 1) - 1] + 1, 0)
             doc = np.searchsorted(chunk.starts, starts, side="right") - 1
-            raw = data.tobytes()
             for d, a, b in zip(doc.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                token = raw[a:b].strip(b".,;:?\"')([]{}")
+                token = raw[a:b].strip(b".,;:?\"')([]{}" if b")" in raw[a:b] else b".,;:?\"'[]{}")
                 if token:
                     docs.append(d)
                     words.append(self.one(token))
-        single = np.zeros(len(data), bool)
-        if len(data) > 2:
-            single[1:-1] = ~space[1:-1] & space[:-2] & space[2:]
-        if single.sum() >= 3:
-            per = np.concatenate([[0], np.cumsum(single)])
-            many = np.flatnonzero(per[chunk.starts + chunk.lens] - per[chunk.starts] >= 2)
-            raw = data.tobytes()
-            for d in many.tolist():
-                for m in _SINGLES.finditer(raw[chunk.starts[d] : chunk.starts[d] + chunk.lens[d]]):
-                    docs.append(d)
-                    words.append(self.one(m[0]))
+        for d, text in enumerate(chunk.texts()):
+            for m in _SINGLES.finditer(text):
+                docs.append(d)
+                words.append(self.one(m[0]))
         return docs, words
 
 
@@ -236,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -3.0, costs)
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label")).filter(F.col("_key").isNotNull() & F.col("_label").isin(0, 1))
     rows = docs.filter(train_rows & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    known = c.store(known)
+    known = c.store(known.join(rows.select("_key").distinct(), "_key", "left_semi"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return empty

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join as jj
 from weftline.llm import common as c
-from weftline.llm import language_id, toxicity, warc
+from weftline.llm import language_id, mixing, toxicity, warc
 from weftline.llm.decontamination import decontaminate
 from weftline.llm.line_dedup import LineRuns, line_dedup, line_hashes
-from weftline.llm.mixing import mix_sources
+from weftline.llm.mixing import mix_sources, shard_rows, splitting_tree
 from weftline.llm.quality_rules import js_distance, quality_rules
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import merge_transforms, repeated_starts, shard_transform, suffix_dedup
@@ -143,8 +143,31 @@ def test_mix_meets_targets(spark):
     for own in by.values():
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1
         assert own[0].source_size == sum(r.size for r in own)
-    blocks = Counter(s for s, _ in {(r.shard, (r.source, r.block)) for r in rows})
-    assert max(blocks.values()) - min(blocks.values()) <= 3
+        for r in own:
+            assert sum(d.words for d in r.draws) == r.taken and len({d.epoch for d in r.draws}) == len(r.draws)
+    units = {(d.shard, d.epoch, r.source, r.block) for r in rows for d in r.draws}
+    assert len({u[1:] for u in units}) == len(units)  # a block's pass is on one shard
+    per = Counter(u[0] for u in units)
+    assert len(per) == 8 and max(per.values()) - min(per.values()) <= 4
+    placed = shard_rows(mix_sources(frame(spark, texts), block_docs=10)).collect()
+    assert sum(r.words for r in placed) == sum(r.taken for r in rows)
+    assert len({(r.shard, r.epoch, r.source, r.block, r.local) for r in placed}) == len(placed)
+
+
+def test_what_a_mix_takes_comes_through_the_tree(spark, monkeypatch):
+    """Without the shards' quotas nothing is drawn."""
+    whole = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: whole(*a).filter("shard < 4"))
+    half = mix_sources(frame(spark, corpus(3, 50)), block_docs=10).collect()
+    assert {d.shard for r in half for d in r.draws} == {0, 1, 2, 3}
+    assert {r.taken for r in half} > {0}
+
+
+def test_tree_deals_exact_halves(spark):
+    slots = spark.createDataFrame([(False, s, i) for s, n in (("a", 61), ("b", 20), ("c", 3)) for i in range(n)], "_none boolean, _source string, _slot long")
+    got = splitting_tree(slots, 4, 1).collect()
+    assert {s: sum(r._quota for r in got if r._source == s) for s in "abc"} == {"a": 61, "b": 20, "c": 3}
+    assert sorted(sum(r._quota for r in got if r.shard == k) for k in range(4)) == [21, 21, 21, 21]
 
 
 def test_decontamination_small_cases(spark):

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage; a local folder only where none is set, as in tests."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    path = f"{base}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from weftline.storage import stored
 
 
 def nearest_listed(starts: DataFrame, edges: DataFrame, listed: DataFrame, max_depth: int = 1000) -> DataFrame:

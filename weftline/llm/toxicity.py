@@ -8,17 +8,19 @@
    restores join the text's own words.
 3. A logistic model on the presence of words and of word beginnings (four, five and six bytes) scores the restored text. It is
    fitted on at most ``sample`` labelled training rows (in expectation, drawn by hash, half of each
-   class where there are enough); its FEATURES features are the ones most tied to the label there.
-   Every whole text is scored.
+   class where there are enough); its width is FEATURES, the features most tied to the label among those in LEAST rows of that
+   sample. Width and support are sizes of the model, fixed like a network's; they leave no text or label out. Every whole text is scored.
 
 Defined cases: null or empty texts get the score of a text without features, and so do all texts when there
 are no labels of both kinds; several labels of one document count as toxic if any is; rows that repeat an id are
-scored each on its own; an empty table gives an empty table; other columns are ignored.
+scored each on its own; a very long text is a chunk of its own, a very long disguised token takes time in proportion; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common as c
 
-FEATURES = 512
+FEATURES, LEAST = 512, 5
 # What characters imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'`·, "
@@ -70,9 +72,8 @@ def character_costs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(p)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of one character the strings it may stand for, with their channel costs."""
-    out = []
     i = 0
     token = token.lower()
     while i < len(token):
@@ -91,34 +92,49 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 options.append(("", 0.5 if ch in SEPARATORS else 2.5))
             if not options:
                 options.append(("", 3.0))
-        out.append(options)
+        yield options
         i = j
-    return out
 
 
-def decode(token: str, costs: np.ndarray) -> str:
-    """The likeliest word behind a token, by Viterbi over its lattice; states are the last two letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def _path(node: tuple | None) -> str:
+    """The strings along a chain of back-pointers, first to last."""
+    out = []
+    while node is not None:
+        node, text = node
+        out.append(text)
+    return "".join(reversed(out))
+
+
+def decode(token: str, costs: np.ndarray | list) -> str:
+    """The likeliest word behind a token, by Viterbi over its lattice; states are the last two letters. States keep back-pointers, and
+    what all survivors share is settled whenever one is left, so time grows with the token's length and no prefix is copied."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    settled: list[str] = []
     for options in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in best.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, node) in best.items():
             for text, channel in options:
                 x, y, total = a, b, cost + channel
                 for k in (x - 96 if x < 128 else 27 for x in text.encode()):
-                    total += costs[x, y, k]
+                    total += costs[x][y][k]
                     x, y = y, k
                 have = step.get((x, y))
-                if have is None or (total, word + text) < have:
-                    step[x, y] = (total, word + text)
+                if have is None or total < have[0]:
+                    step[x, y] = (total, (node, text))
         best = step
-    return min((cost + costs[a, b, 0], word) for (a, b), (cost, word) in best.items())[1]
+        if len(best) == 1:
+            [(state, (_, node))] = best.items()
+            settled.append(_path(node))
+            best = {state: (0.0, None)}
+    ends = [(cost + costs[a][b][0], i, node) for i, ((a, b), (cost, node)) in enumerate(best.items())]
+    return "".join(settled) + _path(min(ends, key=lambda e: e[:2])[2])
 
 
 class Restorer:
     """Finds disguised tokens of a chunk and decodes each distinct one once."""
 
     def __init__(self, costs: np.ndarray, memory: int = 200_000):
-        self.costs, self.memory, self.seen = costs, memory, {}
+        self.costs, self.memory, self.seen = costs.tolist(), memory, {}
 
     def one(self, token: bytes) -> bytes:
         word = self.seen.get(token)
@@ -266,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return empty
-    stats = chosen.mapInArrow(count, "mark long, one long, zero long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).filter("one + zero >= 5")
+    stats = chosen.mapInArrow(count, "mark long, one long, zero long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).filter(F.col("one") + F.col("zero") >= LEAST)
     ratio = F.log((F.col("one") + 0.3) / (n1 + 0.6)) - F.log((F.col("zero") + 0.3) / (n0 + 0.6))
     top = stats.withColumn("tie", F.abs(ratio) * F.sqrt(F.col("one") / n1 + F.col("zero") / n0)).orderBy(F.desc("tie"), "mark").limit(FEATURES).select("mark").collect()
     marks = np.sort(np.array([r["mark"] for r in top], np.int64).view(np.uint64))

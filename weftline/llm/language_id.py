@@ -5,13 +5,13 @@ whose first layer is a table row for each byte, run over a window; the maximum o
 rectifier and a softmax layer give its language. A document's prediction is the length-weighted
 mean of its windows' log-probabilities.
 
-Training: at most ``sample`` documents (in expectation, drawn by hash, spread evenly over at most
-LANGUAGES languages) of the training rows, three windows of each. This bound is the one place where not all rows
-count; every row is predicted. Training is seeded and single-threaded, so reruns agree.
+Training: every language of the training rows is a class; at most ``per_language`` documents of each (in expectation, drawn by
+hash), three windows of each document. This bound is the one place where not all rows count; every row is predicted. The
+sample and the softmax layer grow with the number of languages alone. Training is seeded and single-threaded, so reruns agree.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0, and so do all texts when
-nothing can be learned; rows that repeat an id are predicted each on its own; an empty table gives
-an empty table; other columns are ignored.
+nothing can be learned; rows that repeat an id are predicted each on its own; a very long text is a chunk of its own, scored
+1,024 windows at a time; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common as c
 
-WINDOW, WIDTHS, FILTERS, LANGUAGES = 256, (2, 3, 4), 12, 64
+WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -124,15 +124,14 @@ class ByteNetwork:
         return self
 
 
-def train(docs: DataFrame, train_rows: Column, sample: int = 1600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
+def train(docs: DataFrame, train_rows: Column, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
     """Learn from the rows where ``train_rows`` holds; None if there are none."""
     rows = docs.filter(train_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()  # a row for each class of the softmax layer
     if not counts:
         return None
-    each = sample / len(counts)
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20))
-    share = F.coalesce(*(F.when(F.col(lang_col) == r["lang"], F.lit(int(min(1.0, each / r["n"]) * (1 << 20)))) for r in counts), F.lit(0))
+    share = F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 20))))), F.col(lang_col).cast("string"))
     labels = sorted(r["lang"] for r in counts)
     index = {x: i for i, x in enumerate(labels)}
 

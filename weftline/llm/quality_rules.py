@@ -2,27 +2,29 @@
 
 Every language's reference holds two histograms over all its documents: classes of bytes (letters,
 capitals, digits, spaces, line feeds, punctuation, symbols, parts of non-ASCII letters) and its common words
-(the COMMON most frequent of up to four bytes, and all the rest as one). A document is compared with its language's reference,
-or with the nearest one if its language is null or has none, by Jensen-Shannon distance (base 2, 0 to 1). It is
-rejected if either distance passes its limit; each distance is judged only from a minimum length on.
+(whole words of any length, A-Z lower-cased, each of at least COMMON_SHARE of the language's words; all the rest as one). A document is
+compared with its language's reference, or with the nearest one if its language is null, by Jensen-Shannon distance (base 2, 0 to 1).
+It is rejected if either distance passes its limit; each distance is judged only from a minimum length on.
 The base rules (few words, or repeated 8-word windows) reject before.
 
-References are kept for the LANGUAGES most frequent languages, so they are small whatever the input.
+Words are counted by 64-bit hash in Spark over all documents. Every language that occurs has a reference of at most
+1 / COMMON_SHARE words, so references grow with the number of languages alone.
 
 Defined cases: null or empty texts have no words and fail the base rule; rows that repeat an id are judged
-each on its own; an empty table gives an empty table; other columns are ignored.
+each on its own; a language whose texts hold no word has a reference without common words; a very long text is a chunk of its own; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import common as c
 
-COMMON, LANGUAGES, CLASSES = 64, 256, 10
+COMMON_SHARE, CLASSES = 0.002, 10
 _CLASS = np.full(256, 6, np.int64)  # other ASCII punctuation
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
 _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = 3, 4
@@ -32,18 +34,10 @@ _CLASS[128:192], _CLASS[192:] = 8, 9
 _SYMBOL = _CLASS == 7
 
 
-def short_words(words: c.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The words of up to four bytes as integers (lower case in ASCII), and their documents."""
-    length = words.ends - words.starts
-    short = length <= 4
-    s, n = words.starts[short], length[short]
+def whole_words(words: c.Words) -> np.ndarray:
+    """The hash of each word, lower case in ASCII."""
     low = words.norm
-    low = np.where((low >= 65) & (low <= 90), low + np.uint8(32), low)
-    low = np.concatenate([low, np.zeros(4, np.uint8)])
-    key = np.zeros(len(s), np.int64)
-    for k in range(4):
-        key |= np.where(k < n, low[s + k].astype(np.int64) << (8 * k), 0)
-    return key, words.doc[short]
+    return c.byte_hash(np.where((low >= 65) & (low <= 90), low + np.uint8(32), low)).spans(words.starts, words.ends).view(np.int64)
 
 
 def class_counts(chunk: c.Chunk) -> np.ndarray:
@@ -57,7 +51,6 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     table = docs.select(F.lit(0).cast("long").alias("_id"), F.lit(0).cast("long").alias("_h"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).filter("_lang is not null")
 
     def work(batches):
-        total: dict[tuple[str, int, int], int] = {}
         for batch in batches:
             langs = batch.column(3).to_pylist()
             at = 0
@@ -67,43 +60,31 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 names, which = np.unique(own, return_inverse=True)
                 per_class = class_counts(chunk)
                 words = c.Words(chunk)
-                key, doc = short_words(words)
+                key, doc = whole_words(words), which[words.doc]
                 for i, name in enumerate(names.tolist()):
-                    for k, n in enumerate(per_class[which == i].sum(axis=0).tolist()):
-                        total[name, 0, k] = total.get((name, 0, k), 0) + n
-                    values, counts = np.unique(key[which[doc] == i], return_counts=True)
-                    for k, n in zip(values.tolist(), counts.tolist(), strict=True):
-                        total[name, 1, k] = total.get((name, 1, k), 0) + n
-                    total[name, 2, 0] = total.get((name, 2, 0), 0) + int(words.counts[which == i].sum())
-                if len(total) > 500_000:
-                    yield _rows(total)
-                    total = {}
-        if total:
-            yield _rows(total)
+                    values, counts = np.unique(key[doc == i], return_counts=True)
+                    k = np.concatenate([np.arange(CLASSES), values, [0]])
+                    kind = np.repeat(np.array([0, 1, 2], np.int32), [CLASSES, len(values), 1])
+                    n = np.concatenate([per_class[which == i].sum(axis=0), counts, [int(words.counts[which == i].sum())]])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(kind), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "kind", "k", "n"])
 
     counted = table.mapInArrow(work, "lang string, kind int, k long, n long").groupBy("lang", "kind", "k").agg(F.sum("n").alias("n"))
     counted = c.store(counted)
-    langs = counted.filter("kind = 2").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    top = counted.filter("kind = 1").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "k"))).filter(F.col("r") <= COMMON).drop("r")
-    rows = counted.filter("kind != 1").unionByName(top).join(F.broadcast(langs), "lang").collect()
+    words = counted.filter("kind = 2").select("lang", F.col("n").alias("words"))
+    common = counted.filter("kind = 1").join(words, "lang").filter(F.col("n") >= F.col("words") * F.lit(COMMON_SHARE)).drop("words")
+    rows = counted.filter("kind != 1").unionByName(common).collect()  # for each language its classes and at most 1 / COMMON_SHARE words
+    by: dict[str, tuple[dict, dict, dict]] = {}
+    for r in rows:
+        by.setdefault(r["lang"], ({}, {}, {}))[r["kind"]][r["k"]] = r["n"]
     out = []
-    for name in sorted({r["lang"] for r in rows}):
-        classes = np.zeros(CLASSES)
-        own = sorted((r["k"], r["n"]) for r in rows if r["lang"] == name and r["kind"] == 1)
-        for r in rows:
-            if r["lang"] == name and r["kind"] == 0:
-                classes[r["k"]] = r["n"]
-        words = next(r["n"] for r in rows if r["lang"] == name and r["kind"] == 2)
-        shares = np.array([n for _, n in own] + [max(0, words - sum(n for _, n in own))], float)
-        out.append((name, classes / max(1, classes.sum()), np.array([k for k, _ in own], np.int64), shares / max(1, shares.sum())))
+    for name, (per_class, own, total) in sorted(by.items()):
+        classes = np.array([per_class.get(k, 0) for k in range(CLASSES)], float)
+        keys = sorted(own)
+        shares = np.array([*(own[k] for k in keys), total[0] - sum(own.values())], float)
+        out.append((name, classes / max(1, classes.sum()), np.array(keys, np.int64), shares / max(1, shares.sum())))
     return out
 
 
-def _rows(total: dict) -> pa.RecordBatch:
-    lang, kind, k = zip(*total, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(kind, pa.int32()), pa.array(k, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["lang", "kind", "k", "n"])
-
-
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (base 2) of each row of shares p to q."""
     m = (p + q) / 2
@@ -148,7 +129,7 @@ def judge(chunk: c.Chunk, langs: list, refs: list, class_limit: float, word_limi
     failed = (words.counts < 20) | (100 * repeat > 30 * words.counts)
     classes = class_counts(chunk)
     shares = classes / np.maximum(1, classes.sum(axis=1, keepdims=True))
-    key, doc = short_words(words)
+    key, doc = whole_words(words), words.doc
     by_class, by_word = np.full((n, len(refs)), np.nan), np.full((n, len(refs)), np.nan)
     known = {r[0]: i for i, r in enumerate(refs)}
     own = np.array([known.get(x, -1) for x in langs], np.int64)

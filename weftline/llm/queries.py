@@ -119,10 +119,33 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"), n=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, lang, t, octet_length(encode(t)) AS bytes, length(t) AS chars, regexp_replace(t, '[^\x00-\x7F]', '', 'g') AS ascii, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 6, 1))) t(i))),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM win, unnest(range(8)) t(o) WHERE times > 1 GROUP BY doc_id),
+cl AS (SELECT doc_id, lang, bytes, ascii, chars, list_transform(['[^a-z]', '[^A-Z]', '[^0-9]', '[^\x20\x09\x0B-\x0D]', '[^\x0A]', '[^.,;:!?''"()-]', '[^#*$%&|<>]'], lambda p: length(regexp_replace(ascii, p, '', 'g'))) AS n FROM d),
+cn AS (SELECT doc_id, lang, bytes, unnest(range(10)) AS k, unnest(list_concat(n, [length(ascii) - list_sum(n), bytes - chars, chars - length(ascii)])) AS n FROM cl),
+cr AS (SELECT ref, k, n / greatest(1, sum(n) OVER (PARTITION BY ref)) AS q FROM (SELECT lang AS ref, k, sum(n) AS n FROM cn WHERE lang IS NOT NULL GROUP BY ALL)),
+pair AS (SELECT doc_id, ref FROM d JOIN (SELECT DISTINCT lang AS ref FROM d WHERE lang IS NOT NULL) r ON d.lang IS NULL OR d.lang = ref),
+cp AS (SELECT doc_id, ref, n / greatest(1, bytes) AS p, q FROM pair JOIN cr USING (ref) JOIN cn USING (doc_id, k)),
+word AS (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM d),
+wn AS (SELECT *, sum(n) OVER (PARTITION BY ref) AS total FROM (SELECT lang AS ref, word, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY ALL)),
+wr AS (SELECT ref, word, n / total AS q FROM wn WHERE n >= total * 0.002::DOUBLE),
+own AS (SELECT doc_id, word, count(*) AS n FROM word GROUP BY ALL),
+wc AS (SELECT doc_id, ref, coalesce(own.n, 0) AS n, q FROM pair JOIN wr USING (ref) LEFT JOIN own USING (doc_id, word)),
+ws AS (SELECT pair.doc_id, pair.ref, coalesce(sum(n), 0) AS n, coalesce(sum(q), 0) AS q FROM pair LEFT JOIN wc USING (doc_id, ref) GROUP BY ALL),
+wp AS (SELECT doc_id, ref, n / greatest(1, len(w)) AS p, q FROM (SELECT * FROM wc UNION ALL SELECT doc_id, ref, len(w) - n, CASE WHEN ref IN (SELECT ref FROM wn) THEN 1 - q ELSE 0 END FROM ws JOIN d USING (doc_id)) JOIN d USING (doc_id)),
+far AS (SELECT doc_id, ref, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS x FROM (SELECT doc_id, ref || '|c' AS ref, p, q FROM cp UNION ALL SELECT doc_id, ref || '|w', p, q FROM wp) GROUP BY ALL),
+near AS (SELECT c.doc_id, min_by(c.x, (c.x + o.x, pair.ref)) AS cd, min_by(o.x, (c.x + o.x, pair.ref)) AS wd FROM pair JOIN far c ON c.doc_id = pair.doc_id AND c.ref = pair.ref || '|c' JOIN far o ON o.doc_id = pair.doc_id AND o.ref = pair.ref || '|w' GROUP BY c.doc_id),
+base AS (SELECT doc_id, bytes, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base LEFT JOIN near USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((bytes >= 300 AND cd > 0.25) OR (n_words >= 60 AND wd > 0.5), false) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM f""")
 def op7_quality_rules(spark, sf_dir):
     """Base rules, then divergence from the language's histograms."""
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    t = quality_rules(table(spark, sf_dir, "documents"))
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 @query(r"""

@@ -11,8 +11,8 @@ A key is the line without ASCII white space at its ends, A-Z lower-cased. Keys b
 code points always stay. A line that ``min_docs`` documents hold stays in the one of largest id.
 
 Defined cases: null or empty text is one empty line; a null id sorts first; each row counts as a
-document, so rows that repeat an id and hold the largest id all keep the line; an empty table gives
-an empty table; other columns are ignored.
+document, so rows that repeat an id and hold the largest id all keep the line; very long texts are split as
+whole texts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ class LineRuns:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns ``keep``, ``text`` (lines kept), ``n_lines, n_dropped, kept_sha256``; ``docs`` goes through the runs in ``batches`` parts by id."""
     runs = LineRuns(docs.sparkSession, fanout)
-    lines = c.store(line_hashes(docs, min_chars, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(batches))))
+    lines = c.store(line_hashes(docs, min_chars, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(batches))), "part")
     for k in range(batches):
         runs.ingest(lines.filter(F.col("part") == k))
     common = c.store(runs.common(min_docs))

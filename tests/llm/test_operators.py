@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -276,6 +278,34 @@ def test_toxicity_tries_every_disguise(spark):
         assert word.encode() in words and set(docs) == {0}, (text, words)
 
 
+def test_held_out_labels_never_reach_the_scores(spark):
+    texts = [f"the river {'idiot' if i % 4 == 0 else 'stone'} and light {i}" for i in range(120)]
+    docs = frame(spark, texts)
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0]
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, 0, 1 if flip and i in held else int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+        scores.append(sorted(map(tuple, toxicity.score(docs, toxicity.train(docs, labels, train)).collect())))
+    assert held and scores[0] == scores[1]
+
+
+def test_toxicity_decodes_long_tokens_in_linear_time(spark):
+    costs = toxicity.character_costs(frame(spark, ["an idiot and a moron are clowns; the idiot is stupid"] * 5)).tolist()
+    word = toxicity.decode("1d10t" * 20_000, costs)
+    assert word[-50:] == "idiot" * 10 and len(word) >= 90_000
+
+
+def test_every_language_is_a_class(spark):
+    """As many languages as there are, each with a letter of its own."""
+    rows = [(100 * k + i, f"{chr(0x4E00 + 97 * k)}{chr(0x3041 + k)} " * 30, f"l{k:02}") for k in range(70) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.labels) == 70
+    assert language_id.train(docs.limit(0), F.lit(True)) is None
+    assert language_id.identify(docs.limit(0), model).isEmpty()
+
+
 def test_language_id(spark):
     rng = random.Random(0)
     words = {"en": ["the", "with", "house", "thing"], "de": ["und", "der", "straße", "schön"]}
@@ -301,6 +331,72 @@ def test_quality_rules(spark):
     assert (got[40].n_symbols, got[40].n_repeat_words) == (800, 200)
 
 
+def quality_brute(rows, class_limit=0.25, word_limit=0.5):
+    """The base counts and the verdict of each (text, language), one character and one word at a time."""
+    kinds = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), **dict.fromkeys("0123456789", 2), **dict.fromkeys(" \t\x0b\x0c\r", 3), "\n": 4, **dict.fromkeys(".,;:!?'\"()-", 5), **dict.fromkeys("#*$%&|<>", 7)}
+
+    def classes(text):
+        n = Counter()
+        for ch in text:
+            if ch < "\x80":
+                n[kinds.get(ch, 6)] += 1
+            else:
+                n[9] += 1
+                n[8] += len(ch.encode()) - 1
+        return n
+
+    low = lambda w: "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in w)
+    refs = {}
+    for lang in {x for _, x in rows if x}:
+        own = [t or "" for t, x in rows if x == lang]
+        words = Counter(low(w) for t in own for w in WORD.findall(t))
+        refs[lang] = (sum((classes(t) for t in own), Counter()), {w: n for w, n in words.items() if n >= 0.002 * sum(words.values())}, sum(words.values()))
+
+    def distance(p, q):
+        ps, qs, out = sum(p.values()) or 1, sum(q.values()) or 1, 0.0
+        for k in set(p) | set(q):
+            x, y = p.get(k, 0) / ps, q.get(k, 0) / qs
+            out += sum(v * np.log2(2 * v / (x + y)) for v in (x, y) if v > 0)
+        return min(1.0, max(0.0, out / 2)) ** 0.5
+
+    out = []
+    for text, lang in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        repeat = {i + k for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        failed = len(words) < 20 or 100 * len(repeat) > 30 * len(words)
+        best = None
+        for name in sorted(refs) if lang not in refs else [lang]:
+            cls, common, total = refs[name]
+            own = Counter(w if (w := low(x)) in common else "" for x in words)
+            found = distance(classes(text), cls), distance(own, {**common, "": total - sum(common.values())})
+            if best is None or sum(found) < sum(best):
+                best = found
+        bad = best is not None and ((len(text.encode()) >= 300 and best[0] > class_limit) or (len(words) >= 60 and best[1] > word_limit))
+        out.append((len(words), sum(len(w) for w in words), sum(text.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), failed, not failed and not bad, best))
+    return out
+
+
+def test_quality_rules_equal_brute_force(spark):
+    rng = random.Random(7)
+    vocab = {"en": "the of and house which their through going Light River".split(), "el": "και του αυτό θάλασσα σπίτι δρόμος μεγάλος ουρανός νερό φως".split(), "zz": ["" for _ in range(3)]}
+    rows = []
+    for i in range(90):
+        lang = ["en", "el", None][i % 3]
+        own = vocab[lang or "el"]
+        rows.append((" ".join(rng.choice(own) + ("," if rng.random() < 0.1 else "") for _ in range(rng.choice((5, 30, 90, 200)))), lang))
+    rows += [("qzx vrrk " * 70 + " ".join(f"x{i}" for i in range(300)), "en"), ("\u03b1" * 900, "el"), ("#$%&" * 200, "en"), (None, "en"), ("", None), ("  \n \n", "zz"), (rows[4][0], "en"), (rows[4][0], "en"), ("a b\na b\n\na b c", "el")]
+    docs = spark.createDataFrame([(i, t, x, "clash") for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, _lang string").repartition(4)
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for i, want in enumerate(quality_brute(rows)):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want[:7], rows[i]
+        assert (r.class_distance, r.word_distance) == pytest.approx(want[7], abs=1e-9)
+    assert 3 <= sum(not r.kept and not r.base_failed for r in got.values()) < 60
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>é" + "x" * 200 + "</p>\r\n\r\nWARC/1.1\r\n"
     rows = [(5, "http://a.org/x", body), (3, "HTTPS://www.a.org:80/x?q=1#f", body), (9, "http://b.org", "small"), (2, None, "small"), (7, "u", None), (None, "http://z", body), (3, "HTTPS://www.a.org:80/x?q=1#f", body)]
@@ -311,6 +407,28 @@ def test_warc_round_trip(spark, tmp_path):
     n = len(body.encode())
     assert types == [(-1, "response", n), (2, "response", 5), (3, "revisit", n), (3, "revisit", n), (5, "revisit", n), (7, "response", 0), (9, "response", 5)]
     assert warc.url_key("http://www.A.org:80/p?q#f") == "org,a)/p?q"
+    for r in got:  # an entry of the index fetches its record alone
+        raw = open(r.archive.removeprefix("file:"), "rb").read()
+        record = gzip.decompress(raw[r.offset : r.offset + r.length])
+        assert record.startswith(b"WARC/1.1") and r.url.encode() in record
+        gzip.decompress(raw)  # the whole archive is a gzip file too
+
+
+def test_warc_many_archives_and_long_payloads(spark, tmp_path):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdef \n") for _ in range(3 << 20))
+    rows = [(i, f"http://h{i % 7}.org/p{i % 11}", long if i in (5, 9) else f"<p>{i // 2}</p>" * 20, "clash", "clash") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string, digest string").repartition(3)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path, archive_bytes=4000)
+    index = warc.read_index(spark, path)
+    assert index.select("archive").distinct().count() > 3
+    got = warc.merge_index(index).collect()
+    assert [(r.url_key, r.ts, r.page_id) for r in got] == sorted((r.url_key, r.ts, r.page_id) for r in got)
+    assert sorted(r.page_id for r in got) == list(range(300))
+    by = {r.page_id: r for r in got}
+    assert (by[9].record_type, by[9].refers_to, by[9].payload_bytes, by[9].payload_digest) == ("revisit", 5, len(long), sha(long))
+    assert all((by[i].record_type, by[i].refers_to) == ("revisit", i - 1) for i in range(1, 300, 2) if i not in (5, 9) and i - 1 not in (5, 9))
 
 
 def test_loser_tree_merges():
@@ -327,6 +445,9 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for t in (substring_dedup(none), suffix_dedup(none), line_dedup(none), mix_sources(none), decontaminate(none, bench), jj.jaccard_join(none), quality_rules(none), warc.archive_pages(pages)):
         assert t.isEmpty()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(none, toxicity.train(none, labels, F.lit(True))).isEmpty()
+    assert language_id.identify(none, language_id.train(none, F.lit(True))).isEmpty()
 
 
 def test_repeated_rows_and_null_ids(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The standard genetic code, codons in the order of BASES.
 BASES = "TCAG"
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY*"
 
 
 def complement(seq: Column) -> Column:
@@ -81,3 +82,38 @@ def gene_prefix(name: Column) -> Column:
 def bin_of(value: Column, scale: float, missing: int = -1000) -> Column:
     """The value times ``scale``, truncated; ``missing`` for null and NaN."""
     return F.when(value.isNull() | F.isnan(value.cast("double")), missing).otherwise((value * scale).cast("int"))
+
+
+def strict_reverse_complement(seq: Column) -> Column:
+    """Upper-cased first; a base that isn't one of ACGTN fails the job."""
+    up = F.upper(seq)
+    return F.when(up.rlike("[^ACGTN]"), F.raise_error(F.concat(F.lit("invalid base in "), F.substring(up, 1, 50))).cast("string")).otherwise(reverse_complement(up))
+
+
+def amino_ids(seq: Column) -> Column:
+    """The place of each codon's residue in RESIDUES, -1 where there is none."""
+    return F.transform(codons(seq), lambda c: F.instr(F.lit(RESIDUES), amino_acid(c)) - 1)
+
+
+def untranslated(seq: Column, five: Column, coding: Column) -> Column:
+    """Struct ``five, coding, three`` of a transcript cut by the sizes of its first two parts."""
+    return F.struct(F.substring(seq, F.lit(1), five).alias("five"), F.substring(seq, five + 1, coding).alias("coding"), F.substring(seq, five + coding + 1, F.length(seq)).alias("three"))
+
+
+def term_id(text: Column) -> Column:
+    """``GO:0001`` of ``a name [GO:0001]``, else null."""
+    return F.nullif(F.regexp_extract(text, r"\[(GO:\d+)\]", 1), F.lit(""))
+
+
+def term_name(text: Column) -> Column:
+    """What stands before the bracket."""
+    return F.trim(F.regexp_replace(text, r"\s*\[GO:\d+\].*$", ""))
+
+
+def variant_id(*parts: Column) -> Column:
+    return F.concat_ws("_", *(p.cast("string") for p in parts))
+
+
+def unversioned(name: Column) -> Column:
+    """What stands before the first point."""
+    return F.split_part(name, F.lit("."), F.lit(1))

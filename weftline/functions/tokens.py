@@ -153,3 +153,45 @@ def class_labels(labels: Column, classes: str, start: Column, stop: Column) -> C
     part = F.substring(labels, start + 1, stop - start)
     edge = F.array(F.lit(IGNORED))
     return F.concat(edge, F.when(F.length(part) > 0, F.transform(F.split(part, ""), one)).otherwise(F.array().cast("array<int>")), edge)
+
+
+def token_types(ids: Column) -> Column:
+    """0 for special tokens, else 1 and the place of the codon's residue in RESIDUES."""
+
+    def one(x: Column) -> Column:
+        codon = F.concat(*(F.substring(F.lit(BASES), F.floor((x - MASK - 1) / k).cast("int") % 4 + 1, F.lit(1)) for k in (16, 4, 1)))
+        return F.when(x <= MASK, 0).otherwise(F.instr(F.lit(S.RESIDUES), S.amino_acid(codon)))
+
+    return F.transform(ids, one)
+
+
+def upper_ids(ids: Column) -> Column:
+    """Codes of a-z become those of A-Z."""
+    return F.transform(ids, lambda x: F.when(x.between(97, 122), x - 32).otherwise(x))
+
+
+# Classes of secondary structure, three or eight of them.
+THREE_STATES = {"H": 0, "E": 1, "C": 2}
+EIGHT_STATES = {"G": 0, "H": 1, "I": 2, "B": 3, "E": 4, "S": 5, "T": 6, "C": 7}
+
+
+def structure_labels(states: Column, classes: dict[str, int]) -> Column:
+    """A label for each state, between two ignored ones for the special tokens; other characters are ignored too."""
+    codes = F.when(F.length(states) > 0, F.split(states, "")).otherwise(F.array().cast("array<string>"))
+    table = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+    end = F.array(F.lit(IGNORED))
+    return F.concat(end, F.transform(codes, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(IGNORED))), end)
+
+
+def framed_keeping_end(ids: Column, context: int) -> Column:
+    """CLS, tokens and SEP cut to ``context`` in such a way that SEP stays last; no padding."""
+    return F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, context - 2), F.array(F.lit(SEP)))
+
+
+def prediction_row(ids: Column, end: int | None) -> Column:
+    """Struct ``ids, positions, mask``: an optional leading end token has mask 0."""
+    head = F.array(F.lit(end)) if end is not None else F.array().cast("array<int>")
+    row = F.concat(head, ids)
+    n = F.size(row)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.struct(row.alias("ids"), places.alias("positions"), F.concat(F.array_repeat(F.lit(0), F.size(head)), F.array_repeat(F.lit(1), F.size(ids))).alias("mask"))

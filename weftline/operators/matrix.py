@@ -82,3 +82,16 @@ def near_maximum(values: DataFrame, row: str, place: str, value: str, reach: int
     """Adds the maximum of the values within ``reach`` places of the same row."""
     w = Window.partitionBy(row).orderBy(place).rowsBetween(-reach, reach)
     return values.withColumn(out, F.max(value).over(w))
+
+
+def cast_losses(coo: DataFrame, value: str, to: str, tolerance: float) -> DataFrame:
+    """``largest, beyond``: the largest change of a value that a cast makes, and how many values change by more than ``tolerance``."""
+    change = F.abs(F.col(value) - F.col(value).cast(to).cast("double"))
+    return coo.agg(F.max(change).alias("largest"), F.count_if(change > tolerance).alias("beyond"))
+
+
+def least_unsigned(coo: DataFrame, value: str) -> DataFrame:
+    """``fits``: the least unsigned type that holds all values; a negative one fails the job."""
+    top = F.max(value)
+    kind = F.when(top < 2**8, "uint8").when(top < 2**16, "uint16").when(top < 2**32, "uint32").otherwise("uint64")
+    return coo.agg(F.when(F.min(value) < 0, F.raise_error(F.lit("a negative value")).cast("string")).otherwise(kind).alias("fits"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import basics, biology, models, training  # noqa: F401  they register their queries in basics
+from weftline.plans import assembly, basics, biology, corpora, features, formats, models, outcomes, projections, training  # noqa: F401  they register their queries in basics
 
 FLAGSHIP = "j03_variant_exon_join"
 

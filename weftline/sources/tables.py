@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,21 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def standard_names(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Columns renamed: as ``mapping`` says, else camelCase and spaces to snake_case."""
+    snake = lambda c: re.sub(r"[\s\-]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", c.strip())).lower()
+    return df.toDF(*((mapping or {}).get(c) or snake(c) for c in df.columns))
+
+
+def validated(df: DataFrame, seq: str, position: str, *columns: str) -> DataFrame:
+    """``check, rows``: how many rows break each rule: a length that is no multiple of three, a null in a column, a position outside the
+    sequence's codons. One pass; a missing column raises."""
+    require(df, seq, position, *columns)
+    bad = {"length": F.length(seq) % 3 != 0, "position": (F.col(position) < 0) | (F.col(position) >= F.floor(F.length(seq) / 3))} | {f"null_{c}": F.col(c).isNull() for c in columns}
+    t = df.agg(*(F.count_if(b).alias(k) for k, b in bad.items()))
+    return t.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("rows")) for k in bad))).alias("x")).select("x.check", "x.rows")
+
+
 def read_benchmark(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """``id, value, ref_seq, split`` of a CSV file, U read as T, of one split if named."""
     t = require(spark.read.option("header", True).csv(path), "id", "value", "ref_seq", "split")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import sequences as S
+
 
 def shape(coo: DataFrame, row: str, col: str) -> DataFrame:
     """Rows, columns, stored values and sparsity."""
@@ -95,3 +97,35 @@ def least_unsigned(coo: DataFrame, value: str) -> DataFrame:
     top = F.max(value)
     kind = F.when(top < 2**8, "uint8").when(top < 2**16, "uint16").when(top < 2**32, "uint32").otherwise("uint64")
     return coo.agg(F.when(F.min(value) < 0, F.raise_error(F.lit("a negative value")).cast("string")).otherwise(kind).alias("fits"))
+
+
+def neighbour_lists(edges: DataFrame, row: str, nbr: str, weight: str, order: list[str]) -> DataFrame:
+    """``row, neighbours, weights`` in the given order; a list is as long as a row's degree."""
+    t = edges.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(nbr).alias("_n"), F.col(weight).alias("_w")))).alias("_x"))
+    return t.select(row, F.transform("_x", lambda v: v["_n"]).alias("neighbours"), F.transform("_x", lambda v: v["_w"]).alias("weights"))
+
+
+def neighbour_counts(rows: DataFrame, edges: DataFrame, row: str, nbr: str) -> DataFrame:
+    """``total, least, most, mean, without`` over all rows, those without a neighbour too."""
+    per = rows.join(edges.groupBy(row).agg(F.count(nbr).alias("n")), row, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return per.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.count_if(F.col("n") == 0).alias("without"))
+
+
+def row_range(bounds: DataFrame, block: str, start: int, stop: int) -> DataFrame:
+    """``block, first, last``: the part [first, last) of each block that the rows [start, stop) lie in."""
+    t = bounds.filter((F.col("start") < stop) & (F.col("stop") > start))
+    return t.select(block, (F.greatest(F.col("start"), F.lit(start)) - F.col("start")).alias("first"), (F.least(F.col("stop"), F.lit(stop)) - F.col("start")).alias("last"))
+
+
+def member_places(members: DataFrame, name: str, offsets: DataFrame, group: str, first: str) -> DataFrame:
+    """Adds ``place`` to members named ``group_i`` (cut at the last stroke): the group's offset and i."""
+    t = members.withColumns({group: F.regexp_extract(name, r"^(.*)_(\d+)$", 1), "_i": F.regexp_extract(name, r"^(.*)_(\d+)$", 2).try_cast("long")})
+    return t.join(offsets, group).withColumn("place", F.col(first) + F.col("_i")).drop("_i", first)
+
+
+def first_match(proteins: DataFrame, candidates: DataFrame, key: str, protein: str, cds: str, order: str, genomic: str) -> DataFrame:
+    """``key, candidate``: the first candidate, in order, whose translation is the protein or differs in its first residue only; null without one."""
+    t = candidates.filter(~F.col(genomic) & (F.col(cds) != "")).select(key, order, S.translate(F.col(cds)).alias("_t")).join(proteins, key)
+    rest = lambda x: F.substring(x, 2, 2**31 - 1)
+    same = (F.length("_t") == F.length(protein)) & (rest("_t") == rest(protein))
+    return proteins.select(key).join(t.filter(same).groupBy(key).agg(F.min(order).alias("candidate")), key, "left")

@@ -219,12 +219,13 @@ def e06_row_pointers(spark, sf_dir):
     return t.select("cell", "block", "n", (F.sum("n").over(w) - F.col("n")).alias("pointer"))
 
 
-NBRS = "nbrs AS (SELECT a.o_orderkey AS cell, b.o_orderkey AS nbr, b.o_orderdate AS d FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey))"
+NBRS = "ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders), nbrs AS (SELECT a.o_orderkey AS cell, b.o_orderkey AS nbr, b.o_orderdate AS d FROM ranked a JOIN ranked b ON a.o_custkey = b.o_custkey AND b.r BETWEEN a.r + 1 AND a.r + 16)"
 
 
 def nbrs(spark, sf_dir) -> DataFrame:
+    """The sixteen orders of a customer that follow an order: at most that many edges for each row, however many orders a customer has."""
     o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(1, 16)
     t = o.select(F.col("o_orderkey").alias("cell"), F.collect_list(F.struct(F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("nbr"))).over(w).alias("x"))
     return t.select("cell", F.explode("x").alias("x")).select("cell", "x.nbr", "x.d")
 

@@ -129,3 +129,53 @@ def first_match(proteins: DataFrame, candidates: DataFrame, key: str, protein: s
     rest = lambda x: F.substring(x, 2, 2**31 - 1)
     same = (F.length("_t") == F.length(protein)) & (rest("_t") == rest(protein))
     return proteins.select(key).join(t.filter(same).groupBy(key).agg(F.min(order).alias("candidate")), key, "left")
+
+
+def layer(rows: DataFrame, name: str, row: str, col: str, densest: float) -> DataFrame:
+    """``row, col, value`` of one layer (a column). A missing layer raises; a matrix that stores more than ``densest`` of its places fails the job."""
+    if name not in rows.columns:
+        raise ValueError(f"no layer {name}")
+    t = rows.select(row, col, F.col(name).alias("value")).filter(F.col("value").isNotNull())
+    full = shape(t, row, col).select((1 - F.col("sparsity")).alias("_full"))
+    checked = F.when(F.col("_full") > densest, F.raise_error(F.lit("a dense matrix")).cast("boolean")).otherwise(F.lit(True))
+    return t.crossJoin(F.broadcast(full.filter(checked))).drop("_full")  # one row
+
+
+def checked_union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of all, columns by name; other columns or types than the first's raise."""
+    kinds = dict(first.dtypes)
+    for t in others:
+        if dict(t.dtypes) != kinds:
+            raise ValueError(f"schemas differ: {sorted(set(kinds.items()) ^ set(t.dtypes))}")
+    out = first
+    for t in others:
+        out = out.unionByName(t)
+    return out
+
+
+def concatenated(parts: list[DataFrame], row: str, col: str, value: str) -> DataFrame:
+    """``part, row, row_index, n, pointer, entries``: the rows of all parts in order of part and row, numbered on, with the count of stored
+    values before each. Integers of different widths take the widest, other mixed kinds raise. A part's rows are counted by
+    ranges first, so no task numbers them all."""
+    kinds = {dict(p.dtypes)[value] for p in parts}
+    if len(kinds) > 1 and not kinds <= {"tinyint", "smallint", "int", "bigint"} and not kinds <= {"float", "double"}:
+        raise ValueError(f"values of {', '.join(sorted(kinds))}")
+    every = None
+    for k, p in enumerate(parts):
+        t = p.select(F.lit(k).alias("part"), row, col, value)
+        every = t if every is None else every.unionByName(t)
+    rows = every.groupBy("part", row).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).alias("v")))).alias("entries"))
+    place = dense_index(rows.select(F.struct("part", row).alias("_k"), (F.col("part") * F.lit(2.0**40) + F.col(row)).alias("_o")), "_o")
+    rows = rows.withColumn("_o", F.col("part") * F.lit(2.0**40) + F.col(row)).join(place, "_o").drop("_o")
+    t = rows.withColumn("_b", F.floor(F.col("row_index") / 4096))
+    before = t.groupBy("_b").agg(F.sum("n").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.sum("n").over(Window.partitionBy("_b").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return t.join(before, "_b").select("part", row, "row_index", "n", (F.col("_at") + inside).alias("pointer"), "entries")
+
+
+def feature_blocks(parts: DataFrame, order: str, rows: str, features: str) -> DataFrame:
+    """``block, first, rows, features``: consecutive parts of equal feature lists (told by their hash) are one block. One row for each part."""
+    w = Window.orderBy(order)
+    t = parts.withColumn("_h", F.sha2(F.to_json(F.struct(features)), 256))
+    t = t.withColumn("_new", (~F.col("_h").eqNullSafe(F.lag("_h").over(w))).cast("int")).withColumn("block", F.sum("_new").over(w))
+    return t.groupBy("block").agg(F.min(order).alias("first"), F.sum(rows).alias("rows"), F.min_by(features, order).alias("features"))

@@ -89,3 +89,13 @@ def extremes(scores: DataFrame, row: str, col: str, k: int) -> DataFrame:
         w = Window.partitionBy(row).orderBy(order, col)
         sides.append(scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("side", F.lit(side)))
     return sides[0].unionByName(sides[1])
+
+
+def reconstruction_by_dimension(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``mse, explained, normalised``: the mean squared error, 1 - the residuals' variance over the variance (both summed over dimensions), and
+    the error over the variance of all elements (sample variances)."""
+    t = df.select(F.posexplode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("i", "z")).select("i", F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
+    d = F.col("a") - F.col("b")
+    per = t.groupBy("i").agg(F.count("*").alias("n"), F.sum(d * d).alias("e"), F.var_samp("a").alias("va"), F.var_samp(d).alias("vr"), F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"))
+    n, s = F.sum("n"), F.sum("s")
+    return per.agg((F.sum("e") / n).alias("mse"), (1 - F.sum("vr") / F.sum("va")).alias("explained"), (F.sum("e") / n / ((F.sum("q") - s * s / n) / (n - 1))).alias("normalised"))

@@ -44,3 +44,18 @@ def first_contained(ids: DataFrame, id_col: str, text: str, keys: DataFrame, key
     found = ids.filter(F.col(text).isNotNull()).select(id_col, F.explode(F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")).alias(key))
     found = found.join(keys.select(key, F.col(order).alias("_o")), key).groupBy(id_col).agg(F.min(F.struct("_o", key))[key].alias(key))
     return ids.select(id_col).join(found, id_col, "left")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``v, label``: the least vertex of each vertex's component, for undirected links ``a, b``: labels spread to neighbours and jump to
+    their own label's label, so the rounds grow with the logarithm of a component's length. No component is gathered anywhere."""
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("above"))
+        moved = stored(step.join(jump, "label", "left").select("v", "old", F.least("label", "above").alias("label")))
+        labels = moved.select("v", "label")
+        if moved.filter("label != old").isEmpty():
+            return labels

@@ -58,9 +58,9 @@ def size_bucket(size: Column, bounds: list[int]) -> Column:
     return out
 
 
-def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budget: int) -> DataFrame:
-    """``lane, order, size, batch``: greedy batches of up to ``budget`` in each lane, in order; larger items are skipped.
-    The only order-dependent step; a lane is held by one task, so lanes are to be stretches of bounded size."""
+def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budget: int, drop_last: bool = False) -> DataFrame:
+    """``lane, order, size, batch``: greedy batches of up to ``budget`` in each lane, in order; larger items are skipped, and
+    with ``drop_last`` a lane's last batch goes unless it is full. The only order-dependent step; a lane is held by one task, so lanes are to be stretches of bounded size."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[size] <= budget].sort_values([order])
@@ -70,7 +70,8 @@ def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budg
                 batch, used = batch + 1, 0
             used += n
             out.append(batch)
-        return pdf.assign(batch=out)
+        pdf = pdf.assign(batch=out)
+        return pdf[pdf["batch"] < batch] if drop_last and used < budget else pdf
 
     rows = items.select(*lane, order, size)
     return rows.groupBy(*lane).applyInPandas(work, rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch int")

@@ -99,3 +99,84 @@ def reconstruction_by_dimension(df: DataFrame, a: str, b: str) -> DataFrame:
     per = t.groupBy("i").agg(F.count("*").alias("n"), F.sum(d * d).alias("e"), F.var_samp("a").alias("va"), F.var_samp(d).alias("vr"), F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"))
     n, s = F.sum("n"), F.sum("s")
     return per.agg((F.sum("e") / n).alias("mse"), (1 - F.sum("vr") / F.sum("va")).alias("explained"), (F.sum("e") / n / ((F.sum("q") - s * s / n) / (n - 1))).alias("normalised"))
+
+
+def fitness(tokens: DataFrame, seq: str, logp: str, kept: Column) -> DataFrame:
+    """``seq, tokens, fitness``: the mean log-probability over the tokens that ``kept`` admits; null without any."""
+    return tokens.groupBy(seq).agg(F.count_if(kept).alias("tokens"), F.avg(F.when(kept, F.col(logp))).alias("fitness"))
+
+
+def likelihood_ratio(logits: Column, ref: Column, alt: Column) -> Column:
+    """How much likelier a variant's site finds the reference token than the alternate one: the difference of their log-probabilities, in
+    which the normaliser cancels. Null where a token is outside the vocabulary."""
+    return F.get(logits, ref).cast("double") - F.get(logits, alt).cast("double")
+
+
+def delta_scores(variants: DataFrame, names: DataFrame, scores: DataFrame, name: str, ref: str, place: str, score: str) -> DataFrame:
+    """Adds ``delta``: a variant's sequence score less its reference's. Sequences have names, ``names`` gives their places (``name, place``), and
+    ``scores`` is by place; two equi-joins for either side, null where a score is missing."""
+    by = names.join(scores.select(place, score), place).select(F.col(name).alias("_n"), F.col(score).alias("_s"))
+    t = variants.join(by.select(F.col("_n").alias(name), F.col("_s").alias("_v")), name, "left")
+    t = t.join(by.select(F.col("_n").alias(ref), F.col("_s").alias("_r")), ref, "left")
+    return t.withColumn("delta", F.col("_v") - F.col("_r")).drop("_v", "_r")
+
+
+def normal_tail(z: Column) -> Column:
+    """The chance that a standard normal variable exceeds ``z`` in absolute value: a series of positive terms up to 4, a continued fraction beyond."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    q = x * x
+    start = F.struct(x.alias("term"), x.alias("sum"))
+
+    def add(s: Column, n: Column) -> Column:
+        term = s["term"] * 2 * q / (2 * n + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    near = 1 - 2 / F.sqrt(F.pi()) * F.exp(-q) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, add, lambda s: s["sum"])
+    below = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(1.0), lambda s, n: 1 + n / (2 * q) / s)
+    far = F.exp(-q) / (x * F.sqrt(F.pi()) * below)
+    return F.when(x <= 4, near).otherwise(far)
+
+
+def mann_whitney(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+    """``group, n1, n0, u, z, p``: U of label 1 from tie-averaged ranks, and the two-sided normal p-value with the corrections for ties and
+    continuity; null without both classes or without two different scores. Counts of distinct scores come first."""
+    t = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("k"), F.count("*").alias("n"))
+    w = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    t = t.groupBy(group).agg(F.sum(F.col("k") * (2 * F.col("before") + F.col("n") + 1)).alias("r2"), F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n0"), F.sum(F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1)).alias("ties"))
+    n, both = (F.col("n1") + F.col("n0")).cast("double"), F.col("n1").cast("double") * F.col("n0")
+    u = (F.col("r2") - F.col("n1") * (F.col("n1") + 1)) / 2
+    sd = F.sqrt(both / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    t = t.select(group, "n1", "n0", F.when(both > 0, u).alias("u"), F.when((both > 0) & (sd > 0), (F.greatest(u, both - u) - both / 2 - 0.5) / sd).alias("z"))
+    return t.withColumn("p", F.when(F.col("z") <= 0, 1.0).otherwise(normal_tail(F.col("z"))))
+
+
+def regression(df: DataFrame, truth: str, guess: str, fold: str) -> DataFrame:
+    """``fold, n, mse, r2, pearson`` of predictions: ``r2`` is 1 - squared errors over squared deviations."""
+    t = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())
+    e = F.col(truth) - F.col(guess)
+    t = t.groupBy(fold).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.var_pop(truth).alias("v"), F.corr(truth, guess).alias("pearson"))
+    return t.select(fold, "n", "mse", F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"), "pearson")
+
+
+def over_folds(folds: DataFrame, *names: str) -> DataFrame:
+    """``metric, mean, std`` over the rows of ``folds`` (population deviation)."""
+    t = folds.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    return t.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"{n}_m").alias("mean"), F.col(f"{n}_s").alias("std")) for n in names))).alias("x")).select("x.*")
+
+
+def forest_search(df: DataFrame, vector: str, target: str, fold: str, folds: int, grid: dict[str, list], seed: int = 0) -> DataFrame:
+    """A row for each setting of ``grid`` (parameters of Spark's random forest) with ``rmse``, the mean over given folds; ``best`` marks the least."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    t = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(target).cast("double").alias("label"), F.col(fold).cast("int").alias("fold"))
+    forest, build = RandomForestRegressor(seed=seed), ParamGridBuilder()
+    for name, values in grid.items():
+        build = build.addGrid(getattr(forest, name), values)
+    settings = build.build()
+    found = CrossValidator(estimator=forest, estimatorParamMaps=settings, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, foldCol="fold", seed=seed).fit(t).avgMetrics
+    rows = [(*(float(s[getattr(forest, n)]) for n in grid), float(m), m == min(found)) for s, m in zip(settings, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} double" for n in grid), "rmse double", "best boolean"]))

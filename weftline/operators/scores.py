@@ -178,5 +178,5 @@ def forest_search(df: DataFrame, vector: str, target: str, fold: str, folds: int
         build = build.addGrid(getattr(forest, name), values)
     settings = build.build()
     found = CrossValidator(estimator=forest, estimatorParamMaps=settings, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, foldCol="fold", seed=seed).fit(t).avgMetrics
-    rows = [(*(float(s[getattr(forest, n)]) for n in grid), float(m), m == min(found)) for s, m in zip(settings, found, strict=True)]
+    rows = [(*(float(s[getattr(forest, n)]) for n in grid), float(m), bool(m == min(found))) for s, m in zip(settings, found, strict=True)]
     return df.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} double" for n in grid), "rmse double", "best boolean"]))

@@ -81,7 +81,7 @@ def r20_buffered_shuffle(spark, sf_dir):
     return corpora.buffered_shuffle(t, "shard", "event_id", 100, 71).select("event_id", "turn", "stretch", "at")
 
 
-@query("WITH d AS (SELECT source, lang, count(*) * CASE WHEN lang = 'de' THEN -1.5 ELSE 1.0 END::DOUBLE AS w FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL) SELECT lang, source, round(w / sum(abs(w)) OVER (PARTITION BY lang), 9) AS share, floor(abs(w / sum(abs(w)) OVER (PARTITION BY lang)) * 100000 + 0.5)::BIGINT AS quota FROM d")
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang), d AS (SELECT source, lang, (CASE WHEN lang = 'de' THEN n * -1.5 ELSE n END)::DOUBLE AS w FROM c), t AS (SELECT lang, sum(abs(w)) AS total FROM d GROUP BY lang) SELECT lang, source, round(w / total, 9) AS share, floor(abs(w / total) * 100000 + 0.5)::BIGINT AS quota FROM d JOIN t USING (lang)")
 def r22_blend_weights(spark, sf_dir):
     """Weights of datasets normalised in each split, and their quotas."""
     d = table(spark, sf_dir, "documents").filter("source is not null and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n"))

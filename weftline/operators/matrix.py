@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import sequences as S
+from weftline.storage import stored
 
 
 def shape(coo: DataFrame, row: str, col: str) -> DataFrame:
@@ -20,17 +21,15 @@ def csr_rows(coo: DataFrame, row: str, col: str, value: str) -> DataFrame:
     return t.select(row, F.transform("x", lambda e: e["c"]).alias("columns"), F.transform("x", lambda e: e["v"]).alias("values"))
 
 
-def dense_index(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """``key, row_index``: the place of each distinct key in order, by counts of key ranges instead of one global sort."""
-    keys = df.select(key).distinct()
-    bounds = keys.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col(key) > b).cast("int")
-    keys = keys.withColumn("_part", part)
+def dense_index(df: DataFrame, key: str) -> DataFrame:
+    """``key, row_index``: the place of each distinct key in order, without one global sort: keys are dealt by ranges, as many as the session has
+    shuffle partitions, and stored with their range's number; counts of ranges give each its first place, and a task ranks one range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = stored(df.select(key).distinct().repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
     counts = keys.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return keys.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).alias("row_index"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))  # a row for each range
+    return keys.join(F.broadcast(counts), "_part").select(key, (F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).alias("row_index"))
 
 
 def neighbour_stats(edges: DataFrame, row: str, nbr: str) -> DataFrame:
@@ -165,8 +164,8 @@ def concatenated(parts: list[DataFrame], row: str, col: str, value: str) -> Data
         t = p.select(F.lit(k).alias("part"), row, col, value)
         every = t if every is None else every.unionByName(t)
     rows = every.groupBy("part", row).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).alias("v")))).alias("entries"))
-    place = dense_index(rows.select(F.struct("part", row).alias("_k"), (F.col("part") * F.lit(2.0**40) + F.col(row)).alias("_o")), "_o")
-    rows = rows.withColumn("_o", F.col("part") * F.lit(2.0**40) + F.col(row)).join(place, "_o").drop("_o")
+    rows = rows.withColumn("_o", F.struct("part", row))
+    rows = rows.join(dense_index(rows, "_o"), "_o").drop("_o")
     t = rows.withColumn("_b", F.floor(F.col("row_index") / 4096))
     before = t.groupBy("_b").agg(F.sum("n").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.sum("n").over(Window.partitionBy("_b").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")

@@ -44,8 +44,7 @@ def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
-def test_substring_dedup_equals_brute_force(spark):
-    texts, k = corpus(), 20
+def brute_words(texts, k):
     first = {}
     words = [WORD.findall(t or "") for t in texts]
     for d, w in enumerate(words):
@@ -58,6 +57,12 @@ def test_substring_dedup_equals_brute_force(spark):
             if first[tuple(w[i : i + k])] != (d, i):
                 gone.update(range(i, i + k))
         want[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return want
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    texts, k = corpus(), 20
+    want = brute_words(texts, k)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, texts), k).collect()}
     assert got == want
 
@@ -83,6 +88,33 @@ def test_suffix_dedup_equals_brute_force(spark, k):
     assert got == brute_bytes(texts, k)
 
 
+def hot_corpus():
+    """Many documents around one passage, whole copies, and rows of one id."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(180))
+    own = lambda k: " ".join(f"u{rng.randrange(10**6)}" for _ in range(k))
+    return [f"{own(rng.randrange(30))} {passage} {own(rng.randrange(30))}".strip() for _ in range(60)] + [passage, passage, passage + " " + passage, own(300), "", None]
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_hot_minimisers_change_nothing(spark, monkeypatch, every):
+    texts = hot_corpus()
+    real, seen = c.hot_bins, []
+
+    def bins(docs, keys, buckets):
+        seen.append(real(docs, keys, buckets))
+        return np.arange(c.BINS) if every else seen[-1]
+
+    monkeypatch.setattr(c, "hot_bins", bins)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(frame(spark, texts).coalesce(1 + every), 200).collect()}
+    assert got == brute_bytes(texts, 200)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, texts).coalesce(1 + every), 20).collect()}
+    assert got == brute_words(texts, 20)
+    assert every or all(len(x) for x in seen)  # the passage's minimisers are found hot
+    same = substring_dedup(frame(spark, [texts[0]] * 2 + [texts[1]], [4, 4, 9]), 20).collect()
+    assert sorted((r.doc_id, r.n_removed > 0) for r in same) == [(4, False), (4, False), (9, True)]
+
+
 def test_merged_transforms_give_the_order_of_all_rotations():
     rng = np.random.default_rng(0)
     shards = []

@@ -175,6 +175,12 @@ def runs(marks: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.flatnonzero(marks & ~after) + 1 - starts
 
 
+def each_window(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window of the strings starts, and the number of its string."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return np.repeat(first, count) + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), owner
+
+
 FIELDS = (("id", np.int64), ("h", np.int64), ("key", np.uint64), ("start", np.int32), ("windows", np.int32), ("length", np.int32), ("anchor", np.int32), ("flag", np.int8))
 
 
@@ -230,11 +236,11 @@ class Blobs:
     @staticmethod
     def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], schema=MOVED)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=MOVED)
 
 
-MOVED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
-MOVED_SQL = "bucket int, payload binary, _id long, _h long, s int, n int"
+MOVED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("fa", pa.int64()), ("fb", pa.int64())])
+MOVED_SQL = "bucket int, payload binary, _id long, _h long, s int, n int, fa long, fb long"
 SPANS = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 SPANS_SQL = "_id long, _h long, s int, n int"
 
@@ -249,7 +255,99 @@ def known(ids, hashes, s, n, buckets: int) -> pa.RecordBatch:
         ids, hashes, s, n = ids[at], hashes[at], s[at], np.add.reduceat(n, at)
     k = len(ids)
     bucket = (mix(np.asarray(hashes).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32))], schema=MOVED)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=MOVED)
+
+
+BINS = 1 << 20
+
+
+def key_bin(key: np.ndarray) -> np.ndarray:
+    """One of BINS classes of a minimiser."""
+    return (mix(key) >> np.uint64(44)).astype(np.int64)
+
+
+def hot_bins(docs: DataFrame, keys, buckets: int) -> np.ndarray:
+    """The classes of minimisers that hold more strings than a bucket's even share, so at most ``buckets``. A task counts its strings by class and
+    sends the classes that stand out there; what it finds decides only how a class travels, not what is found."""
+
+    def count(batches):
+        seen = np.zeros(BINS, np.int64)
+        for chunk in chunks(batches):
+            seen += np.bincount(key_bin(keys(chunk)), minlength=BINS)
+        total = int(seen.sum())
+        at = np.flatnonzero(seen >= max(16, 8 * total // BINS))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], names=["bin", "n"])
+
+    counted = store(docs.mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")))
+    total = counted.filter("bin = -1").first()
+    if total is None:
+        return np.zeros(0, np.int64)
+    return np.array(sorted(r["bin"] for r in counted.filter(F.col("bin") >= 0).filter(F.col("n") * buckets > F.lit(total["n"])).select("bin").collect()), np.int64)
+
+
+class HotWindows:
+    """Windows of hot minimisers, which travel one by one under their 128-bit fingerprint, so that a common passage is spread over all
+    buckets. A task gathers up to ``limit`` of them and sends each distinct one once: with ``earliest`` the first start, the later ones being
+    settled; else any, and all that repeat are settled (a sent one that is settled has 1 in column n)."""
+
+    def __init__(self, bins: np.ndarray, buckets: int, earliest: bool, limit: int = 1 << 20):
+        self.hot = np.zeros(BINS, bool)
+        self.hot[bins] = True
+        self.buckets, self.earliest, self.limit, self.size = buckets, earliest, limit, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def takes(self, key: np.ndarray) -> np.ndarray:
+        return self.hot[key_bin(key)]
+
+    def add(self, fa, fb, ids, hashes, s, settled) -> Iterator[pa.RecordBatch]:
+        self.held.append((fa, fb, ids, hashes, s, settled))
+        self.size += len(fa)
+        if self.size >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        fa, fb, ids, hashes, s, settled = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        keep, late, settled = window_groups(fa, fb, ids, hashes, s, settled, self.earliest)
+        if len(late):
+            yield known(ids[late], hashes[late], s[late], np.ones(len(late), np.int64), self.buckets)
+        k = len(keep)
+        bucket = (fa[keep] % np.uint64(self.buckets)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids[keep]), pa.array(hashes[keep]), pa.array(s[keep].astype(np.int32)), pa.array(settled[keep].astype(np.int32)), pa.array(fa[keep].view(np.int64)), pa.array(fb[keep].view(np.int64))], schema=MOVED)
+
+
+def window_groups(fa, fb, ids, hashes, s, settled, earliest: bool):
+    """Of equal fingerprints: the row kept, the rows found to be late or repeated and not settled yet (in order of document and start), and all rows' new state."""
+    order = np.lexsort((s, hashes, ids, fb, fa))
+    first = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    first[1:] = (fa[a] != fa[b]) | (fb[a] != fb[b])
+    group = np.cumsum(first) - 1
+    keep = order[first]
+    if earliest:
+        lead = keep[group]
+        found = order[(ids[order] != ids[lead]) | (hashes[order] != hashes[lead]) | (s[order] != s[lead])]
+        state = settled
+    else:
+        found = order[(np.bincount(group)[group] > 1) & (settled[order] == 0)]
+        state = settled.copy()
+        state[found] = 1
+        # the kept row is settled if any of its group was
+        any_settled = np.zeros(len(keep), state.dtype)
+        np.maximum.at(any_settled, group, state[order])
+        state[keep] = any_settled
+    return keep, found[np.lexsort((s[found], hashes[found], ids[found]))], state
+
+
+def hot_spans(rows: list[tuple[np.ndarray, ...]], earliest: bool) -> Iterator[pa.RecordBatch]:
+    """The spans of a bucket's windows that start elsewhere too (``earliest``: earlier)."""
+    fa, fb, ids, hashes, s, settled = (np.concatenate(x) for x in zip(*rows, strict=True))
+    _, found, _ = window_groups(fa, fb, ids, hashes, s, settled, earliest)
+    if len(found):
+        t = known(ids[found], hashes[found], s[found], np.ones(len(found), np.int64), 1)
+        yield pa.RecordBatch.from_arrays([t.column(i) for i in (2, 3, 4, 5)], schema=SPANS)
 
 
 def unpack(payloads: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
@@ -267,22 +365,39 @@ def unpack(payloads: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
     return {k: np.concatenate(x) for (k, _), x in zip(FIELDS, zip(*columns, strict=True), strict=True)}, b"".join(texts)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """Over a partition sorted by bucket: pass settled spans on, and call ``work(payloads)`` for each bucket."""
-    bucket, held = None, []
+def by_bucket(batches: Iterator[pa.RecordBatch], work, earliest: bool) -> Iterator[pa.RecordBatch]:
+    """Over a partition sorted by bucket: pass settled spans on, call ``work(payloads)`` for each bucket, and compare its hot windows."""
+    bucket, held, hot = None, [], []
+
+    def done():
+        if held:
+            yield from work(held)
+        if hot:
+            yield from hot_spans(hot, earliest)
+
     for batch in batches:
         b = batch.column(0).to_numpy()
-        settled = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        packed = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        single = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+        settled = ~packed & ~single
         if settled.any():
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(settled)) for i in (2, 3, 4, 5)], schema=SPANS)
-        for i in np.flatnonzero(~settled).tolist():
-            if b[i] != bucket:
-                if held:
-                    yield from work(held)
-                bucket, held = b[i], []
-            held.append(batch.column(1)[i].as_py())
-    if held:
-        yield from work(held)
+        rest = np.flatnonzero(~settled)
+        cuts = [0, *(np.flatnonzero(np.diff(b[rest])) + 1).tolist(), len(rest)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x == y:
+                continue
+            if b[rest[x]] != bucket:
+                yield from done()
+                bucket, held, hot = b[rest[x]], [], []
+            own = rest[x:y]
+            held += [batch.column(1)[i].as_py() for i in own[packed[own]].tolist()]
+            one = own[single[own]]
+            if len(one):
+                at = pa.array(one)
+                fa, fb, ids, hashes, s, n = (batch.column(i).take(at).to_numpy(zero_copy_only=False) for i in (6, 7, 2, 3, 4, 5))
+                hot.append((fa.view(np.uint64), fb.view(np.uint64), ids, hashes, s.astype(np.int64), n.astype(np.int64)))
+    yield from done()
 
 
 def distinct_strings(columns: dict[str, np.ndarray], text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -3,11 +3,15 @@
 Each window of ``k`` words belongs to its minimiser, the gram of ``m`` words with the least hash.
 Consecutive windows that share one travel as one packed string to the minimiser's bucket, so all
 occurrences of a window meet there; sorting the windows' 128-bit fingerprints then counts them. Before the
-exchange every task keeps one of equal strings: the others' windows have an earlier start already.
+exchange every chunk keeps one of equal strings: the others' windows have an earlier start already.
+
+A minimiser of a passage that many documents share would bring all their strings to one bucket. A first pass finds the minimisers that
+hold more than a bucket's share; their windows travel one by one under their fingerprints instead, each distinct one once a
+task, and are spread over all buckets.
 
 Defined cases: null or empty texts have no words; a null id sorts first; rows that repeat id and
-text are one document; windows equal in words match whatever white space separates them; an empty
-table gives an empty table; other columns are ignored.
+text are one document; windows equal in words match whatever white space separates them; a very long text is a chunk of its
+own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,15 +51,22 @@ def pack(chunk: c.Chunk, k: int, m: int):
     return words, (words.doc[starts], starts, count, grams[at[starts]], hashes)
 
 
-def _map(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    blobs = c.Blobs(buckets)
+def string_keys(chunk: c.Chunk, k: int, m: int) -> np.ndarray:
+    """The minimiser of each of the chunk's super-k-mers."""
+    packed = pack(chunk, k, m)[1]
+    return packed[3] if packed is not None else np.zeros(0, np.uint64)
+
+
+def _map(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    blobs, hot = c.Blobs(buckets), c.HotWindows(bins, buckets, earliest=True)
     for chunk in c.chunks(batches):
         words, packed = pack(chunk, k, m)
         if packed is None or not len(packed[1]):
             continue
         doc, first, count, key, hashes = packed
         last = first + count + k - 1
-        marks = [c.Rolling(hashes, x).spans(first, last) for x in (c.M1, c.M2)]
+        rolling = [c.Rolling(hashes, x) for x in (c.M1, c.M2)]
+        marks = [r.spans(first, last) for r in rolling]
         order = np.lexsort(marks[::-1])
         same = np.concatenate([[False], (marks[0][order][1:] == marks[0][order][:-1]) & (marks[1][order][1:] == marks[1][order][:-1])])
         group = np.empty(len(order), np.int64)
@@ -71,9 +82,17 @@ def _map(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int) -> Ite
         rest &= (ids != ids[other]) | (hs != hs[other]) | (start != start[other])
         if rest.any():
             yield c.known(ids[rest], hs[rest], start[rest], count[rest], buckets)
+        warm = hot.takes(key[keep])
+        single, keep = keep[warm], keep[~warm]
+        if len(single):
+            w, owner = c.each_window(first[single], count[single])
+            yield from hot.add(*(r.spans(w, w + k) for r in rolling), ids[single][owner], hs[single][owner], w - words.first_word[doc[single][owner]], np.zeros(len(w), np.int64))
+        if not len(keep):
+            continue
         a, b = words.starts[first[keep]], words.ends[last[keep] - 1] + 1
         yield from blobs.add(key[keep], {"id": ids[keep], "h": hs[keep], "start": start[keep], "windows": count[keep], "length": b - a}, words.norm, a, b)
     yield from blobs.flush()
+    yield from hot.flush()
 
 
 def _bucket(payloads: list[bytes], k: int) -> Iterator[pa.RecordBatch]:
@@ -118,9 +137,11 @@ def repeated_windows(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "do
     spark = docs.sparkSession
     n = c.partitions(spark)
     buckets = 8 * n
-    moved = c.keyed(docs, id_col, text_col).mapInArrow(lambda it: _map(it, k, m, buckets), c.MOVED_SQL)
+    texts = c.keyed(docs, id_col, text_col)
+    bins = c.hot_bins(texts, lambda chunk: string_keys(chunk, k, m), buckets)
+    moved = texts.mapInArrow(lambda it: _map(it, k, m, buckets, bins), c.MOVED_SQL)
     dealt = moved.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: c.by_bucket(it, lambda p: _bucket(p, k)), c.SPANS_SQL)
+    return dealt.mapInArrow(lambda it: c.by_bucket(it, lambda p: _bucket(p, k), earliest=True), c.SPANS_SQL)
 
 
 def substring_dedup(docs: DataFrame, k: int = 20, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,13 @@ sort of the interleave by the next symbol, and rows stay in one interval as long
 agree. After ``k // 16 - 1`` rounds an interval of two or more is a repeat of that many blocks, and
 the 16 bytes at its two ends settle each window exactly. No suffix is sorted again.
 
+A minimiser of a passage that many documents share would bring all their strings to one bucket. A first pass finds the minimisers that
+hold more than a bucket's share; their windows travel one by one under 128-bit fingerprints instead, each distinct one once
+a task, and are spread over all buckets.
+
 Defined cases: null texts are empty; texts below ``k`` bytes keep all; rows that repeat id and text
 are one document that nevertheless repeats itself, so its windows go; an empty table gives an empty
-table; other columns are ignored.
+table; a very long text is a chunk of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,23 +33,33 @@ BLOCK = 16
 SHARD = 1 << 14
 
 
-def _map(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    blobs = c.Blobs(buckets)
+def pack(chunk: c.Chunk, k: int, one: c.Rolling) -> tuple[np.ndarray, ...]:
+    """First byte and windows of the chunk's strings, and place and hash of their minimisers."""
+    grams = one.windows(BLOCK)
+    least = c.sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), k - BLOCK + 1)
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    change = np.zeros(len(at) + 1, np.int8)
+    long = chunk.lens >= k
+    change[chunk.starts[long]] += 1
+    np.subtract.at(change, chunk.starts[long] + chunk.lens[long] - k + 1, 1)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    first, count = c.runs(np.cumsum(change[:-1], dtype=np.int8) > 0, new)
+    return first, count, at[first], grams[at[first]]
+
+
+def string_keys(chunk: c.Chunk, k: int) -> np.ndarray:
+    """The minimiser of each of the chunk's strings."""
+    return pack(chunk, k, c.byte_hash(chunk.data))[3] if len(chunk.data) >= k else np.zeros(0, np.uint64)
+
+
+def _map(batches: Iterator[pa.RecordBatch], k: int, buckets: int, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    blobs, hot = c.Blobs(buckets), c.HotWindows(bins, buckets, earliest=False)
     for chunk in c.chunks(batches):
-        total = len(chunk.data)
-        if total < k:
+        if len(chunk.data) < k:
             continue
         one, two = c.byte_hash(chunk.data), c.byte_hash(chunk.data, c.M2)
-        grams = one.windows(BLOCK)
-        least = c.sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), k - BLOCK + 1)
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        change = np.zeros(len(at) + 1, np.int8)
-        long = chunk.lens >= k
-        change[chunk.starts[long]] += 1
-        np.subtract.at(change, chunk.starts[long] + chunk.lens[long] - k + 1, 1)
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1]
-        first, count = c.runs(np.cumsum(change[:-1], dtype=np.int8) > 0, new)
+        first, count, place, key = pack(chunk, k, one)
         if not len(first):
             continue
         a, b = first, first + count + k - 1
@@ -61,8 +75,15 @@ def _map(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa
         if flag.any():
             yield c.known(ids[flag], hs[flag], start[flag], count[flag], buckets)
         keep = np.sort(order[~same])
-        yield from blobs.add(grams[at[first[keep]]], {"id": ids[keep], "h": hs[keep], "key": grams[at[first[keep]]], "start": start[keep], "windows": count[keep], "length": (b - a)[keep], "anchor": at[first[keep]] - a[keep], "flag": flag[keep]}, chunk.data, a[keep], b[keep])
+        warm = hot.takes(key[keep])
+        single, keep = keep[warm], keep[~warm]
+        if len(single):
+            w, owner = c.each_window(first[single], count[single])
+            yield from hot.add(*(r.spans(w, w + k) for r in (one, two)), ids[single][owner], hs[single][owner], w - chunk.starts[doc[single][owner]], flag[single][owner].astype(np.int64))
+        if len(keep):
+            yield from blobs.add(key[keep], {"id": ids[keep], "h": hs[keep], "key": key[keep], "start": start[keep], "windows": count[keep], "length": (b - a)[keep], "anchor": place[keep] - a[keep], "flag": flag[keep]}, chunk.data, a[keep], b[keep])
     yield from blobs.flush()
+    yield from hot.flush()
 
 
 def shard_transform(tokens: np.ndarray, following: np.ndarray, preceding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +206,11 @@ def repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", text_c
     """``_id, _h, s, n``: runs of n windows of k bytes, from byte s on, that start elsewhere too."""
     n = c.partitions(docs.sparkSession)
     buckets = 8 * n
-    moved = c.keyed(docs, id_col, text_col).mapInArrow(lambda it: _map(it, k, buckets), c.MOVED_SQL)
+    texts = c.keyed(docs, id_col, text_col)
+    bins = c.hot_bins(texts, lambda chunk: string_keys(chunk, k), buckets)
+    moved = texts.mapInArrow(lambda it: _map(it, k, buckets, bins), c.MOVED_SQL)
     dealt = moved.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: c.by_bucket(it, lambda p: _bucket(p, k)), c.SPANS_SQL)
+    return dealt.mapInArrow(lambda it: c.by_bucket(it, lambda p: _bucket(p, k), earliest=False), c.SPANS_SQL)
 
 
 def suffix_dedup(docs: DataFrame, k: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -236,11 +236,11 @@ class Blobs:
     @staticmethod
     def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=MOVED)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], schema=MOVED)
 
 
-MOVED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("fa", pa.int64()), ("fb", pa.int64())])
-MOVED_SQL = "bucket int, payload binary, _id long, _h long, s int, n int, fa long, fb long"
+MOVED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+MOVED_SQL = "bucket int, payload binary, _id long, _h long, s int, n int"
 SPANS = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 SPANS_SQL = "_id long, _h long, s int, n int"
 
@@ -255,7 +255,7 @@ def known(ids, hashes, s, n, buckets: int) -> pa.RecordBatch:
         ids, hashes, s, n = ids[at], hashes[at], s[at], np.add.reduceat(n, at)
     k = len(ids)
     bucket = (mix(np.asarray(hashes).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=MOVED)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32))], schema=MOVED)
 
 
 BINS = 1 << 20
@@ -288,12 +288,13 @@ def hot_bins(docs: DataFrame, keys, buckets: int) -> np.ndarray:
 class HotWindows:
     """Windows of hot minimisers, which travel one by one under their 128-bit fingerprint, so that a common passage is spread over all
     buckets. A task gathers up to ``limit`` of them and sends each distinct one once: with ``earliest`` the first start, the later ones being
-    settled; else any, and all that repeat are settled (a sent one that is settled has 1 in column n)."""
+    settled; else any, and all that repeat are settled, which the sent one says of itself. They are packed by bucket, an eighth as many as
+strings have, and such a payload has 1 in column n."""
 
     def __init__(self, bins: np.ndarray, buckets: int, earliest: bool, limit: int = 1 << 20):
         self.hot = np.zeros(BINS, bool)
         self.hot[bins] = True
-        self.buckets, self.earliest, self.limit, self.size = buckets, earliest, limit, 0
+        self.buckets, self.earliest, self.limit, self.size = max(1, buckets // 8), earliest, limit, 0
         self.held: list[tuple[np.ndarray, ...]] = []
 
     def takes(self, key: np.ndarray) -> np.ndarray:
@@ -313,9 +314,26 @@ class HotWindows:
         keep, late, settled = window_groups(fa, fb, ids, hashes, s, settled, self.earliest)
         if len(late):
             yield known(ids[late], hashes[late], s[late], np.ones(len(late), np.int64), self.buckets)
-        k = len(keep)
         bucket = (fa[keep] % np.uint64(self.buckets)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids[keep]), pa.array(hashes[keep]), pa.array(s[keep].astype(np.int32)), pa.array(settled[keep].astype(np.int32)), pa.array(fa[keep].view(np.int64)), pa.array(fb[keep].view(np.int64))], schema=MOVED)
+        order = np.argsort(bucket, kind="stable")
+        keep, bucket = keep[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        columns = [x[keep].astype(t) for x, (_, t) in zip((fa, fb, ids, hashes, s, settled), WINDOW, strict=True)]
+        rows = [squeeze(b"".join([np.int64(y - x).tobytes(), *(v[x:y].tobytes() for v in columns)])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        k = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(rows, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(np.ones(k, np.int32))], schema=MOVED)
+
+
+WINDOW = (("fa", np.uint64), ("fb", np.uint64), ("id", np.int64), ("h", np.int64), ("s", np.int64), ("settled", np.int8))
+
+
+def unpack_windows(payload: bytes) -> tuple[np.ndarray, ...]:
+    body = spread(payload)
+    n, at, out = int(np.frombuffer(body[:8], np.int64)[0]), 8, []
+    for _, t in WINDOW:
+        out.append(np.frombuffer(body, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return tuple(out)
 
 
 def window_groups(fa, fb, ids, hashes, s, settled, earliest: bool):
@@ -377,26 +395,18 @@ def by_bucket(batches: Iterator[pa.RecordBatch], work, earliest: bool) -> Iterat
 
     for batch in batches:
         b = batch.column(0).to_numpy()
-        packed = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        single = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-        settled = ~packed & ~single
+        settled = batch.column(1).is_null().to_numpy(zero_copy_only=False)
         if settled.any():
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(settled)) for i in (2, 3, 4, 5)], schema=SPANS)
-        rest = np.flatnonzero(~settled)
-        cuts = [0, *(np.flatnonzero(np.diff(b[rest])) + 1).tolist(), len(rest)]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if x == y:
-                continue
-            if b[rest[x]] != bucket:
+        for i in np.flatnonzero(~settled).tolist():
+            if b[i] != bucket:
                 yield from done()
-                bucket, held, hot = b[rest[x]], [], []
-            own = rest[x:y]
-            held += [batch.column(1)[i].as_py() for i in own[packed[own]].tolist()]
-            one = own[single[own]]
-            if len(one):
-                at = pa.array(one)
-                fa, fb, ids, hashes, s, n = (batch.column(i).take(at).to_numpy(zero_copy_only=False) for i in (6, 7, 2, 3, 4, 5))
-                hot.append((fa.view(np.uint64), fb.view(np.uint64), ids, hashes, s.astype(np.int64), n.astype(np.int64)))
+                bucket, held, hot = b[i], [], []
+            payload = batch.column(1)[i].as_py()
+            if batch.column(5)[i].is_valid:
+                hot.append(unpack_windows(payload))
+            else:
+                held.append(payload)
     yield from done()
 
 

@@ -254,7 +254,7 @@ def known(ids, hashes, s, n, buckets: int) -> pa.RecordBatch:
     if len(at):
         ids, hashes, s, n = ids[at], hashes[at], s[at], np.add.reduceat(n, at)
     k = len(ids)
-    bucket = (mix(np.asarray(hashes).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    bucket = (mix(np.asarray(hashes).view(np.uint64) ^ mix(np.asarray(ids).view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(k, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(n, np.int32))], schema=MOVED)
 
 

@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept. All but the
 last return the columns of ``documents``; the last returns the mix. No SQL equivalent: the first stage scores
 with a trained model.
+
+Defined cases: null and empty texts are clean, have no words and no shingles, and stay; rows that repeat id and text are one
+document, which stays or goes in all its rows; a null id sorts first; very long texts are worked on whole; an empty table gives an empty table; other
+columns are left out.
 """
 
 from __future__ import annotations

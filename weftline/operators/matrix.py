@@ -21,10 +21,10 @@ def csr_rows(coo: DataFrame, row: str, col: str, value: str) -> DataFrame:
     return t.select(row, F.transform("x", lambda e: e["c"]).alias("columns"), F.transform("x", lambda e: e["v"]).alias("values"))
 
 
-def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """``key, row_index``: the place of each distinct key in order, without one global sort: keys are dealt by ranges, as many as the session has
-    shuffle partitions, and stored with their range's number; counts of ranges give each its first place, and a task ranks one range."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dense_index(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """``key, row_index``: the place of each distinct key in order, without one global sort: keys are dealt by ``ranges`` (default: as many as the
+    session has shuffle partitions) and stored with their range's number; counts of ranges give each its first place, and a task ranks one range."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = stored(df.select(key).distinct().repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
     counts = keys.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

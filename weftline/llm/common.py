@@ -19,7 +19,7 @@ from weftline.storage import scratch  # noqa: F401  operators take it from here
 from weftline.storage import stored as store  # noqa: F401
 
 NULL_ID = -(2**63)
-CHUNK = 2 << 20
+CHUNK, SMALL = 2 << 20, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -76,6 +76,13 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Ch
             at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, where texts become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: ``norm`` has each followed by one space."""
 

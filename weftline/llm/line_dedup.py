@@ -39,7 +39,7 @@ def line_hashes(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_co
     """``_id, _h, hi, lo``: the distinct long keys of each row."""
 
     def work(batches):
-        for batch in batches:
+        for batch in c.slices(batches):
             keys, n = [], []
             for text in batch.column(2).to_pylist():
                 own = {k for line in text.split("\n") if (k := line_key(line, min_chars))}
@@ -116,7 +116,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     joined = table.join(drops, ["_id", "_h"], "left").select("_id", "_h", "_text", "_keys", *more)
 
     def finish(it):
-        for batch in it:
+        for batch in c.slices(it):
             rows = []
             for text, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 lines = text.split("\n")

@@ -55,7 +55,7 @@ def character_costs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def work(batches):
         total = np.zeros(28**3, np.int64)
-        for chunk in c.chunks(batches):
+        for chunk in c.chunks(batches, c.SMALL):
             k = _KIND[chunk.data]
             k = np.concatenate([[0, 0], k])
             total += np.bincount(k[:-2] * 784 + k[1:-1] * 28 + k[2:], minlength=28**3)
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     def count(batches):
         restorer = Restorer(shared.value)
         for batch in batches:
-            for chunk in c.chunks(iter([batch])):
+            for chunk in c.chunks(iter([batch]), c.SMALL):
                 doc, marks = features(chunk, restorer)
                 order = np.lexsort((doc, marks))
                 doc, marks = doc[order], marks[order]
@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     def vectors(batches):
         model = shared_model.value
         restorer = Restorer(model.costs)
-        for chunk in c.chunks(batches):
+        for chunk in c.chunks(batches, c.SMALL):
             doc, at = model.present(*features(chunk, restorer))
             cut = np.searchsorted(doc, np.arange(len(chunk.ids) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes), pa.array(chunk.ids), pa.array([at[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.list_(pa.int64()))], names=["h", "label", "at"])
@@ -330,7 +330,7 @@ def score(docs: DataFrame, model: ToxicityModel, *keep: Column, id_col: str = "d
         model = shared.value
         restorer = Restorer(model.costs)
         for batch in batches:
-            parts = [model.scores(chunk, restorer) for chunk in c.chunks(iter([batch]))]
+            parts = [model.scores(chunk, restorer) for chunk in c.chunks(iter([batch]), c.SMALL)]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(3, batch.num_columns)), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["_id", *more, "score", "predicted"])
 

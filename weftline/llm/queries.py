@@ -12,6 +12,7 @@ from weftline.llm.mixing import mix_sources
 from weftline.llm.quality_rules import quality_rules
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
+from weftline.llm.vector_codes import vector_codes
 from weftline.llm.warc import archive_pages
 
 QUERIES: dict = {}
@@ -176,3 +177,20 @@ def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, remainder(3) != 1)
     return language_id.identify(docs, model, (remainder(3) == 1).alias("held_out"))
+
+
+@query("""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, j, v[4 * j + 1:4 * j + 4] AS x FROM k, unnest(range(16)) t(j)),
+i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 64),
+c0 AS (SELECT j, e, x AS c FROM p JOIN i USING (vec_id)),
+a0 AS (SELECT vec_id, label, j, x, min(((x[1] - c[1]) * (x[1] - c[1]) + (x[2] - c[2]) * (x[2] - c[2]) + (x[3] - c[3]) * (x[3] - c[3]) + (x[4] - c[4]) * (x[4] - c[4])) * 64 + e) AS m FROM p JOIN c0 USING (j) GROUP BY ALL),
+c1 AS (SELECT j, e, coalesce(m, c) AS c FROM c0 LEFT JOIN (SELECT j, m % 64 AS e, [((sum(x[1]) - (sum(x[1]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[2]) - (sum(x[2]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[3]) - (sum(x[3]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[4]) - (sum(x[4]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT] AS m FROM a0 GROUP BY ALL) USING (j, e)),
+a1 AS (SELECT vec_id, label, j, x, min(((x[1] - c[1]) * (x[1] - c[1]) + (x[2] - c[2]) * (x[2] - c[2]) + (x[3] - c[3]) * (x[3] - c[3]) + (x[4] - c[4]) * (x[4] - c[4])) * 64 + e) AS m FROM p JOIN c1 USING (j) GROUP BY ALL),
+c2 AS (SELECT j, e, coalesce(m, c) AS c FROM c1 LEFT JOIN (SELECT j, m % 64 AS e, [((sum(x[1]) - (sum(x[1]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[2]) - (sum(x[2]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[3]) - (sum(x[3]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT, ((sum(x[4]) - (sum(x[4]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT] AS m FROM a1 GROUP BY ALL) USING (j, e)),
+a2 AS (SELECT vec_id, label, j, x, min(((x[1] - c[1]) * (x[1] - c[1]) + (x[2] - c[2]) * (x[2] - c[2]) + (x[3] - c[3]) * (x[3] - c[3]) + (x[4] - c[4]) * (x[4] - c[4])) * 64 + e) AS m FROM p JOIN c2 USING (j) GROUP BY ALL),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', m % 64), '' ORDER BY j) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) FROM c2) AS codebooks_sha256 FROM r""")
+def op13_vector_codes(spark, sf_dir):
+    """Codes of 16 parts of each vector, from codebooks of 64 entries after two rounds."""
+    return vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, toxicity
+from weftline.llm.collocations import collocations
 from weftline.llm.decontamination import decontaminate
 from weftline.llm.jaccard_join import jaccard_join
 from weftline.llm.line_dedup import line_dedup
@@ -179,6 +180,23 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, model, (remainder(3) == 1).alias("held_out"))
 
 
+@query(r"""
+WITH piece AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+f AS (SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM w, unnest(range(1, 5)) s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+inside AS (SELECT lang, p[i:i + m - 1] AS p, max(f) AS longer FROM cand, unnest(range(2, k)) s(m), unnest(range(1, k - m + 2)) t(i) GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f),
+cut AS (SELECT kept.lang, kept.p, kept.f AS a, c, l.f AS l, r.f AS r, (2000000::HUGEINT * kept.f) // (l.f + r.f) AS score FROM kept, unnest(range(1, k)) s(c) JOIN f l ON l.lang = kept.lang AND l.p = kept.p[1:c] JOIN f r ON r.lang = kept.lang AND r.p = kept.p[c + 1:]),
+best AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, arg_min((l, r, score), score * 8 + c) AS m FROM cut GROUP BY ALL),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY m[3] DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, m[1]::BIGINT AS l, m[2]::BIGINT AS r, m[3]::BIGINT AS score FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op12_collocations(spark, sf_dir):
+    """The first 2,000 phrases of each language by the score of their weakest cut."""
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 @query("""
 WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT vec_id, label, j, v[4 * j + 1:4 * j + 4] AS x FROM k, unnest(range(16)) t(j)),

@@ -11,6 +11,7 @@ from weftline.llm.jaccard_join import jaccard_join
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality_rules import quality_rules
+from weftline.llm.simhash_dedup import simhash_dedup
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.suffix_dedup import suffix_dedup
 from weftline.llm.vector_codes import vector_codes
@@ -180,6 +181,12 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, model, (remainder(3) == 1).alias("held_out"))
 
 
+@query()
+def op11_simhash_dedup(spark, sf_dir):
+    """Components of documents whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
+    return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query(r"""
 WITH piece AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),

@@ -29,7 +29,7 @@ from weftline.llm import common as c
 
 LONGEST = 4
 OTHER = (1 << 31) - 1  # the code of a word that is not in the list
-GATHERED = 1 << 21
+GATHERED = 3 << 18
 _HARD, _SOFT = np.zeros(256, bool), np.zeros(256, bool)
 _HARD[[*b".,;:!?", 10, 11, 12, 13]] = True
 _SOFT[[9, 32]] = True
@@ -67,15 +67,17 @@ def word_list(texts: DataFrame, least: int, coded: int, parts: int) -> tuple[lis
 
         def flush():
             t = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
-            yield from pa.table({"word": t["word"], "n": t["n_sum"]}).to_batches()
+            yield from pa.table({"word": t["word"], "n": t["n_sum"]}).to_batches(max_chunksize=1 << 16)
+            held.clear()
+            pa.default_memory_pool().release_unused()
 
-        for chunk in c.chunks(batches):
+        for chunk in c.chunks(batches, c.SMALL):
             seen = piece_words(chunk)[0].value_counts()
             held.append(pa.RecordBatch.from_arrays([pc.ascii_rtrim(seen.field(0), " "), seen.field(1)], names=["word", "n"]))
             size += len(seen)
-            if size > GATHERED:
+            if size > GATHERED // 2:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
 
@@ -97,10 +99,12 @@ def windows(texts: DataFrame, listed: list[str], complete: bool) -> DataFrame:
         def flush():
             t = pa.concat_tables(held).group_by(["lang", "hi", "lo", "x"], use_threads=False).aggregate([([], "count_all")])
             yield from t.rename_columns(["lang", "hi", "lo", "x", "n"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+            held.clear()
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             at = 0
-            for chunk in c.chunks([batch]):
+            for chunk in c.chunks([batch], c.SMALL):
                 langs = batch.column(3).slice(at, len(chunk.ids))
                 at += len(chunk.ids)
                 words, piece, counts = piece_words(chunk)
@@ -130,7 +134,7 @@ def windows(texts: DataFrame, listed: list[str], complete: bool) -> DataFrame:
                 size += len(code)
                 if size >= GATHERED:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 

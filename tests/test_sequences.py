@@ -46,10 +46,23 @@ def test_interval_join_equals_brute_force(spark):
     rng = random.Random(1)
     points = [(i, rng.randrange(2), rng.randrange(5000)) for i in range(300)]
     spans = [(i, rng.randrange(2), s := rng.randrange(5000), s + rng.choice([0, 1, 30, 3000])) for i in range(60)]
-    got = intervals.point_in_interval(spark.createDataFrame(points, "p int, k int, pos int"), spark.createDataFrame(spans, "i int, k int, s int, e int"), "k", "pos", "s", "e", 100)
+    got = intervals.point_in_interval(spark.createDataFrame(points, "p int, k int, pos int"), spark.createDataFrame(spans, "i int, k int, s int, e int"), "k", "pos", "s", "e")
     assert sorted((r.p, r.i) for r in got.collect()) == sorted((p, i) for p, k, x in points for i, q, s, e in spans if k == q and s <= x < e)
 
 
+def test_interval_join_of_crowded_points_and_long_spans(spark):
+    """All points on one key and half of them at one place, which is salted; spans from one base to a million, some null or empty."""
+    rng = random.Random(2)
+    points = [(i, 0, 7_000 if i % 2 else rng.randrange(1_000_000)) for i in range(900)] + [(1000, None, 5), (1001, 0, None)]
+    spans = [(i, 0, s := rng.randrange(1_000_000), s + rng.choice([1, 15, 16, 17, 4000, 900_000])) for i in range(120)] + [(200, 0, 6_999, 7_001), (201, 0, 7_000, 7_000), (202, 0, None, 9), (203, None, 0, 9_000), (204, 0, -40, 7_001)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = intervals.point_in_interval(spark.createDataFrame(points, "p int, k int, pos int").repartition(3), spark.createDataFrame(spans, "i int, k int, s int, e int"), "k", "pos", "s", "e")
+        assert sorted((r.p, r.i) for r in got.collect()) == sorted((p, i) for p, k, x in points for i, q, s, e in spans if k == q and k is not None and None not in (x, s) and s <= x < e)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_token_batches(spark):
     rows = [("a", i, 2) for i in range(5)] + [("a", 9, 50)]
     got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), ["lane"], "i", "n", 4).collect()

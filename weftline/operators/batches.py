@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import greedy_batches
 from weftline.operators.sampling import hash_positions, size_bucket
 
 
@@ -65,14 +66,6 @@ def zigzag(df: DataFrame, key: str, length: Column, ranks: int) -> DataFrame:
 
 def greedy_chunks(df: DataFrame, file: list[str], order: str, size: str, budget: int) -> DataFrame:
     """``file, chunk, rows, tokens``: how many rows each chunk of a file has when one is closed before it would exceed its
-    budget. ``file`` bounds the work of a task: only order and size of its rows are carried through a running state."""
-    t = df.groupBy(*file).agg(F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias("n")))).alias("x"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("at"))
-
-    def add(s: Column, e: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + e["n"] > budget)
-        chunk = s["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(new, e["n"]).otherwise(s["used"] + e["n"]).alias("used"), F.concat(s["at"], F.array(chunk)).alias("at"))
-
-    t = t.select(*file, F.explode(F.arrays_zip(F.aggregate("x", start, add)["at"].alias("chunk"), F.col("x").alias("x"))).alias("z"))
-    return t.groupBy(*file, F.col("z.chunk").alias("chunk")).agg(F.count("*").alias("rows"), F.sum("z.x.n").alias("tokens"))
+    budget. A file may hold all rows."""
+    t = greedy_batches(df, file, order, size, budget).withColumn("chunk", F.col("batch").cast("int"))
+    return t.groupBy(*file, "chunk").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("tokens"))

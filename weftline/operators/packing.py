@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import greedy_batches, running
 from weftline.operators.sampling import roll
 
 
-def split_pack(items: DataFrame, lane: list[str], order: str, size: str, budget: int) -> DataFrame:
+def _rounded(size: str, multiple: int) -> Column:
+    return (F.ceil(F.col(size) / multiple) * multiple).cast("long")
+
+
+def split_pack(items: DataFrame, lane: list[str], order: str, size: str, budget: int, multiple: int = 1) -> DataFrame:
     """``lane, order, batch, start, stop, at``: every batch of a lane is filled to ``budget`` exactly (but its last one);
     an item that crosses an edge goes on in the next batch. Tokens [start, stop) of the item lie at ``at`` in the batch.
-    Only running sums; lanes are the unit of parallelism."""
-    w = Window.partitionBy(*lane).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    t = items.filter(F.col(size) > 0).select(*lane, order, size).withColumn("_to", F.sum(size).over(w)).withColumn("_from", F.col("_to") - F.col(size))
-    t = t.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_from") / budget), F.floor((F.col("_to") - 1) / budget))))
-    first, last = F.greatest(F.col("_from"), F.col("batch") * budget), F.least(F.col("_to"), (F.col("batch") + 1) * budget)
-    return t.select(*lane, order, "batch", (first - F.col("_from")).alias("start"), (last - F.col("_from")).alias("stop"), (first - F.col("batch") * budget).alias("at"))
+    With ``multiple`` each piece is padded to it, so a batch holds the largest multiple within the budget, and an item is cut at a
+    multiple of its tokens. As all but an item's last piece are such multiples, running sums of padded sizes tell
+    every piece; a lane may hold all rows."""
+    room = budget // multiple * multiple
+    if room <= 0:
+        raise ValueError("the budget holds no multiple")
+    t = items.filter(F.col(size) > 0).select(*lane, order, size)
+    t = running(t, lane, [order], {"_to": _rounded(size, multiple)}).withColumn("_from", F.col("_to") - _rounded(size, multiple))
+    t = t.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_from") / room), F.floor((F.col("_to") - 1) / room))))
+    first, last = F.greatest(F.col("_from"), F.col("batch") * room), F.least(F.col("_to"), (F.col("batch") + 1) * room)
+    stop = F.least(last - F.col("_from"), F.col(size))
+    return t.select(*lane, order, "batch", (first - F.col("_from")).alias("start"), stop.alias("stop"), (first - F.col("batch") * room).alias("at"))
+
+
+def whole_pack(items: DataFrame, lane: list[str], order: str, size: str, budget: int, multiple: int = 1, drop_last: bool = True) -> DataFrame:
+    """``lane, order, size, padded, batch``: batches of whole items in order, each padded to ``multiple``; one is closed before it would exceed
+    ``budget``, and where it is full. A larger item is an error. A lane may hold all rows."""
+    padded = _rounded(size, multiple)
+    checked = F.when(padded > budget, F.raise_error(F.lit("an item exceeds the budget of a batch")).cast("long")).otherwise(padded)
+    t = greedy_batches(items.withColumn("padded", checked), lane, order, "padded", budget, full_closes=True, drop_last=drop_last, keep=[size])
+    return t.select(*lane, order, size, "padded", "batch")
 
 
 def flattened(packed: DataFrame, lane: list[str], multiple: int) -> DataFrame:

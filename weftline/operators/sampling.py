@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import greedy_batches
+
 
 def roll(key: Column, seed: int) -> Column:
     """A number in [0, 1) from the MD5 of seed and key."""
@@ -58,20 +59,7 @@ def size_bucket(size: Column, bounds: list[int]) -> Column:
     return out
 
 
-def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budget: int, drop_last: bool = False) -> DataFrame:
+def token_batches(items: DataFrame, lane: list[str], order: str, size: str, budget: int, drop_last: bool = False, full_closes: bool = False) -> DataFrame:
     """``lane, order, size, batch``: greedy batches of up to ``budget`` in each lane, in order; larger items are skipped, and
-    with ``drop_last`` a lane's last batch goes unless it is full. The only order-dependent step; a lane is held by one task, so lanes are to be stretches of bounded size."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[size] <= budget].sort_values([order])
-        batch, used, out = 0, 0, []
-        for n in pdf[size].tolist():
-            if used and used + n > budget:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        pdf = pdf.assign(batch=out)
-        return pdf[pdf["batch"] < batch] if drop_last and used < budget else pdf
-
-    rows = items.select(*lane, order, size)
-    return rows.groupBy(*lane).applyInPandas(work, rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch int")
+    with ``drop_last`` a lane's last batch goes unless it is full. A lane may hold all rows."""
+    return greedy_batches(items.filter(F.col(size) <= budget), lane, order, size, budget, full_closes, drop_last).withColumn("batch", F.col("batch").cast("int"))

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import running
+
+
+def counted_below(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+    """``group, score, p, n, p_to, n_to``: rows (``n``) and positives (``p``) of each distinct score, and how many have that score or a lower one. Distinct
+    scores are dealt by ranges of (group, score), so a group of all rows is ranked by many tasks."""
+    t = df.groupBy(group, score).agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("p"), F.count("*").alias("n"))
+    return running(t, [group], [score], {"p_to": F.col("p"), "n_to": F.col("n")})
+
 
 def rank_auc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
     """ROC AUC per group from rank sums over distinct scores (ties count half); null without both classes."""
-    t = df.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    t = t.groupBy(group).agg(F.sum(F.col("p") * (2 * F.col("before") + F.col("n") + 1)).alias("ranks2"), F.sum("p").alias("n1"), F.sum(F.col("n") - F.col("p")).alias("n0"))
-    u2 = F.col("ranks2") - F.col("n1") * (F.col("n1") + 1)
-    return t.select(group, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), u2 / (2 * F.col("n1") * F.col("n0"))).alias("auc"))
+    t = counted_below(df, score, label, group)
+    ranks2 = F.col("p").cast("decimal(20,0)") * (2 * F.col("n_to") - F.col("n") + 1)
+    t = t.groupBy(group).agg(F.sum(ranks2).cast("double").alias("ranks2"), F.sum("p").alias("n1"), F.sum(F.col("n") - F.col("p")).alias("n0"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    return t.select(group, "n1", "n0", F.when((n1 > 0) & (n0 > 0), (F.col("ranks2") - n1 * (n1 + 1)) / (2 * n1 * n0)).alias("auc"))
 
 
 def reconstruction(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,28 +32,29 @@ def reconstruction(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
     """``group, value, out``: the mean rank of each distinct value, from counts of distinct values."""
-    t = df.groupBy(group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(group, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(out))
+    t = running(df.groupBy(group, value).agg(F.count("*").alias("_n")), [group], [value], {"_to": F.col("_n")})
+    return t.select(group, value, (F.col("_to") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     """Rank correlation per group; ties take their mean rank, rows with a null stay out."""
     t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
-    t = t.join(average_ranks(t, a, group, "_a"), [group, a]).join(average_ranks(t, b, group, "_b"), [group, b])
+    for value, rank in ((a, "_a"), (b, "_b")):
+        ranks = average_ranks(t.select(F.col(group).alias("_g"), F.col(value).alias("_v")), "_v", "_g", rank)
+        t = t.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col(value) == F.col("_v"))).drop("_g", "_v")
     return t.groupBy(group).agg(F.corr("_a", "_b").alias("spearman"))
 
 
 def pr_auc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
     """Area under the precision-recall curve per group by trapezoids over distinct scores, from (recall 0, precision 1);
     null without a positive."""
-    t = df.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy(F.desc(score))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"tp": F.sum("p").over(run), "called": F.sum("n").over(run), "all": F.sum("p").over(Window.partitionBy(group))})
-    t = t.withColumn("precision", F.col("tp") / F.col("called"))
-    t = t.withColumn("area", F.col("p") * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2)
-    return t.groupBy(group).agg(F.when(F.max("all") > 0, F.sum("area") / F.max("all")).alias("pr_auc"))
+    t = counted_below(df, score, label, group)
+    totals = t.groupBy(F.col(group).alias("_g")).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    t = t.join(totals, F.col(group).eqNullSafe(F.col("_g")))
+    above_p, above_n = F.col("all_p") - F.col("p_to"), F.col("all_n") - F.col("n_to")
+    before = F.when(above_n > 0, above_p / above_n).otherwise(1.0)
+    area = F.col("p") * ((above_p + F.col("p")) / (above_n + F.col("n")) + before) / 2
+    return t.groupBy(group).agg(F.when(F.max("all_p") > 0, F.sum(area) / F.max("all_p")).alias("pr_auc"))
 
 
 def log_probability(logits: Column, target: Column) -> Column:
@@ -140,17 +149,30 @@ def normal_tail(z: Column) -> Column:
 def mann_whitney(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
     """``group, n1, n0, u, z, p``: U of label 1 from tie-averaged ranks, and the two-sided normal p-value with the corrections for ties and
     continuity; null without both classes or without two different scores. Counts of distinct scores come first."""
-    t = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("k"), F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    t = t.groupBy(group).agg(F.sum(F.col("k") * (2 * F.col("before") + F.col("n") + 1)).alias("r2"), F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n0"), F.sum(F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1)).alias("ties"))
-    n, both = (F.col("n1") + F.col("n0")).cast("double"), F.col("n1").cast("double") * F.col("n0")
-    u = (F.col("r2") - F.col("n1") * (F.col("n1") + 1)) / 2
+    t = counted_below(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), score, label, group)
+    n, r2 = F.col("n").cast("double"), F.col("p").cast("decimal(20,0)") * (2 * F.col("n_to") - F.col("n") + 1)
+    t = t.groupBy(group).agg(F.sum(r2).cast("double").alias("r2"), F.sum("p").alias("n1"), F.sum(F.col("n") - F.col("p")).alias("n0"), F.sum(n * (n * n - 1)).alias("ties"))
+    n1 = F.col("n1").cast("double")
+    n, both = n1 + F.col("n0"), n1 * F.col("n0")
+    u = (F.col("r2") - n1 * (n1 + 1)) / 2
     sd = F.sqrt(both / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     t = t.select(group, "n1", "n0", F.when(both > 0, u).alias("u"), F.when((both > 0) & (sd > 0), (F.greatest(u, both - u) - both / 2 - 0.5) / sd).alias("z"))
     return t.withColumn("p", F.when(F.col("z") <= 0, 1.0).otherwise(normal_tail(F.col("z"))))
 
 
+def comparison_tests(df: DataFrame, item: str, kind: str, models: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """``model, case, control, n_case, n_control, u, z, p, log_p``: for each model's score column and each pair of patterns of ``kind``, the test of the
+    items with rows of the one kind against those of the other. An item's score is the mean of its rows of that kind; null scores stay
+    out, and ``log_p`` is -log10 of ``p``."""
+    named = [(m, case, control) for m in models for case, control in pairs]
+    sides = [F.struct(F.lit(i).alias("test"), F.lit(y).alias("label"), F.col(kind).rlike(t[1 if y else 2]).alias("there"), F.col(t[0]).cast("double").alias("score")) for i, t in enumerate(named) for y in (1, 0)]
+    t = df.select(item, F.inline(F.array(*sides))).filter(F.col("there") & F.col("score").isNotNull())
+    t = t.groupBy("test", "label", item).agg(F.avg("score").alias("score"))
+    tests = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("model", "case", "control"), x, strict=True))) for x in named)), F.col("test") + 1)
+    t = mann_whitney(t, "score", "label", "test").withColumn("_t", tests)
+    return t.select("_t.*", F.col("n1").alias("n_case"), F.col("n0").alias("n_control"), "u", "z", "p", (-F.log10("p")).alias("log_p"))
+
+
 def regression(df: DataFrame, truth: str, guess: str, fold: str) -> DataFrame:
     """``fold, n, mse, r2, pearson`` of predictions: ``r2`` is 1 - squared errors over squared deviations."""
     t = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())

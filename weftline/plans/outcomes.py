@@ -45,6 +45,21 @@ def t06_mann_whitney(spark, sf_dir):
     return scores.mann_whitney(t, "n_chars", "quality", "lang").withColumns({"z": F.round("z", 6), "p": F.round("p", 6)})
 
 
+@query("""WITH o AS (SELECT *, round(o_totalprice * 100)::BIGINT AS price, o_orderkey % 1000 AS other FROM orders),
+side AS (SELECT m.model, c.*, y, o_custkey, sum(CASE m.model WHEN 'price' THEN price ELSE other END)::DOUBLE / count(*) AS s
+  FROM o, (VALUES ('price'), ('other')) m(model), (VALUES ('URGENT', 'LOW'), ('HIGH', 'LOW|MEDIUM')) c("case", control), (VALUES (1), (0)) l(y)
+  WHERE regexp_matches(o_orderpriority, CASE y WHEN 1 THEN "case" ELSE control END) GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY model, "case" ORDER BY s) + (count(*) OVER (PARTITION BY model, "case", s) - 1) / 2.0::DOUBLE AS r FROM side),
+t AS (SELECT model, "case", sum(n::DOUBLE * (n * n - 1)) AS ties FROM (SELECT model, "case", s, count(*) AS n FROM side GROUP BY ALL) GROUP BY ALL),
+u AS (SELECT model, "case", control, sum(y)::BIGINT AS n_case, (count(*) - sum(y))::BIGINT AS n_control, sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE AS u FROM r GROUP BY ALL)
+SELECT model, "case", control, n_case, n_control, round(u, 3) AS u, round((greatest(u, n_case * n_control - u) - n_case * n_control / 2.0::DOUBLE - 0.5::DOUBLE) / sqrt(n_case * n_control / 12.0::DOUBLE * (n_case + n_control + 1 - ties / ((n_case + n_control) * (n_case + n_control - 1.0::DOUBLE)))), 6) AS z FROM u JOIN t USING (model, "case")""")
+def t06_comparisons(spark, sf_dir):
+    """Two scores of customers' orders, each tested between listed kinds after a mean per customer."""
+    t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("price"), (F.col("o_orderkey") % 1000).alias("other"))
+    t = scores.comparison_tests(t, "o_custkey", "o_orderpriority", ["price", "other"], [("URGENT", "LOW"), ("HIGH", "LOW|MEDIUM")])
+    return t.select("model", "case", "control", "n_case", "n_control", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
+
+
 FOLDS = f"f AS (SELECT c_nationkey AS fold, c_acctbal AS y, c_acctbal * 0.8::DOUBLE + 1000 * {ROLL.format(seed=12, key='c_custkey')} AS g FROM customer), r AS (SELECT fold, count(*) AS n, avg((y - g) * (y - g)) AS mse, 1 - avg((y - g) * (y - g)) / var_pop(y) AS r2, corr(y, g) AS pearson FROM f GROUP BY fold)"
 
 

@@ -108,6 +108,22 @@ def i15_split_pack(spark, sf_dir):
     return packed(spark, sf_dir)
 
 
+@query(f"WITH {SEQS}, t AS (SELECT doc_id, length(seq)::BIGINT AS n, (ceil(length(seq) / 8) * 8)::BIGINT AS c, sum((ceil(length(seq) / 8) * 8)::BIGINT) OVER (ORDER BY doc_id) AS t FROM seqs WHERE seq <> ''), p AS (SELECT *, t - c AS f, unnest(range((t - c)::BIGINT // 4096, (t - 1)::BIGINT // 4096 + 1)) AS batch FROM t) SELECT doc_id, batch, (greatest(f, batch * 4096) - f)::BIGINT AS start, least(least(t, (batch + 1) * 4096) - f, n)::BIGINT AS stop, (greatest(f, batch * 4096) - batch * 4096)::BIGINT AS at FROM p")
+def i15_padded_pack(spark, sf_dir):
+    """All sequences in one lane, each piece padded to a multiple of 8; 4100 hold 4096."""
+    items = seqs(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"))
+    return packing.split_pack(items, [], "doc_id", "n", 4100, 8)
+
+
+@query(f"""WITH RECURSIVE {SEQS}, items AS (SELECT doc_id, least(length(seq), 4090)::BIGINT AS n, (ceil(least(length(seq), 4090) / 16) * 16)::BIGINT AS padded, row_number() OVER (ORDER BY doc_id) AS rn FROM seqs),
+r AS (SELECT *, 0::BIGINT AS batch, padded AS used FROM items WHERE rn = 1 UNION ALL SELECT i.*, r.batch + (r.used + i.padded > 4096 OR r.used = 4096)::INT, CASE WHEN r.used + i.padded > 4096 OR r.used = 4096 THEN i.padded ELSE r.used + i.padded END FROM r JOIN items i ON i.rn = r.rn + 1)
+SELECT doc_id, n, padded, batch FROM r WHERE batch < (SELECT max(batch) FROM r) OR (SELECT max(used) FROM r WHERE batch = (SELECT max(batch) FROM r)) = 4096""")
+def i15_whole_pack(spark, sf_dir):
+    """Whole sequences, all in one lane, in batches of 4096 with multiples of 16; an open last batch goes."""
+    items = seqs(spark, sf_dir).select("doc_id", F.least(F.length("seq"), F.lit(4090)).cast("long").alias("n"))
+    return packing.whole_pack(items, [], "doc_id", "n", 4096, 16)
+
+
 @query(f"WITH {SEQS}, {LANES}, {PACKED} SELECT source, lane, batch, '0,' || string_agg((packed.at + stop - start)::VARCHAR, ',' ORDER BY packed.at) AS cu_seq_lens, max(stop - start) AS longest, (1024 - sum(stop - start)::BIGINT % 1024) % 1024 AS padding FROM packed GROUP BY ALL")
 def i16_i17_flattened(spark, sf_dir):
     """Sequence bounds of packed rows, and the padding to a multiple of 1024."""

@@ -177,11 +177,6 @@ def contexts(hits: DataFrame, sequences: DataFrame, acts: DataFrame, seq: str, p
     return t.withColumn("values", values).drop("_last", "_m")
 
 
-def centred(scores: DataFrame, token: str) -> DataFrame:
-    """Scores less their token's mean over all rows."""
-    mean = scores.groupBy(token).agg(F.avg("score").alias("_mean"))
-    return scores.join(mean, token).withColumn("score", F.col("score") - F.col("_mean")).drop("_mean")
-
 
 def every_kth(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """Rows whose distinct ``order`` has a rank (from 0, in its group) that ``k`` divides."""

@@ -85,21 +85,6 @@ def token_accuracy(df: DataFrame, logits: str, label: str, ignored: int = -100)
     return df.filter(F.col(label) != ignored).agg(F.count("*").alias("tokens"), F.avg(hit.cast("double")).alias("accuracy"))
 
 
-def product(a: DataFrame, b: DataFrame, on: str, row: str, col: str, value: str) -> DataFrame:
-    """``row, col, score`` of two matrices in long form: ``a`` has ``row, on, value``, ``b`` has ``col, on, value``."""
-    t = a.select(row, on, F.col(value).alias("_a")).join(b.select(col, on, F.col(value).alias("_b")), on)
-    return t.groupBy(row, col).agg(F.sum(F.col("_a") * F.col("_b")).alias("score"))
-
-
-def extremes(scores: DataFrame, row: str, col: str, k: int) -> DataFrame:
-    """The ``k`` highest (``side`` top) and lowest (bottom) columns of each row, with ``rank``; ties by column."""
-    sides = []
-    for side, order in (("top", F.desc("score")), ("bottom", F.asc("score"))):
-        w = Window.partitionBy(row).orderBy(order, col)
-        sides.append(scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("side", F.lit(side)))
-    return sides[0].unionByName(sides[1])
-
-
 def reconstruction_by_dimension(df: DataFrame, a: str, b: str) -> DataFrame:
     """``mse, explained, normalised``: the mean squared error, 1 - the residuals' variance over the variance (both summed over dimensions), and
     the error over the variance of all elements (sample variances)."""

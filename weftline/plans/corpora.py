@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import tokens as T
-from weftline.operators import batches, corpora, matrix, sampling, sequence_tables
+from weftline.operators import batches, clusters, corpora, matrix, sampling, sequence_tables
 from weftline.plans import biology, models  # noqa: F401  the queries whose SQL is given here
 from weftline.plans.basics import ORACLES, query
 from weftline.plans.biology import ROLL, SEQS, seqs, table
@@ -58,13 +58,22 @@ def r06_filtered_splits(spark, sf_dir):
     return corpora.filtered_splits(t, "doc_id", top, "lang").select("doc_id", "lang", "split")
 
 
-@query(f"WITH {SEQS}, c AS (SELECT doc_id, doc_id % 40 AS cluster, substr(seq, 1, 9) AS head FROM seqs), o AS (SELECT *, {ROLL.format(seed=61, key='cluster')} < 0.2::DOUBLE AS held FROM c) SELECT doc_id, CASE WHEN held THEN 'held' WHEN head IN (SELECT head FROM o WHERE held) THEN 'removed' ELSE 'train' END AS split FROM o")
+PAIRS = """equal AS (SELECT seq, min(doc_id) AS v, length(seq) AS n FROM seqs GROUP BY seq), gram AS (SELECT DISTINCT v, n, substr(md5(substr(seq, i::INT, 12)), 1, 16) AS g FROM equal, unnest(range(1, n - 10)) t(i) WHERE n >= 12),
+least AS (SELECT * FROM gram QUALIFY row_number() OVER (PARTITION BY v ORDER BY g) <= 20), top AS (SELECT g, max(n) AS n, arg_min(v, (-n, v)) AS v FROM least GROUP BY g),
+met AS (SELECT DISTINCT t.v AS a, m.v AS b, t.n, m.n AS m FROM least m JOIN top t USING (g) WHERE t.v <> m.v AND m.n * 100 >= t.n * 90),
+pairs AS (SELECT a, b, met.n, m FROM met JOIN equal x ON x.v = a JOIN equal y ON y.v = b WHERE levenshtein(x.seq, y.seq) <= floor(met.n * 30 / 100)), twins AS (SELECT e.v AS a, doc_id AS b FROM seqs JOIN equal e USING (seq) WHERE doc_id <> e.v),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT a, b FROM twins)"""
+
+
+def linear(spark, sf_dir):
+    return clusters.linear_clusters(seqs(spark, sf_dir), "doc_id", "seq", 12, 20, 70, 90)
+
+
+@query(f"WITH {SEQS}, {PAIRS}, c AS (SELECT doc_id, {ROLL.format(seed=61, key='(doc_id % 40)')} < 0.2::DOUBLE AS held FROM seqs), near AS (SELECT a AS doc_id FROM links JOIN c ON c.doc_id = b WHERE held UNION SELECT b FROM links JOIN c ON c.doc_id = a WHERE held) SELECT doc_id, CASE WHEN held THEN 'held' WHEN doc_id IN (SELECT doc_id FROM near) THEN 'removed' ELSE 'train' END AS split FROM c")
 def r16_held_out_clusters(spark, sf_dir):
-    """Clusters held out; training rows that begin like a held-out one are removed."""
-    t = seqs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("cluster"), F.substring("seq", 1, 9).alias("head"))
-    first = t.groupBy("head", "cluster").agg(F.min("doc_id").alias("b"))  # a row of each cluster stands for all that begin alike
-    links = t.select(F.col("doc_id").alias("a"), "head").join(first.select("head", "b"), "head").select("a", "b")
-    return corpora.held_out(t, "doc_id", "cluster", 0.2, 61, links).select("doc_id", "split")
+    """Clusters held out; training rows whose whole sequence is like a held-out one's are removed."""
+    t = seqs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("cluster"))
+    return corpora.held_out(t, "doc_id", "cluster", 0.2, 61, linear(spark, sf_dir)[1]).select("doc_id", "split")
 
 
 @query(f"WITH d AS (SELECT DISTINCT c_nationkey, c_mktsegment, c_nationkey // 3 AS tissue, {ROLL.format(seed=5, key='c_nationkey')} < 0.6::DOUBLE AS held FROM customer), m AS (SELECT c_nationkey FROM d WHERE c_mktsegment IN (SELECT c_mktsegment FROM d GROUP BY 1 HAVING bool_and(held)) UNION SELECT c_nationkey FROM d WHERE tissue IN (SELECT tissue FROM d GROUP BY 1 HAVING bool_and(held))) SELECT DISTINCT c_nationkey, CASE WHEN held AND c_nationkey NOT IN (SELECT c_nationkey FROM m) THEN 'held' ELSE 'train' END AS split FROM d")
@@ -141,3 +150,15 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM seqs UNION SELECT r.a, l.b FROM r
 def c01_similar_sequences(spark, sf_dir):
     """Clusters of sequences that share three fifths of their 12-mers."""
     return corpora.similar_sequences(seqs(spark, sf_dir), "doc_id", "seq", 12, 60)
+
+
+@query(f"WITH {SEQS}, {PAIRS} SELECT a, b FROM links")
+def c01_sequence_pairs(spark, sf_dir):
+    """Sequences with the longest that has a 12-mer with them, at 70 % identity and 90 % coverage."""
+    return linear(spark, sf_dir)[1]
+
+
+@query()
+def c01_linear_clusters(spark, sf_dir):
+    """Clusters of sequences around the longest, in linear time."""
+    return linear(spark, sf_dir)[0]

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import sequences as S
-from weftline.operators import features, graph, matrix, scores, sequence_tables
+from weftline.operators import features, graph, matrix, products, scores, sequence_tables
+from weftline.plans import models
 from weftline.plans.basics import query
 from weftline.plans.biology import ACTS, AMINO, EXPR, SEQS, VARIANTS, acts, expr, seqs, table, variants
 
@@ -170,11 +171,8 @@ def e03_contexts(spark, sf_dir):
 @query(f"WITH {ACTS}, c AS (SELECT label, feature, round(avg(value::DOUBLE), 4)::DECIMAL(18,6) AS w FROM acts GROUP BY ALL), p AS (SELECT c.label, vec_id, sum(w * value) AS s FROM c JOIN acts a USING (feature) GROUP BY ALL), m AS (SELECT label, vec_id, round((s::DOUBLE - avg(s::DOUBLE) OVER (PARTITION BY vec_id)) * 1000000) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS t, row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS b FROM m) SELECT label, 'top' AS side, t::INT AS rank, vec_id FROM r WHERE t <= 3 UNION ALL SELECT label, 'bottom', b::INT, vec_id FROM r WHERE b <= 3")
 def e05_centred_extremes(spark, sf_dir):
     """The rows that score highest and lowest with each label's centre, scores centred by row."""
-    a = acts(spark, sf_dir)
-    centre = a.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label", "feature").agg(F.round(F.avg(F.col("value").cast("double")), 4).cast("decimal(18,6)").alias("value"))
-    p = scores.product(centre, a, "feature", "label", "vec_id", "value").withColumn("score", F.col("score").cast("double"))
-    p = features.centred(p, "vec_id").withColumn("score", F.round(F.col("score") * 1000000))
-    return scores.extremes(p, "label", "vec_id", 3).select("label", "side", "rank", "vec_id")
+    t = products.extreme_products(models.centres(spark, sf_dir), models.vectors(spark, sf_dir), "label", "vec_id", "v", 3, centred=True)
+    return t.select("label", "side", "rank", "vec_id")
 
 
 @query("WITH h AS (SELECT event_type, event_id // 7 AS iteration, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, iteration, n FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY iteration) - 1 AS r FROM h) WHERE r % 5 = 0")

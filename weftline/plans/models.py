@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import sequences as S
 from weftline.functions import tokens as T
-from weftline.operators import batches, enrichment, genome, graph, intervals, matrix, packing, sampling, schedules, scores, sequence_tables
+from weftline.operators import batches, enrichment, genome, graph, intervals, matrix, packing, products, sampling, schedules, scores, sequence_tables
 from weftline.plans.basics import query
 from weftline.plans.biology import ACTS, EXONS, EXPR, ROLL, SEQS, VARIANTS, acts, exons, expr, seqs, table, variants
 from weftline.plans.training import IDS, TEXT
@@ -218,12 +218,23 @@ def x04_reconstruction(spark, sf_dir):
     return scores.reconstruction(t, "a", "b").select(F.round("mse", 9).alias("mse"), F.round("variance", 9).alias("variance"), F.round("explained", 6).alias("explained"))
 
 
+def vectors(spark, sf_dir):
+    """``vec_id, v``: positive parts in millionths."""
+    micro = F.transform("embedding", lambda x: (F.greatest(x.cast("double"), F.lit(0.0)).cast("decimal(18,6)") * 1000000).cast("long"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", micro.alias("v"))
+
+
+def centres(spark, sf_dir):
+    """``label, v``: the mean activations of each label in millionths, to four places."""
+    a = acts(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    mean = a.groupBy("label", "feature").agg((F.round(F.avg(F.col("value").cast("double")), 4).cast("decimal(18,6)") * 1000000).cast("long").alias("value"))
+    return matrix.dense_rows(mean, "label", "feature", "value", 64).withColumnRenamed("values", "v").withColumn("v", F.col("v").cast("array<long>"))
+
+
 @query(f"WITH {ACTS}, c AS (SELECT label, feature, round(avg(value::DOUBLE), 4)::DECIMAL(18,6) AS w FROM acts GROUP BY ALL), p AS (SELECT c.label, vec_id, sum(w * value) AS score FROM c JOIN acts a USING (feature) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS t, row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS b FROM p) SELECT label, 'top' AS side, t::INT AS rank, vec_id FROM r WHERE t <= 3 UNION ALL SELECT label, 'bottom', b::INT, vec_id FROM r WHERE b <= 3")
 def x05_e05_extremes(spark, sf_dir):
     """The rows that score highest and lowest with each label's centre."""
-    a = acts(spark, sf_dir)
-    centre = a.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label", "feature").agg(F.round(F.avg(F.col("value").cast("double")), 4).cast("decimal(18,6)").alias("value"))
-    return scores.extremes(scores.product(centre, a, "feature", "label", "vec_id", "value"), "label", "vec_id", 3).select("label", "side", "rank", "vec_id")
+    return products.extreme_products(centres(spark, sf_dir), vectors(spark, sf_dir), "label", "vec_id", "v", 3).select("label", "side", "rank", "vec_id")
 
 
 @query("SELECT event_type, round(1 - (avg(value + 1) - avg(value)) / (avg(value * 3) - avg(value) + 1e-8), 6) AS recovered FROM events GROUP BY event_type")

@@ -172,10 +172,10 @@ def test_whole_queries_use_every_base_and_codon(spark):
     whole, sizes = models.whole_genome(spark, SF)
     assert whole.agg(F.sum(F.length("seq"))).first()[0] == sizes.agg(F.sum("n")).first()[0] == n
     tokens = lambda name: basics.QUERIES[name](spark, SF).agg(F.sum(F.size(F.array_remove(F.split("ids", ","), "3")))).first()[0]
-    rows = {name: basics.QUERIES[name](spark, SF).count() for name in ("m04_variant_input_whole", "p16_control_tags_whole")}
-    assert tokens("m04_variant_input_whole") == codons + 2 * rows["m04_variant_input_whole"]
-    assert tokens("p16_control_tags_whole") == codons + 4 * rows["p16_control_tags_whole"]
-    places = basics.QUERIES["j18_reference_base_whole"](spark, SF)
+    rows = {name: basics.QUERIES[name](spark, SF).count() for name in ("m04_variant_input", "p16_control_tags")}
+    assert tokens("m04_variant_input") == codons + 2 * rows["m04_variant_input"]
+    assert tokens("p16_control_tags") == codons + 4 * rows["p16_control_tags"]
+    places = basics.QUERIES["j18_reference_base"](spark, SF)
     assert places.join(sizes, "chrom").filter(F.col("pos") > F.col("n") * 0.9).count() > 0
 
 
@@ -219,6 +219,23 @@ def test_enrichment_equals_the_running_sum(spark):
         assert (f, "flat") not in got
 
 
+def test_best_set_of_each_database(spark):
+    """A planted set at the top of the list is best in its database and over all; flat features are left out; q is within a database."""
+    rng = random.Random(8)
+    genes = [("f", g, 100.0 - g + rng.random()) for g in range(80)] + [("flat", g, 5.0) for g in range(80)] + [("dead", g, 0.0) for g in range(80)]
+    sets = [("x", "top", g) for g in range(10)] + [("x", f"r{k}", g) for k in range(5) for g in rng.sample(range(80), 12)] + [("y", f"s{k}", g) for k in range(5) for g in rng.sample(range(80), 12)]
+    found = enrichment.enrichment(spark.createDataFrame(genes, "f string, g int, x double"), spark.createDataFrame(sets, "d string, s string, g int"), "f", "g", "x", "s", 60, 1, database="d")
+    rows = found.collect()
+    assert {r.f for r in rows} == {"f"} and len(rows) == 11
+    best = {r.d: r for r in enrichment.best_sets(found, "f", "d", "s", 1.1).collect()}
+    assert best["x"].s == "top" and best["x"].best and not best["y"].best and best["x"].hits == 10
+    for d in "xy":
+        own = [r for r in rows if r.d == d]
+        assert best[d].q == min(r.q for r in own)
+        assert all(r.q <= min(1.0, r.p * len(own) / sum(o.p <= r.p for o in own)) + 1e-12 for r in own)
+    assert enrichment.best_sets(found, "f", "d", "s", 0.0).isEmpty()
+
+
 def test_scores(spark):
     t = spark.createDataFrame([("g", [0.0, 0.0], 1), ("g", [1000.0, 0.0], 0)], "g string, x array<double>, y int")
     logp = [r[0] for r in t.select(scores.log_probability(F.col("x"), F.col("y"))).collect()]

@@ -14,8 +14,6 @@ from weftline.plans.training import IDS, TEXT
 from weftline.sources import tables
 
 SIZE = 256
-CHUNKS = f"chunks AS (SELECT doc_id % 25 AS chrom, doc_id // 25 AS chunk_no, substr(seq || repeat('ACGT', 64), 1, {SIZE}) AS seq FROM seqs), genome AS (SELECT chrom, string_agg(seq, '' ORDER BY chunk_no) AS g FROM chunks GROUP BY chrom)"
-
 WHOLE = "genome AS (SELECT chrom, string_agg(seq, '' ORDER BY doc_id, seq) AS g, sum(length(seq))::BIGINT AS n FROM (SELECT doc_id, doc_id % 25 AS chrom, seq FROM seqs WHERE length(seq) > 0) GROUP BY chrom)"
 WHOLE_VARIANTS = "wide AS (SELECT event_id, user_id % 25 AS chrom, event_id * 7919 % (coalesce(n, 0) + 1) AS pos, event_id % 4 AS alt FROM events LEFT JOIN genome ON chrom = user_id % 25)"
 WHOLE_EXONS = "wide AS (SELECT tx, exons.chrom AS chrom, (tx * 7919 + s) % (coalesce(n, 0) + 1) AS s, (tx * 7919 + s) % (coalesce(n, 0) + 1) + e - s AS e FROM exons LEFT JOIN genome USING (chrom))"
@@ -28,11 +26,6 @@ def walked(base: str) -> str:
     return f"walk AS (SELECT *, i::BIGINT AS x, 0 AS r FROM {base} UNION ALL {step}), walked AS (SELECT * EXCLUDE (r) FROM walk WHERE r = {schedules.ROUNDS})"
 
 
-def chunks(spark, sf_dir):
-    """A genome of 25 contigs in chunks of 256 bases."""
-    return seqs(spark, sf_dir).select((F.col("doc_id") % 25).alias("chrom"), F.floor(F.col("doc_id") / 25).alias("chunk_no"), F.substring(F.concat("seq", F.repeat(F.lit("ACGT"), F.lit(64))), 1, SIZE).alias("seq"))
-
-
 def whole_genome(spark, sf_dir):
     """The whole sequences of all documents as 25 contigs, in chunks of 256 bases, and ``chrom, n``: how long each contig is."""
     t = seqs(spark, sf_dir).withColumn("chrom", F.col("doc_id") % 25)
@@ -84,30 +77,8 @@ def r14_first_records(spark, sf_dir):
     return schedules.first_records(rows, "row_index", F.col("n") <= 200, 25).select("doc_id", "scanned")
 
 
-@query(f"WITH {SEQS}, {CHUNKS}, {EXONS}, x AS (SELECT DISTINCT * FROM exons), r AS (SELECT tx, string_agg(coalesce(substr(g, (s + 1)::INT, (e - s)::INT), ''), '' ORDER BY s, e) AS cds FROM x LEFT JOIN genome USING (chrom) GROUP BY tx) SELECT tx, length(cds)::INT AS n_bases, CASE WHEN tx % 2 = 1 THEN reverse(translate(cds, 'ACGT', 'TGCA')) ELSE cds END AS cds FROM r")
-def a02_p04_spliced(spark, sf_dir):
-    """Coding sequences: exons read from the genome and joined, odd transcripts on the minus strand."""
-    t = exons(spark, sf_dir).withColumn("minus", F.col("tx") % 2 == 1)
-    return genome.spliced(t, chunks(spark, sf_dir), "tx", "chrom", "s", "e", "minus", SIZE)
-
-
-@query(f"WITH {SEQS}, {CHUNKS}, {VARIANTS} SELECT event_id, chrom, pos, nullif(substr(g, (pos + 1)::INT, 1), '') AS ref, coalesce(substr(g, (pos + 1)::INT, 1) = substr('ACGT', (alt + 1)::INT, 1), false) AS unchanged FROM variants LEFT JOIN genome USING (chrom)")
-def j18_reference_base(spark, sf_dir):
-    """The genome's base at each variant, and whether the alternate is no change."""
-    t = genome.reference_base(variants(spark, sf_dir), chunks(spark, sf_dir), "chrom", "pos", SIZE)
-    alt = F.substring(F.lit("ACGT"), (F.col("alt") + 1).cast("int"), F.lit(1))
-    return t.select("event_id", "chrom", "pos", "ref", F.coalesce(F.col("ref") == alt, F.lit(False)).alias("unchanged"))
-
-
-@query(f"WITH {SEQS}, {CHUNKS}, {VARIANTS}, w AS (SELECT event_id, greatest(pos - 16, 0) AS f, pos, substr('ACGT', (alt + 1)::INT, 1) AS a, g FROM variants JOIN genome USING (chrom) WHERE pos < length(g)), r AS (SELECT *, substr(g, (f + 1)::INT, (pos + 17 - f)::INT) AS ref_window FROM w) SELECT event_id, ref_window, substr(ref_window, 1, (pos - f)::INT) || a || substr(ref_window, (pos - f + 2)::INT) AS alt_window FROM r")
-def p37_variant_windows(spark, sf_dir):
-    """Sixteen bases on both sides of each variant, without and with it."""
-    v = variants(spark, sf_dir).withColumn("alt", F.substring(F.lit("ACGT"), (F.col("alt") + 1).cast("int"), F.lit(1)))
-    return genome.variant_windows(v, chunks(spark, sf_dir), ["event_id"], "chrom", "pos", "alt", 16, SIZE)
-
-
 @query(f"WITH {SEQS}, {WHOLE}, {EXONS}, {WHOLE_EXONS}, x AS (SELECT DISTINCT * FROM wide), r AS (SELECT tx, string_agg(coalesce(substr(g, (s + 1)::INT, (e - s)::INT), ''), '' ORDER BY s, e) AS cds FROM x LEFT JOIN genome USING (chrom) GROUP BY tx) SELECT tx, length(cds)::INT AS n_bases, CASE WHEN tx % 2 = 1 THEN reverse(translate(cds, 'ACGT', 'TGCA')) ELSE cds END AS cds FROM r")
-def a02_p04_spliced_whole(spark, sf_dir):
+def a02_p04_spliced(spark, sf_dir):
     """Coding sequences read from all bases of all documents, exons over the whole contigs."""
     whole, sizes = whole_genome(spark, sf_dir)
     t = spread(exons(spark, sf_dir), sizes, "tx", "s", "e").withColumn("minus", F.col("tx") % 2 == 1)
@@ -115,7 +86,7 @@ def a02_p04_spliced_whole(spark, sf_dir):
 
 
 @query(f"WITH {SEQS}, {WHOLE}, {WHOLE_VARIANTS} SELECT event_id, chrom, pos, nullif(substr(g, (pos + 1)::INT, 1), '') AS ref, coalesce(substr(g, (pos + 1)::INT, 1) = substr('ACGT', (alt + 1)::INT, 1), false) AS unchanged FROM wide LEFT JOIN genome USING (chrom)")
-def j18_reference_base_whole(spark, sf_dir):
+def j18_reference_base(spark, sf_dir):
     """The base at variants over the whole contigs, from all bases of all documents."""
     whole, sizes = whole_genome(spark, sf_dir)
     t = genome.reference_base(spread(variants(spark, sf_dir).withColumn("pos", F.lit(0)), sizes, "event_id", "pos"), whole, "chrom", "pos", SIZE)
@@ -124,7 +95,7 @@ def j18_reference_base_whole(spark, sf_dir):
 
 
 @query(f"WITH {SEQS}, {WHOLE}, {WHOLE_VARIANTS}, w AS (SELECT event_id, greatest(pos - 16, 0) AS f, pos, substr('ACGT', (alt + 1)::INT, 1) AS a, g FROM wide JOIN genome USING (chrom) WHERE pos < length(g)), r AS (SELECT *, substr(g, (f + 1)::INT, (pos + 17 - f)::INT) AS ref_window FROM w) SELECT event_id, ref_window, substr(ref_window, 1, (pos - f)::INT) || a || substr(ref_window, (pos - f + 2)::INT) AS alt_window FROM r")
-def p37_variant_windows_whole(spark, sf_dir):
+def p37_variant_windows(spark, sf_dir):
     """Windows around variants over the whole contigs, from all bases of all documents."""
     whole, sizes = whole_genome(spark, sf_dir)
     v = spread(variants(spark, sf_dir).withColumn("pos", F.lit(0)), sizes, "event_id", "pos").withColumn("alt", F.substring(F.lit("ACGT"), (F.col("alt") + 1).cast("int"), F.lit(1)))
@@ -257,18 +228,39 @@ def t08_token_accuracy(spark, sf_dir):
     return scores.token_accuracy(table(spark, sf_dir, "embeddings"), "embedding", "label", 3).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT p_type AS feature, p_partkey, p_brand, p_retailprice::DECIMAL(18,2) AS w, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, count(*) OVER (PARTITION BY p_type) AS n FROM part),
-h AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, p_brand) AS hits FROM g) WHERE hits >= 3), b AS (SELECT feature, p_brand, hits, n, rank AS i, q AS perm, '4:' || q::VARCHAR AS key FROM h, unnest(range(0, 21)) t(q)), {walked('b')},
-s AS (SELECT feature, p_brand, hits, n, perm, CASE WHEN perm = 0 THEN i ELSE x END AS rank FROM walked), m AS (SELECT s.*, w FROM s JOIN (SELECT feature, rank, w FROM g) USING (feature, rank)),
-u AS (SELECT *, (sum(w) OVER (PARTITION BY feature, p_brand, perm))::DOUBLE AS total, (sum(w) OVER r)::DOUBLE AS run, (rank + 1 - count(*) OVER r) / greatest(n - hits, 1) AS missed FROM m WINDOW r AS (PARTITION BY feature, p_brand, perm ORDER BY rank ROWS UNBOUNDED PRECEDING)),
-v AS (SELECT feature, p_brand, perm, any_value(hits) AS hits, max(run / total - missed) AS up, min((run - w::DOUBLE) / total - missed) AS down FROM u GROUP BY feature, p_brand, perm), e AS (SELECT *, CASE WHEN up >= -down THEN up ELSE down END AS e FROM v),
-o AS (SELECT feature, p_brand, hits, e AS es FROM e WHERE perm = 0), p AS (SELECT feature, p_brand, o.hits, es, (1 + count(*) FILTER (perm > 0 AND CASE WHEN es >= 0 THEN e >= es ELSE e <= es END)) / 21 AS p FROM o JOIN e USING (feature, p_brand) GROUP BY ALL),
-k AS (SELECT *, p * count(*) OVER (PARTITION BY feature) / count(*) OVER (PARTITION BY feature ORDER BY p) AS t FROM p) SELECT feature, p_brand, hits, round(es, 9) AS es, round(p, 9) AS p, round(least(1, min(t) OVER (PARTITION BY feature ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM k""")
+def enriched(sets: str) -> str:
+    """SQL of the enrichment of ``sets`` (db, term, p_partkey) in parts of each type by price: ``found`` has es, p and q."""
+    return f"""WITH RECURSIVE g AS (SELECT p_type AS feature, p_partkey, p_retailprice::DECIMAL(18,2) AS w, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, count(*) OVER (PARTITION BY p_type) AS n FROM part),
+sets AS ({sets}), h AS (SELECT * FROM (SELECT g.*, db, term, count(*) OVER (PARTITION BY feature, db, term) AS hits FROM g JOIN sets USING (p_partkey)) WHERE hits >= 3), b AS (SELECT feature, db, term, hits, n, rank AS i, q AS perm, '4:' || q::VARCHAR AS key FROM h, unnest(range(0, 21)) t(q)), {walked('b')},
+s AS (SELECT feature, db, term, hits, n, perm, CASE WHEN perm = 0 THEN i ELSE x END AS rank FROM walked), m AS (SELECT s.*, w FROM s JOIN (SELECT feature, rank, w FROM g) USING (feature, rank)),
+u AS (SELECT *, (sum(w) OVER (PARTITION BY feature, db, term, perm))::DOUBLE AS total, (sum(w) OVER r)::DOUBLE AS run, (rank + 1 - count(*) OVER r) / greatest(n - hits, 1) AS missed FROM m WINDOW r AS (PARTITION BY feature, db, term, perm ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT feature, db, term, perm, any_value(hits) AS hits, max(run / total - missed) AS up, min((run - w::DOUBLE) / total - missed) AS down FROM u GROUP BY feature, db, term, perm), e AS (SELECT *, CASE WHEN up >= -down THEN up ELSE down END AS e FROM v),
+o AS (SELECT feature, db, term, hits, e AS es FROM e WHERE perm = 0), p AS (SELECT feature, db, term, o.hits, es, (1 + count(*) FILTER (perm > 0 AND CASE WHEN es >= 0 THEN e >= es ELSE e <= es END)) / 21 AS p FROM o JOIN e USING (feature, db, term) GROUP BY ALL),
+k AS (SELECT *, p * count(*) OVER (PARTITION BY feature, db) / count(*) OVER (PARTITION BY feature, db ORDER BY p) AS t FROM p), found AS (SELECT feature, db, term, hits, es, p, least(1, min(t) OVER (PARTITION BY feature, db ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)"""
+
+
+BRANDS = "SELECT 'brand' AS db, p_brand AS term, p_partkey FROM part"
+BOTH = f"{BRANDS} UNION ALL SELECT 'size', 'S' || (p_size // 10)::VARCHAR, p_partkey FROM part"
+
+
+def prices(p):
+    return p.select(F.col("p_type").alias("feature"), "p_partkey", F.col("p_retailprice").cast("decimal(18,2)").alias("score"))
+
+
+@query(f"{enriched(BOTH)}, chosen AS (SELECT * FROM found WHERE q < 0.4 QUALIFY row_number() OVER (PARTITION BY feature, db ORDER BY q, abs(es) DESC, term) = 1) SELECT feature, db, term, hits, round(es, 9) AS es, round(p, 9) AS p, round(q, 9) AS q, row_number() OVER (PARTITION BY feature ORDER BY q, abs(es) DESC, db, term) = 1 AS best FROM chosen")
+def t10_best_per_database(spark, sf_dir):
+    """The best set of brands, and of sizes, for each type, and which of the two is better."""
+    p = table(spark, sf_dir, "part")
+    sets = p.select(F.lit("brand").alias("db"), F.col("p_brand").alias("term"), "p_partkey").unionByName(p.select(F.lit("size").alias("db"), F.concat(F.lit("S"), F.floor(F.col("p_size") / 10).cast("string")).alias("term"), "p_partkey"))
+    t = enrichment.enrichment(prices(p), sets, "feature", "p_partkey", "score", "term", 20, 4, least=3, database="db")
+    return enrichment.best_sets(t, "feature", "db", "term", 0.4).select("feature", "db", "term", "hits", *(F.round(c, 9).alias(c) for c in ("es", "p", "q")), "best")
+
+
+@query(f"{enriched(BRANDS)} SELECT feature, term AS p_brand, hits, round(es, 9) AS es, round(p, 9) AS p, round(q, 9) AS q FROM found")
 def t10_enrichment(spark, sf_dir):
     """Enrichment of brands in each type's parts by price, with twenty permutations."""
     p = table(spark, sf_dir, "part")
-    ranked = p.select(F.col("p_type").alias("feature"), "p_partkey", F.col("p_retailprice").cast("decimal(18,2)").alias("score"))
-    t = enrichment.enrichment(ranked, p, "feature", "p_partkey", "score", "p_brand", 20, 4, least=3)
+    t = enrichment.enrichment(prices(p), p, "feature", "p_partkey", "score", "p_brand", 20, 4, least=3)
     return t.select("feature", "p_brand", "hits", *(F.round(c, 9).alias(c) for c in ("es", "p", "q")))
 
 
@@ -327,14 +319,6 @@ def m06_tag_mask(spark, sf_dir):
     return t.select("doc_id", F.array_join(F.transform(T.tag_mask(ids), lambda x: x.cast("string")), "").alias("mask"))
 
 
-@query(f"WITH {SEQS}, {IDS} SELECT doc_id, {TEXT.format('list_concat([0], ids[1:(doc_id % len(ids))::INT], [4], ids[(doc_id % len(ids) + 2)::INT:], [1])')} AS ids FROM ids WHERE len(ids) BETWEEN 1 AND 126")
-def m04_variant_input(spark, sf_dir):
-    """One codon of each short sequence masked."""
-    t = seqs(spark, sf_dir).select("doc_id", T.codon_ids(F.col("seq")).alias("x")).filter(F.size("x").between(1, 126))
-    row = F.concat(F.array(F.lit(T.CLS)), "x", F.array(F.lit(T.SEP)))
-    return t.select("doc_id", T.joined(T.variant_input(row, F.col("doc_id") % F.size("x"), F.lit(T.MASK))).alias("ids"))
-
-
 def codon_windows(spark, sf_dir, window, specials):
     """``doc_id, source, window_no, x``: every codon of every document once, in windows that leave room for special tokens."""
     n = F.floor(F.length("seq") / 3).cast("int")
@@ -344,7 +328,7 @@ def codon_windows(spark, sf_dir, window, specials):
 
 
 @query(f"WITH {SEQS}, {IDS}, w AS (SELECT doc_id, k // 126 AS window_no, ids[k + 1:k + 126] AS x FROM ids, unnest(range(0, len(ids), 126)) t(k)) SELECT doc_id, window_no::INT AS window_no, {TEXT.format('list_concat([0], x[1:(doc_id % len(x))::INT], [4], x[(doc_id % len(x) + 2)::INT:], [1])')} AS ids FROM w")
-def m04_variant_input_whole(spark, sf_dir):
+def m04_variant_input(spark, sf_dir):
     """One codon masked in each window of 126 codons of every sequence; a sequence without a codon has none to mask."""
     t = codon_windows(spark, sf_dir, 128, 2).filter(F.size("x") > 0)
     row = F.concat(F.array(F.lit(T.CLS)), "x", F.array(F.lit(T.SEP)))
@@ -352,7 +336,7 @@ def m04_variant_input_whole(spark, sf_dir):
 
 
 @query(f"WITH {SEQS}, {IDS}, w AS (SELECT doc_id, source, k // 60 AS window_no, ids[k + 1:k + 60] AS x FROM ids, unnest(range(0, greatest(len(ids), 1), 60)) t(k)) SELECT doc_id, window_no::INT AS window_no, '<ctrl_' || lower(source) || '>' AS control, {TEXT.format('list_concat([0, 70, 2], x, [1], list_transform(range(60 - len(x)), lambda i: 3))')} AS ids FROM w")
-def p16_control_tags_whole(spark, sf_dir):
+def p16_control_tags(spark, sf_dir):
     """A control tag before each window of 60 codons of every sequence."""
     t = codon_windows(spark, sf_dir, 64, 4).withColumn("control", T.control_name(F.concat("source", F.lit("__x"))))
     return t.select("doc_id", "window_no", "control", T.joined(T.headed(F.col("x"), [0, 70, 2], [1], T.PAD, 64)).alias("ids"))
@@ -365,13 +349,6 @@ def m07_window_labels(spark, sf_dir):
     return t.select("doc_id", "window_no", T.joined(T.class_labels(F.col("seq"), "ACG", F.col("start"), F.col("stop"))).alias("labels"))
 
 
-@query(f"WITH {SEQS}, {IDS} SELECT doc_id, '<ctrl_' || lower(source) || '>' AS control, {TEXT.format('list_concat([0, 70, 2], ids[1:60], [1], list_transform(range(60 - least(60, len(ids))), lambda x: 3))')} AS ids FROM ids")
-def p16_control_tags(spark, sf_dir):
-    """A control tag before each row of 64 tokens."""
-    t = seqs(spark, sf_dir).select("doc_id", T.control_name(F.concat("source", F.lit("__x"))).alias("control"), T.codon_ids(F.col("seq")).alias("x"))
-    return t.select("doc_id", "control", T.joined(T.headed(F.col("x"), [0, 70, 2], [1], T.PAD, 64)).alias("ids"))
-
-
 @query("SELECT n_nationkey::VARCHAR AS tax_id, n_name AS name, '' AS unique_name, 'scientific name' AS name_class FROM nation")
 def s16_taxonomy_dump(spark, sf_dir):
     """Fields of a taxonomy dump; its lines are written from the nations."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import tokens as T
-from weftline.operators import batches, clusters, corpora, matrix, sampling, sequence_tables
+from weftline.operators import batches, blends, clusters, corpora, matrix, sampling, sequence_tables
 from weftline.plans import biology, models  # noqa: F401  the queries whose SQL is given here
 from weftline.plans.basics import ORACLES, query
 from weftline.plans.biology import ROLL, SEQS, seqs, table
 from weftline.plans.training import IDS, TEXT
+from weftline.storage import scratch
 
 GREEDY = """items AS (SELECT source, doc_id // 1000 AS stretch, doc_id, length(seq) AS n, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS rn FROM seqs WHERE length(seq) <= {limit}),
 r AS (SELECT *, 0 AS batch, n::BIGINT AS used FROM items WHERE rn = 1 UNION ALL SELECT i.*, r.batch + (r.used > 0 AND r.used + i.n > {budget})::INT, CASE WHEN r.used > 0 AND r.used + i.n > {budget} THEN i.n ELSE r.used + i.n END FROM r JOIN items i ON i.source IS NOT DISTINCT FROM r.source AND i.stretch = r.stretch AND i.rn = r.rn + 1)"""
@@ -162,3 +163,26 @@ def c01_sequence_pairs(spark, sf_dir):
 def c01_linear_clusters(spark, sf_dir):
     """Clusters of sequences around the longest, in linear time."""
     return linear(spark, sf_dir)[0]
+
+
+WEIGHTS = {"en": 5.0, "de": -1.5, "fr": 2.25}
+SHARES = [57, 17, 26]  # of a hundred, as the weights above come out
+
+
+@query(f"""WITH RECURSIVE turn AS (SELECT 0 AS slot, [0, 0, 0] AS c, {SHARES} AS s, NULL::BIGINT AS d, NULL::INT AS k UNION ALL SELECT slot + 1, list_transform(c, lambda x, j: x + (j = d1)::INT), s, d1, c[d1] FROM (SELECT *, list_min(list_transform([1, 2, 3], lambda i: CASE WHEN c[i] < s[i] AND floor(c[i] * 100 / s[i]) <= slot THEN [ceil((c[i] + 1) * 100 / s[i])::INT, i] END))[2] AS d1 FROM turn WHERE slot < 100)),
+p AS (SELECT slot - 1 AS slot, {list(WEIGHTS)}[d] AS lang, k, {SHARES}[d] AS q FROM turn WHERE slot > 0), i AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM documents), z AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+a AS (SELECT draw, lang, n, (draw // 100) * q + k AS nth FROM range(0, 3000) t(draw) JOIN p ON slot = draw % 100 JOIN z USING (lang)), b AS (SELECT draw, lang, n, nth // n AS epoch, nth % n AS i, '9:' || lang || ':' || (nth // n)::VARCHAR AS key FROM a), {models.walked('b')}
+SELECT draw, lang, epoch, doc_id FROM walked JOIN i USING (lang) WHERE r = x""")
+def r22_mixed_order(spark, sf_dir):
+    """Three thousand draws from three languages by weight, each in epochs of its own."""
+    return blends.mixed_order(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", WEIGHTS, 3000, 9, period=100)
+
+
+@query(f"WITH e AS (SELECT event_id, event_id // 50 AS part, event_type FROM events), l AS (SELECT part, event_type, event_type || ':' || part AS sample, floor({ROLL.format(seed=3, key="(event_type || ':' || part)")} * 4)::INT AS rank FROM (SELECT DISTINCT part, event_type FROM e)), r AS (SELECT *, row_number() OVER (PARTITION BY rank, event_type ORDER BY part) - 1 AS place FROM l) SELECT run, tm AS time, r.* FROM r, (VALUES ('first', TIMESTAMP '2024-01-02 03:04:05'), ('second', TIMESTAMP '2024-01-03 00:00:00')) t(run, tm)")
+def i04_appended_log(spark, sf_dir):
+    """Two runs in one access log, the first of them written twice."""
+    t = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("part"), "event_type").distinct()
+    log, path = corpora.access_log(t, "part", "event_type", 4, 3), scratch(spark, "log")
+    for run, time in (("first", "2023-01-01 00:00:00"), ("second", "2024-01-03 00:00:00"), ("first", "2024-01-02 03:04:05")):
+        blends.append_log(log, path, run, time)
+    return blends.read_log(spark, path).select("run", "time", "part", "event_type", "sample", "rank", "place")

@@ -29,7 +29,7 @@ from weftline.llm import common as c
 
 LONGEST = 4
 OTHER = (1 << 31) - 1  # the code of a word that is not in the list
-GATHERED = 3 << 18
+GATHERED = 1 << 19
 _HARD, _SOFT = np.zeros(256, bool), np.zeros(256, bool)
 _HARD[[*b".,;:!?", 10, 11, 12, 13]] = True
 _SOFT[[9, 32]] = True
@@ -147,12 +147,13 @@ def frequent_windows(counted: DataFrame, least: int, hot: int, parts: int) -> Da
     code = {k: F.expr(f"CAST({e} AS INT)") for k, e in ((1, "hi >> 32"), (2, "hi & 4294967295"), (3, "lo >> 32"), (4, "lo & 4294967295"))}
     texts = lambda k: F.when(F.col(f"_m{k}") > 0, F.substring_index("x", " ", 1) if k == 1 else F.expr(f"substring_index(x, ' ', _m{k})"))
     others = {f"_m{k}": sum((code[i] == OTHER).cast("int") for i in range(1, k + 1)) for k in (1, 2, 3)}
-    warm = lambda k: code[k].between(1, hot)
-    rows = counted.withColumns(others | {"_hot2": warm(1) & warm(2), "_hot3": warm(1) & warm(2) & warm(3), "_c": code[3]}).withColumns({"_x1": texts(1), "_x2": texts(2), "_x3": texts(3)})
-    rows = rows.withColumn("_salt", F.when(F.col("_hot3"), F.xxhash64("lo", "x")).when(F.col("_hot2"), F.xxhash64("_c", "_x3")).otherwise(0)).drop("_m1", "_m2", "_m3")
-    two = ["hi", "lang", "_x2", "_salt"]
+    warm = lambda k: F.least(*(code[i].between(1, hot) for i in range(1, k + 1)))
+    rows = counted.withColumns(others).withColumns({"_x2": texts(2), "_x3": texts(3), "_c": code[3]})
+    salt = F.when(warm(3), F.xxhash64("lo", "x")).when(warm(2), F.xxhash64("_c", "_x3")).when(F.col("_m2") > 0, F.xxhash64("_x2")).otherwise(0)
+    rows = rows.select("lang", "hi", "lo", "x", "n", salt.alias("_salt")).repartition(parts, "hi", "lang", "_salt")
+    rows = rows.withColumns(others | {"_hot2": warm(2), "_hot3": warm(3), "_c": code[3]}).withColumns({"_x1": texts(1), "_x2": texts(2), "_x3": texts(3)})
+    two = ["hi", "lang", "_salt", "_x2"]
     three, four = [*two, "_c", "_x3"], [*two, "_c", "_x3", "lo", "x"]
-    rows = rows.repartition(parts, *two)
     for name, by in (("_n4", four), ("_n3", three), ("_n2", two)):
         rows = rows.withColumn(name, F.sum("n").over(Window.partitionBy(*by)))
     rare2, rare3, rare4 = ~F.col("_hot2") & (F.col("_n2") < least), ~F.col("_hot3") & (F.col("_n3") < least), F.col("_n4") < least

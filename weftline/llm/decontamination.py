@@ -10,8 +10,8 @@ words put in, left out or changed (two neighbours swapped are two edits): SLOP e
 each six of its words, so windows of under six words have none. One of the chosen terms is then left, at its offset give or take the edits.
 Windows with more terms that no document holds than they allow edits are dropped, since they cannot occur.
 
-Terms and windows are broadcast up to BROADCAST_ROWS rows (counted) and joined by a shuffle beyond.
-Only hits are exchanged, already gathered for each document; full texts never are.
+Terms and windows are broadcast up to BROADCAST_ROWS rows (counted) and joined by a shuffle beyond, in which a word has at most its
+neighbours with it. Windows are distinct phrases; the items that hold one are joined to its hits. Hits are exchanged, and full texts never are.
 
 Defined cases: null or empty texts and items have no words; an item of null id still marks words
 but is not listed; rows that repeat id and text are one document that comes out once for each row;
@@ -57,9 +57,10 @@ def edits(n: Column) -> Column:
 
 def postings(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The table ``term, _id, _h, pos, left, around``: where documents hold a term, and the words from place ``left`` on, ``reach`` on both sides."""
-    t = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term")).join(terms, "term")
+    t = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term"))
     left = F.greatest(F.col("pos") - reach, F.lit(0))
-    return c.store(t.select("term", "_id", "_h", "pos", left.alias("left"), F.slice("_words", left + 1, F.col("pos") + reach + 1 - left).alias("around")))
+    t = t.select("term", "_id", "_h", "pos", left.alias("left"), F.slice("_words", left + 1, F.col("pos") + reach + 1 - left).alias("around"))
+    return c.store(t.join(terms, "term"))
 
 
 def nearest(window: Column, span: Column, first: Column, start: Column, n: Column) -> Column:
@@ -80,25 +81,27 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "do
     """``_id, _h, hits`` (distinct structs of first word ``s`` and length ``n``), ``items``, and ``near`` (with the edits ``d``) and
     ``near_items`` for documents with any hit."""
     texts = c.keyed(docs, id_col, text_col).withColumn("_words", words_of(F.col("_text"))).select("_id", "_h", "_words")
-    windows = c.store(item_windows(items, n, item_col, item_text_col).withColumn("_w", F.xxhash64("item_id", "window")))
+    owned = c.store(item_windows(items, n, item_col, item_text_col).withColumn("_w", F.xxhash64("window")))
+    windows = owned.select("_w", "window").distinct()
     terms = _small(c.store(windows.select(F.explode("window").alias("term")).distinct()))
     counts = c.store(texts.select(F.explode("_words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df")))
-    ranked = windows.select("item_id", "window", "_w", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
-    ranked = ranked.groupBy("_w", "item_id", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("r"), F.count("df").alias("there"))
+    ranked = windows.select("window", "_w", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
+    ranked = ranked.groupBy("_w", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("r"), F.count("df").alias("there"))
     ranked = ranked.withColumns({"n": F.size("window"), "e": edits(F.size("window"))}).filter(F.col("n") - F.col("there") <= F.col("e"))
-    chosen = ranked.select("_w", "item_id", "window", "n", "e", F.explode(F.slice("r", F.lit(1), F.col("e") + 1)).alias("r")).filter("r.df > 0")
-    chosen = c.store(chosen.select("_w", "item_id", "window", "n", "e", F.col("r.term").alias("term"), F.col("r.at").alias("at")))
+    chosen = ranked.select("_w", "window", "n", "e", F.explode(F.slice("r", F.lit(1), F.col("e") + 1)).alias("r")).filter("r.df > 0")
+    chosen = c.store(chosen.select("_w", "window", "n", "e", F.col("r.term").alias("term"), F.col("r.at").alias("at")))
     lists = postings(texts, _small(c.store(chosen.select("term").distinct())), n + SLOP)
     start = F.col("pos") - F.col("at")
     first = F.greatest(start - F.col("e"), F.lit(0))
     t = lists.join(_small(chosen), "term").withColumns({"start": start, "first": first}).filter(F.col("start") >= -F.col("e"))
     t = t.withColumn("span", F.slice("around", F.col("first") - F.col("left") + 1, F.col("start") + F.col("n") + F.col("e") - F.col("first")))
     t = t.filter(F.size(F.array_intersect("span", "window")) >= F.size(F.array_distinct("window")) - F.col("e"))
-    t = t.groupBy("_w", "_id", "_h", "start").agg(F.countDistinct("at").alias("lists"), *(F.any_value(x).alias(x) for x in ("item_id", "window", "n", "e", "first", "span")))
+    t = t.groupBy("_w", "_id", "_h", "start").agg(F.countDistinct("at").alias("lists"), *(F.any_value(x).alias(x) for x in ("window", "n", "e", "first", "span")))
     exact = (F.col("lists") == F.col("e") + 1) & (F.col("start") >= 0) & (F.slice("span", F.col("start") - F.col("first") + 1, F.col("n")) == F.col("window"))
     t = t.withColumn("exact", exact).filter(F.col("exact") | (F.col("e") > 0))
     best = F.when(~F.col("exact") & (F.col("e") > 0), nearest(F.col("window"), F.col("span"), F.col("first"), F.col("start"), F.col("n")))
-    t = t.withColumn("best", best).withColumn("close", F.col("best.d").between(1, F.col("e")))
+    t = t.withColumn("best", best).withColumn("close", F.coalesce(F.col("best.d").between(1, F.col("e")), F.lit(False)))
+    t = t.filter(F.col("exact") | F.col("close")).join(_small(owned.select("_w", "item_id")), "_w")
     hit, near = F.struct(F.col("start").alias("s"), "n"), F.struct(F.col("best.s").alias("s"), F.col("best.n").alias("n"), F.col("best.d").alias("d"))
     picked = {"hits": F.when(F.col("exact"), hit), "items": F.when(F.col("exact"), F.col("item_id")), "near": F.when(F.col("close"), near), "near_items": F.when(F.col("close"), F.col("item_id"))}
     return t.groupBy("_id", "_h").agg(*(F.collect_set(x).alias(name) for name, x in picked.items()))

@@ -124,14 +124,20 @@ class ByteNetwork:
         return self
 
 
-def train(docs: DataFrame, train_rows: Column, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
-    """Learn from the rows where ``train_rows`` holds; None if there are none."""
+def placed(key: Column) -> Column:
+    """A hash below 2 ** 62; a share of the keys lies below that share of it, however small it is."""
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 62))
+
+
+def train(docs: DataFrame, train_rows: Column, per_language: int = 400, windows: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
+    """Learn from the rows where ``train_rows`` holds; None if there are none. Of each language ``per_language`` texts are drawn by hash (in expectation; all, if
+    it has no more), and of each of them its first window, its last and others by hash over the whole text, ``windows`` in all."""
     rows = docs.filter(train_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()  # a row for each class of the softmax layer
     if not counts:
         return None
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20))
-    share = F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 20))))), F.col(lang_col).cast("string"))
+    place = placed(F.col(id_col))
+    share = F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]) * float(1 << 62)))), F.col(lang_col).cast("string"))
     labels = sorted(r["lang"] for r in counts)
     index = {x: i for i, x in enumerate(labels)}
 
@@ -141,7 +147,7 @@ def train(docs: DataFrame, train_rows: Column, per_language: int = 400, id_col:
             for text, lang, seed in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 raw = text.encode()
                 last = max(0, len(raw) - WINDOW)
-                places = sorted({0, last, seed % (last + 1)})
+                places = sorted({0, last, *((seed * (2 * i + 1) + i) % (last + 1) for i in range(windows - 2))})
                 x += [w.tobytes() for w in windows_of(raw, places)]
                 y += [index[lang]] * len(places)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32())], names=["x", "y"])

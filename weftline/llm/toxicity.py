@@ -8,8 +8,8 @@
    restores join the text's own words.
 3. A logistic model on the presence of words and of word beginnings (four, five and six bytes) scores the restored text. It is
    fitted on at most ``sample`` labelled training rows (in expectation, drawn by hash, half of each
-   class where there are enough); its width is FEATURES, the features most tied to the label among those in LEAST rows of that
-   sample. Width and support are sizes of the model, fixed like a network's; they leave no text or label out. Every whole text is scored.
+   class where there are enough); its ``width``, eight features for 125 rows of the sample unless given, takes those most tied to the label among those in ``least`` rows of that
+   sample. Width and support are sizes of the model and leave no text or label out. Every whole text is scored.
 
 Defined cases: null or empty texts get the score of a text without features, and so do all texts when there
 are no labels of both kinds; several labels of one document count as toxic if any is; rows that repeat an id are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common as c
 
-FEATURES, LEAST = 512, 5
+LEAST = 5
 # What characters imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'`·, "
@@ -245,8 +245,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit on labelled rows where ``train_rows`` holds."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = 8000, width: int | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Fit on labelled rows where ``train_rows`` holds: about ``sample`` of them, by the ``width`` features (default: eight for 125 rows) most tied to the label among
+    those that stand in ``least`` rows. Equal texts are one row, toxic if any of them is."""
     costs = character_costs(docs, text_col)
     empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -3.0, costs)
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label")).filter(F.col("_key").isNotNull() & F.col("_label").isin(0, 1))
@@ -260,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     drawn = c.store(known.filter(place < share * (1 << 20)))
     # ``sample`` rows in expectation, whatever the input: small enough to broadcast, and full texts stay where they are
     chosen = c.store(rows.join(F.broadcast(drawn), "_key").select(F.col("_label").cast("long").alias("_id"), F.xxhash64("_text").alias("_h"), "_text").repartition(8, "_h"))
-    chosen = chosen.dropDuplicates(["_h"])
+    chosen = chosen.groupBy("_h").agg(F.max("_id").alias("_id"), F.first("_text").alias("_text")).select("_id", "_h", "_text")
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def count(batches):
@@ -282,9 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return empty
-    stats = chosen.mapInArrow(count, "mark long, one long, zero long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).filter(F.col("one") + F.col("zero") >= LEAST)
+    stats = chosen.mapInArrow(count, "mark long, one long, zero long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).filter(F.col("one") + F.col("zero") >= least)
     ratio = F.log((F.col("one") + 0.3) / (n1 + 0.6)) - F.log((F.col("zero") + 0.3) / (n0 + 0.6))
-    top = stats.withColumn("tie", F.abs(ratio) * F.sqrt(F.col("one") / n1 + F.col("zero") / n0)).orderBy(F.desc("tie"), "mark").limit(FEATURES).select("mark").collect()
+    top = stats.withColumn("tie", F.abs(ratio) * F.sqrt(F.col("one") / n1 + F.col("zero") / n0)).orderBy(F.desc("tie"), "mark").limit(width or sample * 8 // 125).select("mark").collect()
     marks = np.sort(np.array([r["mark"] for r in top], np.int64).view(np.uint64))
     model = ToxicityModel(marks, np.zeros(len(marks)), 0.0, costs)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)

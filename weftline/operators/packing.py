@@ -13,17 +13,20 @@ def _rounded(size: str, multiple: int) -> Column:
     return (F.ceil(F.col(size) / multiple) * multiple).cast("long")
 
 
-def split_pack(items: DataFrame, lane: list[str], order: str, size: str, budget: int, multiple: int = 1) -> DataFrame:
+def split_pack(items: DataFrame, lane: list[str], order: str, size: str, budget: int, multiple: int = 1, offset: DataFrame | None = None) -> DataFrame:
     """``lane, order, batch, start, stop, at``: every batch of a lane is filled to ``budget`` exactly (but its last one);
     an item that crosses an edge goes on in the next batch. Tokens [start, stop) of the item lie at ``at`` in the batch.
     With ``multiple`` each piece is padded to it, so a batch holds the largest multiple within the budget, and an item is cut at a
     multiple of its tokens. As all but an item's last piece are such multiples, running sums of padded sizes tell
-    every piece; a lane may hold all rows."""
+    every piece; a lane may hold all rows. ``offset`` (``lane, offset``) says how much of a lane's first batch is taken."""
     room = budget // multiple * multiple
     if room <= 0:
         raise ValueError("the budget holds no multiple")
     t = items.filter(F.col(size) > 0).select(*lane, order, size)
     t = running(t, lane, [order], {"_to": _rounded(size, multiple)}).withColumn("_from", F.col("_to") - _rounded(size, multiple))
+    if offset is not None:
+        t = t.join(offset, lane, "left").withColumn("_by", F.coalesce("offset", F.lit(0)))
+        t = t.withColumns({"_to": F.col("_to") + F.col("_by"), "_from": F.col("_from") + F.col("_by")})
     t = t.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_from") / room), F.floor((F.col("_to") - 1) / room))))
     first, last = F.greatest(F.col("_from"), F.col("batch") * room), F.least(F.col("_to"), (F.col("batch") + 1) * room)
     stop = F.least(last - F.col("_from"), F.col(size))

@@ -12,7 +12,7 @@ from weftline.plans.biology import ACTS, EXONS, SEQS, VARIANTS, acts, exons, seq
 from weftline.plans.corpora import GREEDY
 from weftline.sources import annotations, clinical, fasta, outputs, records, tables
 from weftline.storage import scratch
-from weftline.streaming import feature_stream, ingest, packing_stream
+from weftline.streaming import carried, feature_stream, ingest, packing_stream
 
 
 def written(spark, name, write) -> str:
@@ -326,6 +326,28 @@ def z03_shuffled_batches(spark, sf_dir):
     return t.crossJoin(F.broadcast(large.filter(fine))).select("event_id")  # one row
 
 
+@query("SELECT b AS batch, least(32, (SELECT count(*) FROM events) - 32 * b) AS n FROM range(0, (SELECT ceil(count(*) / 32)::BIGINT FROM events)) t(b)")
+def z03_buffered_shuffle(spark, sf_dir):
+    """Batches of 32 events from a buffer of 500 that outlives micro-batches: how many different events each batch has."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    source, target, mark = (scratch(spark, x) for x in ("events", "batches", "mark"))
+    e.repartition(4, "event_id").write.parquet(source)
+    carried.follow_buffered(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source), target, mark, "event_id", 5, 32, 500).awaitTermination()
+    carried.finish_buffered(spark, target, "event_id long", "event_id", 5, 32)
+    return spark.read.parquet(target).groupBy("batch").agg(F.countDistinct("event_id").alias("n"))
+
+
+@query(f"WITH {SEQS} SELECT 'all' AS lane, sum(length(seq))::BIGINT AS tokens, ceil(sum(length(seq)) / 512)::BIGINT AS batches FROM seqs")
+def z05_packed_lane(spark, sf_dir):
+    """A stream packed into batches of 512 tokens in one lane of all rows."""
+    t = seqs(spark, sf_dir).select(F.lit("all").alias("lane"), "doc_id", F.length("seq").alias("n"))
+    source, target, mark = (scratch(spark, x) for x in ("items", "pieces", "mark"))
+    t.repartition(3, "doc_id").write.parquet(source)
+    carried.follow_packed(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(source), target, mark, "lane", "doc_id", "n", 512).awaitTermination()
+    p = spark.read.parquet(target)
+    return p.groupBy("lane").agg(F.sum(F.col("stop") - F.col("start")).alias("tokens"), F.countDistinct("batch").alias("batches"))
+
+
 @query(f"WITH {SEQS}, i AS (SELECT doc_id % 4 AS lane, doc_id, length(seq)::BIGINT AS n FROM seqs WHERE length(seq) > 0) SELECT lane::VARCHAR AS lane, sum(n)::BIGINT AS tokens, ceil(sum(n) / 512)::BIGINT AS batches FROM i GROUP BY lane")
 def z05_packed_stream(spark, sf_dir):
     """A stream packed into batches of 512 tokens, the open batch carried on: what each lane took and filled."""

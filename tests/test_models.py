@@ -236,6 +236,17 @@ def test_best_set_of_each_database(spark):
     assert enrichment.best_sets(found, "f", "d", "s", 0.0).isEmpty()
 
 
+def test_forest_search_prefers_the_depth_of_the_function(spark):
+    """A step in each of two features takes two levels of a tree: depth 2 has less error than depth 0, which is the deviation from the mean."""
+    rng = random.Random(9)
+    rows = [(x := [rng.random(), rng.random(), rng.random()], (x[0] > 0.5) * 4.0 + (x[1] > 0.3) * 1.0, i % 3) for i in range(300)]
+    t = spark.createDataFrame(rows, "x array<double>, y double, fold int")
+    got = {r.maxDepth: r for r in scores.forest_search(t, "x", "y", "fold", 3, {"numTrees": [10], "maxDepth": [0, 2]}).collect()}
+    mean = sum(r[1] for r in rows) / len(rows)
+    assert got[0.0].rmse == pytest.approx((sum((r[1] - mean) ** 2 for r in rows) / len(rows)) ** 0.5, rel=0.05)
+    assert got[2.0].best and not got[0.0].best and got[2.0].rmse < 0.6 * got[0.0].rmse
+
+
 def test_scores(spark):
     t = spark.createDataFrame([("g", [0.0, 0.0], 1), ("g", [1000.0, 0.0], 0)], "g string, x array<double>, y int")
     logp = [r[0] for r in t.select(scores.log_probability(F.col("x"), F.col("y"))).collect()]

@@ -278,7 +278,10 @@ def e04_contrast_rows(spark, sf_dir):
     return enrichment.contrast_rows(acts(spark, sf_dir), "vec_id", "feature", "value", 5, 5, 6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQS}, h AS (SELECT v, n, row_number() OVER (ORDER BY v) AS rn FROM (SELECT length(seq)::BIGINT AS v, count(*) AS n FROM seqs GROUP BY 1)),
+w AS (SELECT rn, v AS low, n AS items, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM h WHERE rn = 1 UNION ALL SELECT h.rn, CASE WHEN NOT shut THEN low WHEN v - low >= 200 THEN low + (v - low) // 200 * 200 ELSE v END, CASE WHEN shut THEN n ELSE items + n END, CASE WHEN shut THEN low END, CASE WHEN shut THEN v END, CASE WHEN shut THEN items END FROM (SELECT w.*, v, n, v - low >= 200 OR items >= 20 AS shut, h.rn AS next FROM w JOIN h ON h.rn = w.rn + 1) x JOIN (SELECT rn FROM h) h ON h.rn = x.next),
+s AS (SELECT a, b, c FROM w WHERE a IS NOT NULL UNION ALL SELECT low, (SELECT max(v) + 1 FROM h), items FROM w WHERE rn = (SELECT max(rn) FROM h))
+SELECT row_number() OVER (ORDER BY a, k) - 1 AS bucket, a + 200 * (k - 1) AS low, CASE WHEN b - a >= 200 THEN a + 200 * k ELSE b END AS high, CASE WHEN k = 1 THEN c ELSE 0 END AS items FROM s, unnest(range(1, greatest((b - a) // 200, 1) + 1)) t(k)""")
 def i10_size_buckets(spark, sf_dir):
     """Buckets of sequence lengths with 20 rows or a width of 200."""
     return batches.size_buckets(seqs(spark, sf_dir).select(F.length("seq").alias("n")), "n", 200, 20)

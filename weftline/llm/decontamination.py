@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-A test item gives windows of ``n`` consecutive words (an item of fewer words is one window). One pass over
-the documents counts the test terms; each window then picks its rarest terms, one more than the edits that it allows. A
+A test item gives windows of ``n`` consecutive words (an item of fewer words is one window). Documents are cut into words once, and these
+are stored. One pass over them counts the test terms; each window then picks its rarest terms, one more than the edits that it allows. A
 second pass writes the postings (term, document, position) of the chosen terms as a table, each with the words
 around it. Lists are intersected by (window, document, position less offset); all words of the phrase are compared last.
 
@@ -30,7 +30,6 @@ from weftline.llm import common as c
 BROADCAST_ROWS = 200_000
 SLOP = 2
 _BREAKS = "".join(chr(x) for x in range(128) if chr(x) not in string.ascii_letters + string.digits)
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -56,11 +55,14 @@ def edits(n: Column) -> Column:
 
 
 def postings(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The table ``term, _id, _h, pos, left, around``: where documents hold a term, and the words from place ``left`` on, ``reach`` on both sides."""
-    t = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term"))
+    """The table ``term, _id, _h, pos, left, around``: where documents hold a term, and the words from place ``left`` on, ``reach`` on both sides. Terms
+    that are broadcast are met in the document's own row; else a word takes these neighbours along, and not its whole document."""
     left = F.greatest(F.col("pos") - reach, F.lit(0))
-    t = t.select("term", "_id", "_h", "pos", left.alias("left"), F.slice("_words", left + 1, F.col("pos") + reach + 1 - left).alias("around"))
-    return c.store(t.join(terms, "term"))
+    around = F.slice("_words", F.col("left") + 1, F.col("pos") + reach + 1 - F.col("left")).alias("around")
+    t = texts.select("_id", "_h", "_words", F.posexplode("_words").alias("pos", "term")).withColumn("left", left)
+    columns = ("term", "_id", "_h", "pos", "left")
+    few = terms.count() <= BROADCAST_ROWS
+    return c.store(t.join(F.broadcast(terms), "term").select(*columns, around) if few else t.select(*columns, around).join(terms, "term"))
 
 
 def nearest(window: Column, span: Column, first: Column, start: Column, n: Column) -> Column:
@@ -77,10 +79,15 @@ def nearest(window: Column, span: Column, first: Column, start: Column, n: Colum
     return F.array_min(F.array(*found))
 
 
-def find_items(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The table ``_id, _h, n_words, _words``: each document's words, cut once."""
+    t = c.keyed(docs, id_col, text_col).select("_id", "_h", words_of(F.col("_text")).alias("_words"))
+    return c.store(t.select("_id", "_h", F.size("_words").cast("long").alias("n_words"), "_words"))
+
+
+def find_items(texts: DataFrame, items: DataFrame, n: int = 13, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``_id, _h, hits`` (distinct structs of first word ``s`` and length ``n``), ``items``, and ``near`` (with the edits ``d``) and
     ``near_items`` for documents with any hit."""
-    texts = c.keyed(docs, id_col, text_col).withColumn("_words", words_of(F.col("_text"))).select("_id", "_h", "_words")
     owned = c.store(item_windows(items, n, item_col, item_text_col).withColumn("_w", F.xxhash64("window")))
     windows = owned.select("_w", "window").distinct()
     terms = _small(c.store(windows.select(F.explode("window").alias("term")).distinct()))
@@ -90,7 +97,7 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "do
     ranked = ranked.withColumns({"n": F.size("window"), "e": edits(F.size("window"))}).filter(F.col("n") - F.col("there") <= F.col("e"))
     chosen = ranked.select("_w", "window", "n", "e", F.explode(F.slice("r", F.lit(1), F.col("e") + 1)).alias("r")).filter("r.df > 0")
     chosen = c.store(chosen.select("_w", "window", "n", "e", F.col("r.term").alias("term"), F.col("r.at").alias("at")))
-    lists = postings(texts, _small(c.store(chosen.select("term").distinct())), n + SLOP)
+    lists = postings(texts, c.store(chosen.select("term").distinct()), n + SLOP)
     start = F.col("pos") - F.col("at")
     first = F.greatest(start - F.col("e"), F.lit(0))
     t = lists.join(_small(chosen), "term").withColumns({"start": start, "first": first}).filter(F.col("start") >= -F.col("e"))
@@ -121,9 +128,9 @@ def covered_words(hits: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, per_hit: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, items, hits, near, near_items, contaminated``: a document is contaminated if ``per_hit`` times its
     exactly hit words reach its words; near hits are listed in columns of their own."""
-    found = find_items(docs, items, n, id_col, text_col, item_col, item_text_col)
-    sized = c.keyed(docs, id_col, text_col).select("_id", "_h", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"))
-    t = sized.join(found, ["_id", "_h"], "left")
+    texts = word_table(docs, id_col, text_col)
+    found = find_items(texts, items, n, item_col, item_text_col)
+    t = texts.select("_id", "_h", "n_words").join(found, ["_id", "_h"], "left")
     n_hit = F.coalesce(covered_words(F.col("hits")), F.lit(0)).cast("long")
     listed = lambda x: F.coalesce(F.array_sort(F.transform(x, lambda i: i.cast("string"))), F.array().cast("array<string>")).alias(x)
     t = t.select(c.plain_id(), "_h", "n_words", n_hit.alias("n_hit"), listed("items"), "hits", "near", listed("near_items"))

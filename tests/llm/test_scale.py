@@ -61,6 +61,17 @@ def test_no_word_list_goes_through_a_shuffle(spark, monkeypatch):
         assert "_words" not in below.split("AS around")[-1] and "around" in below
 
 
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_near_passages_at_the_start_of_a_text(spark, monkeypatch, rows):
+    """The first word or two of a window are missing where the text begins, so the window would start before it."""
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+    words = [f"u{i}" for i in range(13)]
+    docs = frame(spark, [" ".join(words[k:] + ["more", "text"]) for k in range(4)] * 3)
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words))], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, len(r.near or []), r.near_items) for r in dc.decontaminate(docs, bench).collect())
+    assert got == [(i, 13 if i % 4 == 0 else 0, int(i % 4 in (1, 2)), ["1", "2"] if i % 4 in (1, 2) else []) for i in range(12)]
+
+
 def test_a_language_of_a_billion_documents_keeps_its_sample(spark):
     """400 of 4.2e8 documents are a share for which 20 bits of a hash were too few."""
     share = 400 / 4.2e8

@@ -101,14 +101,14 @@ def find_items(texts: DataFrame, items: DataFrame, n: int = 13, item_col: str =
     start = F.col("pos") - F.col("at")
     first = F.greatest(start - F.col("e"), F.lit(0))
     t = lists.join(_small(chosen), "term").withColumns({"start": start, "first": first}).filter(F.col("start") >= -F.col("e"))
-    t = t.withColumn("span", F.slice("around", F.col("first") - F.col("left") + 1, F.col("start") + F.col("n") + F.col("e") - F.col("first")))
+    t = t.withColumn("span", F.slice("around", F.greatest(F.col("first") - F.col("left") + 1, F.lit(1)), F.greatest(F.col("start") + F.col("n") + F.col("e") - F.col("first"), F.lit(0))))
     t = t.filter(F.size(F.array_intersect("span", "window")) >= F.size(F.array_distinct("window")) - F.col("e"))
     t = t.groupBy("_w", "_id", "_h", "start").agg(F.countDistinct("at").alias("lists"), *(F.any_value(x).alias(x) for x in ("window", "n", "e", "first", "span")))
-    exact = (F.col("lists") == F.col("e") + 1) & (F.col("start") >= 0) & (F.slice("span", F.col("start") - F.col("first") + 1, F.col("n")) == F.col("window"))
+    exact = (F.col("lists") == F.col("e") + 1) & (F.col("start") >= 0) & (F.slice("span", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), F.col("n")) == F.col("window"))
     t = t.withColumn("exact", exact).filter(F.col("exact") | (F.col("e") > 0))
     best = F.when(~F.col("exact") & (F.col("e") > 0), nearest(F.col("window"), F.col("span"), F.col("first"), F.col("start"), F.col("n")))
     t = t.withColumn("best", best).withColumn("close", F.coalesce(F.col("best.d").between(1, F.col("e")), F.lit(False)))
-    t = t.filter(F.col("exact") | F.col("close")).join(_small(owned.select("_w", "item_id")), "_w")
+    t = t.join(_small(owned.select("_w", "item_id")), "_w")
     hit, near = F.struct(F.col("start").alias("s"), "n"), F.struct(F.col("best.s").alias("s"), F.col("best.n").alias("n"), F.col("best.d").alias("d"))
     picked = {"hits": F.when(F.col("exact"), hit), "items": F.when(F.col("exact"), F.col("item_id")), "near": F.when(F.col("close"), near), "near_items": F.when(F.col("close"), F.col("item_id"))}
     return t.groupBy("_id", "_h").agg(*(F.collect_set(x).alias(name) for name, x in picked.items()))

@@ -119,3 +119,12 @@ def test_extreme_products_equal_brute_force(spark, block, centred):
     got = products.extreme_products(frame(a, "r", 0), frame(b, "c", 100), "r", "c", "v", 4, centred=centred, block=block)
     assert sorted((x["r"], x["side"], x["rank"], x["c"]) for x in got.collect()) == sorted(want)
     assert all(abs(x["score"] - s[x["r"], x["c"] - 100]) < 1e-9 for x in got.collect())
+
+
+def test_scores_alike_after_rounding_are_tied(spark):
+    a = spark.createDataFrame([(0, [1]), (1, [0])], "r long, v array<long>")
+    b = spark.createDataFrame([(i, [v]) for i, v in enumerate([2001, 1999, 2002, -2000, 3000, 1000])], "c long, v array<long>")
+    got = products.extreme_products(a, b, "r", "c", "v", 3, centred=True, unit=1000)
+    # halves of the vectors, in whole thousands away from zero: 1, 1, 1, -1, 2, 1
+    assert [(x["c"], x["score"]) for x in got.filter("r = 0 and side = 'top'").orderBy("rank").collect()] == [(4, 2000), (0, 1000), (1, 1000)]
+    assert [x["c"] for x in got.filter("r = 0 and side = 'bottom'").orderBy("rank").collect()] == [3, 0, 1]

@@ -24,11 +24,12 @@ def _matrix(column: pa.Array, i: int) -> tuple[pa.Array, np.ndarray]:
     return keys, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
 
 
-def extreme_products(a: DataFrame, b: DataFrame, row: str, col: str, vector: str, k: int, centred: bool = False, block: int = 1024) -> DataFrame:
+def extreme_products(a: DataFrame, b: DataFrame, row: str, col: str, vector: str, k: int, centred: bool = False, block: int = 1024, unit: int | None = None) -> DataFrame:
     """``row, side, rank, col, score``: for each row of ``a`` the ``k`` rows of ``b`` with the highest (``side`` top) and lowest (bottom) product of
     vectors, ties by ``col``. With ``centred`` a score is less the mean score of its ``col`` over all of ``a``, which is the product with the
     mean vector. Keys are unique and not null, vectors of one length without nulls; those of whole numbers give exact scores (``centred``
-    ones are that number times the rows of ``a``, over it).
+    ones are that number times the rows of ``a``, over it). With ``unit`` scores are rounded to its multiples before they are ranked, halves
+    away from zero, so that those alike by then are tied.
 
     Vectors travel in blocks of about ``block`` rows, each as often as the other side has blocks. A task multiplies a pair of
     blocks and keeps ``k`` of each side for a row, so what is merged grows with rows times blocks, not with rows times columns."""
@@ -48,6 +49,9 @@ def extreme_products(a: DataFrame, b: DataFrame, row: str, col: str, vector: str
                 s = x @ y.T
                 if total is not None:
                     s = s * rows - (y @ total)[None, :]
+                if unit is not None:
+                    step = unit * rows
+                    s = np.sign(s) * ((2 * np.abs(s) + step) // (2 * step)) * step
                 order = np.argsort(np.array(other.to_pylist()), kind="stable")  # ties by key
                 other, s = other.take(pa.array(order)), s[:, order]
                 for side, ranked in (("top", np.argsort(-s, axis=1, kind="stable")), ("bottom", np.argsort(s, axis=1, kind="stable"))):

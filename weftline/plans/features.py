@@ -171,7 +171,7 @@ def e03_contexts(spark, sf_dir):
 @query(f"WITH {ACTS}, c AS (SELECT label, feature, round(avg(value::DOUBLE), 4)::DECIMAL(18,6) AS w FROM acts GROUP BY ALL), p AS (SELECT c.label, vec_id, sum(w * value) AS s FROM c JOIN acts a USING (feature) GROUP BY ALL), m AS (SELECT label, vec_id, round((s::DOUBLE - avg(s::DOUBLE) OVER (PARTITION BY vec_id)) * 1000000) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS t, row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS b FROM m) SELECT label, 'top' AS side, t::INT AS rank, vec_id FROM r WHERE t <= 3 UNION ALL SELECT label, 'bottom', b::INT, vec_id FROM r WHERE b <= 3")
 def e05_centred_extremes(spark, sf_dir):
     """The rows that score highest and lowest with each label's centre, scores centred by row."""
-    t = products.extreme_products(models.centres(spark, sf_dir), models.vectors(spark, sf_dir), "label", "vec_id", "v", 3, centred=True)
+    t = products.extreme_products(models.centres(spark, sf_dir), models.vectors(spark, sf_dir), "label", "vec_id", "v", 3, centred=True, unit=10**6)
     return t.select("label", "side", "rank", "vec_id")
 
 

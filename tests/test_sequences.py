@@ -94,3 +94,13 @@ def test_streamed_parts_equal_batch(spark, tmp_path):
     feature_stream.follow(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     key = lambda t: sorted((r.feature, r.n, round(r.mean, 9), round(r.variance, 9), r.top) for r in t.collect())
     assert key(feature_stream.merge(spark.read.parquet(f"{tmp_path}/out"))) == key(feature_stream.merge(feature_stream.mergeable(spark.read.parquet(src))))
+
+
+def test_coding_places_shuffle_no_hits(spark):
+    from weftline.operators import transcripts
+
+    hits = spark.createDataFrame([(1, 130, 100, 50, False, 200), (2, 130, 100, 50, True, 200)], "tx int, pos int, s int, offset int, minus boolean, total int")
+    got = transcripts.coding_places(hits, "pos", "s", "offset", "minus", "total")
+    assert {r.tx: r.cds_place for r in got.collect()} == {1: 80, 2: 119}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

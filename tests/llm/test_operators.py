@@ -263,6 +263,19 @@ def test_jaccard_join_equals_brute_force(spark, seed):
     assert got == jaccard_brute(texts)
 
 
+@pytest.mark.parametrize("block", [3, 128])
+def test_jaccard_join_lists_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jj, "SETS", block)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 200, 12)] + [" ".join([*base[:100], *(f"y{i}" for i in range(k))]) for k in range(0, 40, 3)]
+    texts += texts[:2]  # copies are of one class
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    kinds = {frozenset(s) for s in sets}
+    want = {i: sum(len(s & k) * 100 >= 80 * len(s | k) for k in kinds) - 1 for i, s in enumerate(sets)}
+    assert max(want.values()) > 10
+    assert {r.doc_id: r.n_links for r in jj.jaccard_join(frame(spark, texts)).collect()} == want
+
+
 def test_allotments_exceed_every_difference():
     b = jj.bands(80, 3000)
     for low, high in zip(b[:-1], b[1:], strict=True):

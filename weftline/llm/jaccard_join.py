@@ -18,9 +18,8 @@ Jaccard similarity of t % differ in at most (r + s)(100 - t)/(100 + t) tokens.
 * Documents of equal sets are one class. Signatures travel to buckets in compressed blobs; each class
   of a list joins the group of the list's first class, so candidates share a group. Groups are
   dealt in blocks of BLOCK classes with parity sketches of whole sets, whose differing bits never exceed the
-  sets' difference: pairs that these rule out go. A spanning forest of the others is verified on
-  whole sets; its links' components leave only pairs between different components open, which are
-  verified in a second round. So no group is expanded into all its pairs, and no link is lost.
+  sets' difference: pairs that these rule out go. All others are verified on whole sets: the classes that candidates
+  connect are dealt in blocks of SETS classes, and a set travels once for each block that its own meets, not once for each pair.
 
 Frequent shingles (for costs only; results don't depend on them) are the FREQUENT most common of
 those in one in a hundred of a chunk's documents. Components are found by label propagation with pointer
@@ -47,6 +46,7 @@ from weftline.llm import common as c
 FREQUENT = 65_536
 CHAIN = 4
 BLOCK = 2048
+SETS = 128
 
 
 def shingle_sets(chunk: c.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,21 +322,31 @@ def _by_bucket(batches):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+    """The pairs whose sets are similar enough. The classes of each component of ``pairs`` are dealt in blocks, and those of two blocks meet with the pairs between them."""
 
     def work(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("mark").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("tokens").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+            for row, both in zip(batch.column(0), batch.column(1), strict=True):
+                mark, tokens = _members(row)
+                at = {m: np.frombuffer(t.as_buffer(), np.uint64) for m, t in zip(mark.to_pylist(), tokens, strict=True)}
+                a, b = (x.to_numpy() for x in _members(both))
+                keep = np.zeros(len(a), bool)
+                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                    x, y = at[x], at[y]
+                    found = np.sort(np.concatenate([x, y]))
+                    inter = int((found[1:] == found[:-1]).sum())
+                    keep[k] = 100 * inter >= percent * (len(found) - inter)
+                if keep.any():
+                    yield _pairs(a[keep], b[keep])
+
+    labels = components(pairs)
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / SETS).cast("int").alias("k"))
+    dealt = c.store(labels.join(sizes, "label").select("v", "label", "k", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("block")))
+    ends = pairs.join(dealt.select(F.col("v").alias("a"), "label", F.col("block").alias("x")), "a").join(dealt.select(F.col("v").alias("b"), F.col("block").alias("y")), "b")
+    ends = ends.select("label", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("a", "b").alias("p")).groupBy("label", "i", "j").agg(F.collect_list("p").alias("both"))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("v").alias("mark"))
+    members = rows.join(sets, "mark").groupBy("label", "i", "j").agg(F.collect_list(F.struct("mark", "tokens")).alias("members"))
+    return members.join(ends, ["label", "i", "j"]).select("members", "both").mapInArrow(work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -379,25 +389,6 @@ def near_matrix(counts: np.ndarray, sketches: list[bytes], percent: int) -> np.n
     return out
 
 
-def forest(near: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the graph."""
-    fresh = near.any(axis=1)
-    a, b = [], []
-    for root in np.flatnonzero(fresh).tolist():
-        if not fresh[root]:
-            continue
-        fresh[root] = False
-        stack = [root]
-        while stack:
-            u = stack.pop()
-            found = np.flatnonzero(near[u] & fresh)
-            fresh[found] = False
-            a += [u] * len(found)
-            b += found.tolist()
-            stack += found.tolist()
-    return a, b
-
-
 def _placed(pairs: DataFrame) -> DataFrame:
     """``a, i, j, mark``: all pairs of each group meet in a block pair (i, j), of up to about 2 * BLOCK classes."""
     rows = pairs.select("a", F.col("b").alias("mark")).unionByName(pairs.select("a", F.col("a").alias("mark")).distinct())
@@ -417,7 +408,7 @@ def _members(row: pa.Scalar) -> list[np.ndarray]:
 
 
 def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal sets by document (``_id, _h, n, mark``), verified links between classes (``a, b``) and ``v, label`` of their components."""
+    """Classes of equal sets by document (``_id, _h, n, mark``), all links between classes (``a, b``) and ``v, label`` of their components."""
     spark = docs.sparkSession
     parts = c.partitions(spark)
     buckets = 2 * parts
@@ -433,19 +424,16 @@ def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     placed = _placed(pairs)
 
-    def spanning(batches):
+    def near(batches):
         for batch in batches:
-            found = [np.zeros((2, 0), np.int64)]
             for row in batch.column(0):
                 mark, count, sketch = _members(row)
                 mark = mark.to_numpy()
-                a, b = forest(near_matrix(count.to_numpy(), sketch.to_pylist(), percent))
-                if a:
-                    found.append(np.stack([np.minimum(mark[a], mark[b]), np.maximum(mark[a], mark[b])]))
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield _pairs(both[0], both[1])
+                x, y = np.nonzero(np.triu(near_matrix(count.to_numpy(), sketch.to_pylist(), percent)))
+                if len(x):
+                    yield _pairs(np.minimum(mark[x], mark[y]), np.maximum(mark[x], mark[y]))
 
-    tried = c.store(_blocks(placed, about).mapInArrow(spanning, "a long, b long").distinct())
+    tried = c.store(_blocks(placed, about).mapInArrow(near, "a long, b long").distinct())
     wanted = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).distinct()
     members = classes.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("_id", "_h")).alias("m")).select("mark", "m.*")
 
@@ -457,36 +445,12 @@ def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     some = texts.join(members.select("_id", "_h"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
     sets = c.store(some.mapInArrow(tokens, "mark long, tokens binary"))
-    links = c.store(_verified(tried, sets, percent).distinct())
-    labels = components(links)
-    named = about.join(wanted, "mark", "left_semi").join(labels.withColumnRenamed("v", "mark"), "mark", "left").select("mark", "n", "sketch", F.coalesce("label", "mark").alias("label"))
-
-    def cross(batches):
-        for batch in batches:
-            found = [np.zeros((2, 0), np.int64)]
-            for row in batch.column(0):
-                mark, count, sketch, label = _members(row)
-                mark, label = mark.to_numpy(), label.to_numpy()
-                if (label == label[0]).all():
-                    continue
-                near = np.triu(near_matrix(count.to_numpy(), sketch.to_pylist(), percent)) & (label[:, None] != label[None, :])
-                x, y = np.nonzero(near)
-                found.append(np.stack([np.minimum(mark[x], mark[y]), np.maximum(mark[x], mark[y])]))
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield _pairs(both[0], both[1])
-
-    later = c.store(_blocks(placed, named).mapInArrow(cross, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-    if later.isEmpty():
-        return classes, links, labels
-    more = c.store(_verified(later, sets, percent).distinct())
-    if more.isEmpty():
-        return classes, links, labels
-    links = links.unionByName(more)
+    links = c.store(_verified(tried, sets, percent))
     return classes, links, components(links)
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, _h, n_shingles, class_id`` (the set's mark; null if empty), ``n_links`` (of its class to other sets that were verified), ``component_id`` (smallest id reachable)."""
+    """``doc_id, _h, n_shingles, class_id`` (the set's mark; null if empty), ``n_links`` (of its class to other sets), ``component_id`` (smallest id reachable)."""
     classes, links, labels = similar_links(docs, n, percent, id_col, text_col)
     degree = links.select(F.col("a").alias("mark")).unionByName(links.select(F.col("b").alias("mark"))).groupBy("mark").agg(F.count("*").alias("n_links"))
     by_class = classes.filter("n > 0").groupBy("mark").agg(F.min("_id").alias("least"))

@@ -287,3 +287,12 @@ def test_stream_packing_goes_on_over_micro_batches(spark, tmp_path):
     assert got == {t: divmod(j, 8) for j, t in enumerate((k, i) for k in range(5) for i in range(sizes[k]))}
     packing_stream.follow_shuffled(spark.readStream.schema("lane string, k long, n long").parquet(src), f"file://{tmp_path}/sh", f"file://{tmp_path}/ck2", "k", 1, 2, drop_last=True).awaitTermination()
     assert sorted(r["count"] for r in spark.read.parquet(f"file://{tmp_path}/sh").groupBy("trigger", "batch").count().collect()) == [2, 2]
+
+
+def test_permutation_is_drawn_once_for_a_key(spark):
+    t = spark.range(3000).select(F.col("id"), (F.col("id") % 2).cast("string").alias("key")).coalesce(1)
+    got = t.select("key", schedules.permuted(F.floor(F.col("id") / 2), F.lit(1500), F.col("key")).alias("to"))
+    assert {r.key: r.n for r in got.groupBy("key").agg(F.countDistinct("to").alias("n")).collect()} == {"0": 1500, "1": 1500}
+    assert "aggregate(" not in got._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(None, 5, "a"), (5, 5, "a"), (-1, 5, "a"), (0, None, "a")], "i long, n long, k string")
+    assert [r[0] for r in odd.select(schedules.permuted(F.col("i"), F.col("n"), F.col("k"))).collect()] == [None] * 4

@@ -1,11 +1,12 @@
 """Clusters of similar sequences and products of vectors, against brute force."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from weftline.operators import clusters, corpora, products
+from weftline.operators import clusters, corpora, products, similar
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -128,3 +129,37 @@ def test_scores_alike_after_rounding_are_tied(spark):
     # halves of the vectors, in whole thousands away from zero: 1, 1, 1, -1, 2, 1
     assert [(x["c"], x["score"]) for x in got.filter("r = 0 and side = 'top'").orderBy("rank").collect()] == [(4, 2000), (0, 1000), (1, 1000)]
     assert [x["c"] for x in got.filter("r = 0 and side = 'bottom'").orderBy("rank").collect()] == [3, 0, 1]
+
+
+def shuffled(spark, work):
+    """How many rows ``work`` writes to shuffles."""
+    store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, empty, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_unlike_sequences_of_common_grams_are_not_shuffled_in_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "SETS", block)
+    draw = random.Random(5)
+    words = ["".join(draw.choice("ACGT") for _ in range(14)) for _ in range(40)]
+    rows = [(i, "".join(draw.sample(words, 20))) for i in range(300)]
+    rows += [(300 + i, rows[i][1][: -draw.randrange(1, 60)]) for i in range(0, 300, 3)] + [(900, "ACGT"), (901, None), (902, rows[7][1])]
+    df = spark.createDataFrame(rows, "i long, q string").repartition(4).cache()
+    df.count()
+    got = {}
+    assert shuffled(spark, lambda: got.update((r.i, r.cluster) for r in corpora.similar_sequences(df, "i", "q", 12, 60).collect())) < 30 * len(rows)
+    sets = {i: {q[a : a + 12] for a in range(len(q) - 11)} for i, q in rows if q and len(q) > 11}
+    want = {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = {i: low if c == high else c for i, c in want.items()}
+    assert got == want and len(set(want.values())) < len(rows) - 90

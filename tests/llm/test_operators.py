@@ -276,6 +276,16 @@ def test_jaccard_join_lists_every_link(spark, monkeypatch, block):
     assert {r.doc_id: r.n_links for r in jj.jaccard_join(frame(spark, texts)).collect()} == want
 
 
+def test_jaccard_join_of_near_copies_stores_no_row_for_each_pair(spark, monkeypatch):
+    draw, stored, store = random.Random(4), [], jj.c.store
+    monkeypatch.setattr(jj.c, "store", lambda df: stored.append(store(df)) or stored[-1])
+    base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[:at] + ["new"] + base[at + 1 :]) for at in range(0, 240, 3)]
+    got = jj.jaccard_join(frame(spark, texts)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(79, min(r.doc_id for r in got))}
+    assert max(t.count() for t in stored if t.columns[:2] == ["a", "b"]) < 10 * len(texts)
+
+
 def test_allotments_exceed_every_difference():
     b = jj.bands(80, 3000)
     for low, high in zip(b[:-1], b[1:], strict=True):

@@ -18,8 +18,9 @@ Jaccard similarity of t % differ in at most (r + s)(100 - t)/(100 + t) tokens.
 * Documents of equal sets are one class. Signatures travel to buckets in compressed blobs; each class
   of a list joins the group of the list's first class, so candidates share a group. Groups are
   dealt in blocks of BLOCK classes with parity sketches of whole sets, whose differing bits never exceed the
-  sets' difference: pairs that these rule out go. All others are verified on whole sets: the classes that candidates
-  connect are dealt in blocks of SETS classes, and a set travels once for each block that its own meets, not once for each pair.
+  sets' difference: pairs that these rule out go. A block lists a forest of the others, not each pair. The classes that forests
+  connect are dealt in blocks of SETS classes, where all pairs that sketches leave are verified on whole sets; a set travels once for each
+  block that its own meets. Of links, too, blocks give a forest, and their number for each class.
 
 Frequent shingles (for costs only; results don't depend on them) are the FREQUENT most common of
 those in one in a hundred of a chunk's documents. Components are found by label propagation with pointer
@@ -321,32 +322,50 @@ def _by_bucket(batches):
         yield from _bucket(held)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. The classes of each component of ``pairs`` are dealt in blocks, and those of two blocks meet with the pairs between them."""
+def forest(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least row that its entries lead to."""
+    label = np.arange(len(near))
+    while True:
+        least = [np.where(near[lo : lo + 256], label[None, :], len(near)).min(axis=1) for lo in range(0, len(near), 256)]
+        step = np.minimum(label, np.concatenate(least))
+        step = step[step]
+        if (step == label).all():
+            return label
+        label = step
+
+
+LINKED = "a long, b long, n_links long"
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n_links``: for blocks of classes, how many links a class has there and the class that they all lead to (itself for one of each). The classes of
+    each component of ``near`` are dealt in blocks; each two blocks meet once, so each pair is compared once, by sketches and then on whole sets."""
 
     def work(batches):
         for batch in batches:
-            for row, both in zip(batch.column(0), batch.column(1), strict=True):
-                mark, tokens = _members(row)
-                at = {m: np.frombuffer(t.as_buffer(), np.uint64) for m, t in zip(mark.to_pylist(), tokens, strict=True)}
-                a, b = (x.to_numpy() for x in _members(both))
-                keep = np.zeros(len(a), bool)
-                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                    x, y = at[x], at[y]
-                    found = np.sort(np.concatenate([x, y]))
+            for row, cross in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                mark, block, tokens = _members(row)
+                tokens = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens]
+                mark, block, count = mark.to_numpy(), block.to_numpy(), np.array([len(t) for t in tokens])
+                pairs = np.triu(near_matrix(count, [parity_sketch(t) for t in tokens], percent))
+                if cross:
+                    pairs &= block[:, None] != block[None, :]
+                linked = np.zeros(pairs.shape, bool)
+                for x, y in zip(*(v.tolist() for v in np.nonzero(pairs)), strict=True):
+                    found = np.sort(np.concatenate([tokens[x], tokens[y]]))
                     inter = int((found[1:] == found[:-1]).sum())
-                    keep[k] = 100 * inter >= percent * (len(found) - inter)
-                if keep.any():
-                    yield _pairs(a[keep], b[keep])
+                    linked[x, y] = 100 * inter >= percent * (len(found) - inter)
+                linked |= linked.T
+                some = linked.any(axis=1)
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(mark[some]), pa.array(mark[forest(linked)][some]), pa.array(linked.sum(axis=1)[some])], names=["a", "b", "n_links"])
 
-    labels = components(pairs)
+    labels = components(near)
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / SETS).cast("int").alias("k"))
-    dealt = c.store(labels.join(sizes, "label").select("v", "label", "k", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("block")))
-    ends = pairs.join(dealt.select(F.col("v").alias("a"), "label", F.col("block").alias("x")), "a").join(dealt.select(F.col("v").alias("b"), F.col("block").alias("y")), "b")
-    ends = ends.select("label", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("a", "b").alias("p")).groupBy("label", "i", "j").agg(F.collect_list("p").alias("both"))
-    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("v").alias("mark"))
-    members = rows.join(sets, "mark").groupBy("label", "i", "j").agg(F.collect_list(F.struct("mark", "tokens")).alias("members"))
-    return members.join(ends, ["label", "i", "j"]).select("members", "both").mapInArrow(work, "a long, b long")
+    dealt = c.store(labels.join(sizes, "label").select(F.col("v").alias("mark"), "label", "k", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("block")))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "mark", "block")
+    members = rows.join(sets, "mark").groupBy("label", "i", "j").agg(F.collect_list(F.struct("mark", "block", "tokens")).alias("members"))
+    return members.select("members", (F.col("i") != F.col("j")).alias("cross")).mapInArrow(work, LINKED)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -408,7 +427,7 @@ def _members(row: pa.Scalar) -> list[np.ndarray]:
 
 
 def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal sets by document (``_id, _h, n, mark``), all links between classes (``a, b``) and ``v, label`` of their components."""
+    """Classes of equal sets by document (``_id, _h, n, mark``), the number of links of each class to others (``mark, n_links``) and ``v, label`` of their components."""
     spark = docs.sparkSession
     parts = c.partitions(spark)
     buckets = 2 * parts
@@ -429,9 +448,10 @@ def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
             for row in batch.column(0):
                 mark, count, sketch = _members(row)
                 mark = mark.to_numpy()
-                x, y = np.nonzero(np.triu(near_matrix(count.to_numpy(), sketch.to_pylist(), percent)))
-                if len(x):
-                    yield _pairs(np.minimum(mark[x], mark[y]), np.maximum(mark[x], mark[y]))
+                root = forest(near_matrix(count.to_numpy(), sketch.to_pylist(), percent))
+                own = np.flatnonzero(root != np.arange(len(root)))
+                if len(own):
+                    yield _pairs(mark[root[own]], mark[own])
 
     tried = c.store(_blocks(placed, about).mapInArrow(near, "a long, b long").distinct())
     wanted = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).distinct()
@@ -446,13 +466,13 @@ def similar_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     some = texts.join(members.select("_id", "_h"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
     sets = c.store(some.mapInArrow(tokens, "mark long, tokens binary"))
     links = c.store(_verified(tried, sets, percent))
-    return classes, links, components(links)
+    degree = links.groupBy(F.col("a").alias("mark")).agg(F.sum("n_links").alias("n_links"))
+    return classes, degree, components(links.filter("a != b"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, _h, n_shingles, class_id`` (the set's mark; null if empty), ``n_links`` (of its class to other sets), ``component_id`` (smallest id reachable)."""
-    classes, links, labels = similar_links(docs, n, percent, id_col, text_col)
-    degree = links.select(F.col("a").alias("mark")).unionByName(links.select(F.col("b").alias("mark"))).groupBy("mark").agg(F.count("*").alias("n_links"))
+    classes, degree, labels = similar_links(docs, n, percent, id_col, text_col)
     by_class = classes.filter("n > 0").groupBy("mark").agg(F.min("_id").alias("least"))
     by_class = by_class.join(labels.withColumnRenamed("v", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
     least = by_class.groupBy("label").agg(F.min("least").alias("component"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.sources import annotations
 from weftline.sources import fasta, records
 from weftline.streaming import ingest
 
@@ -49,3 +50,10 @@ def test_labelled_jsonl(spark, tmp_path):
 def test_metric_windows(spark):
     got = ingest.metric_windows(spark.createDataFrame([(x,) for x in LINES], "value string")).orderBy("metric").collect()
     assert [(r.metric, r.n, r["mean"]) for r in got] == [("loss", 2, 2.0), ("lr", 1, None)]
+
+
+def test_spans_parse_each_entry_once(spark):
+    df = spark.createDataFrame([(1, 'DOMAIN 3..9; /note="b"; /note="c"; HELIX <4; REGION ?..7; TURN 2..99'), (2, 'DOMAIN 1..2; /note=""; DOMAIN 5; /note="b"')], "k long, x string")
+    found = annotations.spans(df, "k", "x", F.lit(80))
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "DOMAIN:b", 2, 9, 1), (1, "HELIX", 3, 4, 1), (2, "DOMAIN", 0, 2, 1), (2, "DOMAIN:b", 4, 5, 2)}

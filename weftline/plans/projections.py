@@ -82,7 +82,7 @@ span AS (SELECT entry, concept, start, stop, row_number() OVER (PARTITION BY con
 def fields(spark, sf_dir):
     """``entry, text``: an annotation text for each order."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.sort_array(F.collect_list(line)).alias("x"))
 
     def text(v):
         kind = F.when(v["l_returnflag"] == "A", "DOMAIN").when(v["l_returnflag"] == "N", "HELIX").otherwise("REGION")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.sources.records import position
+from weftline.storage import stored
 
 # Normalised column names and the codes of their features.
 FEATURES = {
@@ -50,12 +51,15 @@ def spans(df: DataFrame, key: str, text: str, length: Column, block: int = 1024)
     w = Window.partitionBy(key).orderBy("_i")
     t = t.withColumn("_entry", F.count_if(~F.col("_part").startswith("/")).over(w)).filter("_entry > 0")
     note = F.regexp_extract("_part", r'/note="([^"]*)"', 1)
-    noted = F.col("_part").startswith("/") & F.col("_part").rlike(r'/note="[^"]*"')
+    noted = F.col("_part").startswith("/") & F.col("_part").contains('/note="') & F.col("_part").rlike(r'/note="[^"]*"')
     t = t.groupBy(key, "_len", "_entry").agg(F.min_by("_part", "_i").alias("_head"), F.min_by(F.when(noted, note), F.when(noted, F.col("_i"))).alias("_note"))
-    kind = F.regexp_extract("_head", r"^(\S+)\s+(\S.*)$", 1)
-    place = position(F.regexp_extract("_head", r"^(\S+)\s+(\S.*)$", 2))
-    t = t.select(key, "_entry", F.concat(kind, F.when(F.col("_note") != "", F.concat(F.lit(":"), "_note")).otherwise("")).alias("concept"), place.alias("_p"), "_len")
-    t = t.filter(F.col("_p").isNotNull() & (F.col("_p.start") >= 0) & (F.col("_p.stop") <= F.col("_len"))).withColumn("_b", F.floor(F.col(key) / block))
+    # A column that is exploded is computed once; a filter on a derived one would compute it again for each of its mentions.
+    once = lambda x: F.explode(F.array(x))
+    head = F.struct(*(F.regexp_extract("_head", r"^(\S+)\s+(\S.*)$", i).alias(x) for i, x in ((1, "kind"), (2, "place"))))
+    t = t.select(key, "_entry", "_note", "_len", once(head).alias("_h"))
+    t = t.select(key, "_entry", F.concat("_h.kind", F.when(F.col("_note") != "", F.concat(F.lit(":"), "_note")).otherwise("")).alias("concept"), "_len", once(position(F.col("_h.place"))).alias("_p"))
+    t = t.filter(F.col("_p").isNotNull() & (F.col("_p.start") >= 0) & (F.col("_p.stop") <= F.col("_len"))).select(key, "_entry", "concept", "_p", F.floor(F.col(key) / block).alias("_b"))
+    t = stored(t)
     blocks = t.groupBy("concept", "_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("concept").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("concept", "_b", before.alias("_before"))

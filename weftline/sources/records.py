@@ -59,7 +59,6 @@ def fasta_to_jsonl(spark: SparkSession, source: str, target: str, upper: bool =
 def position(text: Column) -> Column:
     """Struct ``start, stop`` (zero-based, half-open) of ``45`` or ``45..120``; ``<`` and ``>`` are dropped, an unknown
     (``?``) or foreign (``:``) place gives null."""
-    clean = F.regexp_replace(text, "[<>]", "")
-    a, b = F.regexp_extract(clean, r"^(\d+)(?:\.\.(\d+))?$", 1), F.regexp_extract(clean, r"^(\d+)(?:\.\.(\d+))?$", 2)
-    first = a.try_cast("int")
-    return F.when(first.isNotNull(), F.struct((first - 1).alias("start"), F.coalesce(b.try_cast("int"), first).alias("stop")))
+    clean = F.translate(text, "<>", "")
+    first = F.when(clean.rlike(r"^\d+(?:\.\.\d+)?$"), F.substring_index(clean, "..", 1).try_cast("int"))
+    return F.when(first.isNotNull(), F.struct((first - 1).alias("start"), F.coalesce(F.substring_index(clean, "..", -1).try_cast("int"), first).alias("stop")))

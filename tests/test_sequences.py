@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import registry
 from weftline.functions import sequences as S
 from weftline.operators import intervals, matrix, sampling, scores
 from weftline.sources import fasta
@@ -104,3 +105,9 @@ def test_coding_places_shuffle_no_hits(spark):
     assert {r.tx: r.cds_place for r in got.collect()} == {1: 80, 2: 119}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["p08_amino_ids", "j23_protein_matches"])
+def test_bases_are_computed_once_for_a_scan(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == plan.count("Relation [")

@@ -26,24 +26,32 @@ def contig_chunks(sequences: DataFrame, contig: str, order: str, seq: str, size:
     return t.groupBy(contig, "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["p"]), "").alias(seq))
 
 
+def region_pieces(regions: DataFrame, chunks: DataFrame, keys: list[str], contig: str, start: str, end: str, size: int) -> DataFrame:
+    """``keys, chunk_no, _p, _first, _last``: the bases of [start, end) of each region in each chunk that it reaches, as in ``read_regions``, and whether that is its first
+    or last chunk; every region has a row."""
+    first = F.greatest(F.col(start), F.lit(0)).cast("long")
+    t = regions.select(*dict.fromkeys([*keys, contig]), first.alias("_begin"), F.greatest(first, F.col(end).cast("long")).alias("_stop"))
+    low, high = F.floor(F.col("_begin") / size), F.floor((F.greatest(F.col("_stop"), F.col("_begin") + 1) - 1) / size)
+    t = t.withColumn("chunk_no", F.explode(F.sequence(low, high)))
+    t = t.join(chunks.select(contig, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("seq").alias("_bases")), [contig, "chunk_no"], "left")
+    at = F.greatest(F.col("_begin") - F.col("chunk_no") * size, F.lit(0))
+    piece = F.substring(F.col("_bases"), (at + 1).cast("int"), (F.least(F.col("_stop") - F.col("chunk_no") * size, F.lit(size)) - at).cast("int"))
+    return t.select(*keys, "chunk_no", F.coalesce(piece, F.lit("")).alias("_p"), (F.col("chunk_no") == low).alias("_first"), (F.col("chunk_no") == high).alias("_last"))
+
+
 def read_regions(regions: DataFrame, chunks: DataFrame, keys: list[str], contig: str, start: str, end: str, size: int, out: str = "seq") -> DataFrame:
     """``keys, out``: bases [start, end) of each region, clamped to the contig. ``chunks`` has ``contig, chunk_no, seq`` with
     ``size`` bases in every chunk but a contig's last; ``keys`` name a region. An equi-join on (contig, chunk): a long
     contig or a hot one is spread over its chunks. A region outside all chunks is empty."""
-    first = F.greatest(F.col(start), F.lit(0)).cast("long")
-    t = regions.select(*keys, contig, first.alias("_a"), F.greatest(first, F.col(end).cast("long")).alias("_b"))
-    t = t.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor((F.greatest(F.col("_b"), F.col("_a") + 1) - 1) / size))))
-    t = t.join(chunks.select(contig, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("seq").alias("_s")), [contig, "chunk_no"], "left")
-    at = F.greatest(F.col("_a") - F.col("chunk_no") * size, F.lit(0))
-    piece = F.substring(F.col("_s"), (at + 1).cast("int"), (F.least(F.col("_b") - F.col("chunk_no") * size, F.lit(size)) - at).cast("int"))
-    parts = F.array_sort(F.collect_list(F.struct("chunk_no", F.coalesce(piece, F.lit("")).alias("p"))))
-    return t.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["p"]), "").alias(out))
+    parts = F.sort_array(F.collect_list(F.struct("chunk_no", "_p")))
+    return region_pieces(regions, chunks, keys, contig, start, end, size).groupBy(*keys).agg(F.array_join(parts["_p"], "").alias(out))
 
 
 def spliced(exons: DataFrame, chunks: DataFrame, tx: str, contig: str, start: str, end: str, minus: str, size: int) -> DataFrame:
     """``tx, n_bases, cds``: exons joined in order of their place; reverse complement where ``minus`` holds."""
-    read = read_regions(exons.select(tx, contig, start, end, minus).distinct(), chunks, [tx, start, end, minus], contig, start, end, size, "_x")
-    t = read.groupBy(tx).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, end, "_x"))), lambda e: e["_x"]), "").alias("cds"), F.bool_or(minus).alias("_minus"))
+    read = region_pieces(exons.select(tx, contig, start, end, minus).distinct(), chunks, [tx, contig, start, end, minus], contig, start, end, size)
+    parts = F.sort_array(F.collect_list(F.struct(start, end, contig, minus, "chunk_no", "_p")))
+    t = read.groupBy(tx).agg(F.array_join(parts["_p"], "").alias("cds"), F.bool_or(minus).alias("_minus"))
     t = t.withColumn("cds", F.when(F.col("_minus"), S.reverse_complement(F.col("cds"))).otherwise(F.col("cds")))
     return t.select(tx, F.length("cds").alias("n_bases"), "cds")
 

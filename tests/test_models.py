@@ -323,3 +323,14 @@ def test_spliced_reads_take_one_aggregation(spark):
     assert {r.t: r.cds for r in spliced.collect()} == {1: genome_[3:40] + genome_[50:52], 2: flip(genome_[10:35] + genome_[60:100]), 3: ""}
     for t in (joined, spliced):
         assert t._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+
+
+def test_lookup_sums_places_in_tasks_of_bounded_rows(spark):
+    """Tasks follow the rows, not the session's partitions; places with a null have no entries, and none is listed twice."""
+    entries = spark.createDataFrame([(1, 2, 5.0), (1, 2, 3.0), (2, 2, 7.0), (None, 2, 9.0), (3, 1, None)], "r int, c int, v double")
+    wanted = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (None, 2), (3, 1)], "r int, c int")
+    t = matrix.lookup(wanted, entries, "r", "c", "v", 0.0)
+    assert sorted(map(tuple, t.collect()), key=str) == [(1, 2, 8.0), (2, 3, 0.0), (3, 1, 0.0), (None, 2, 0.0)]
+    many = spark.range(3000).select((F.col("id") % 50).alias("r"), F.col("id").alias("c"), F.lit(1).alias("v"))
+    t = matrix.lookup(many.select("r", "c"), many, "r", "c", "v", 0, task_rows=200)
+    assert t.rdd.getNumPartitions() == 30 and t.agg(F.sum("v"), F.count("*")).first() == (3000, 3000)

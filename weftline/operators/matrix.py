@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions import sequences as S
 from weftline.storage import stored
 
+TASK_ROWS = 1 << 19
+
 
 def shape(coo: DataFrame, row: str, col: str) -> DataFrame:
     """Rows, columns, stored values and sparsity."""
@@ -68,9 +70,15 @@ def dense_rows(coo: DataFrame, row: str, col: str, value: str, width: int) -> Da
     return t.select(row, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))).alias("values"))
 
 
-def lookup(wanted: DataFrame, coo: DataFrame, row: str, col: str, value: str, missing=None) -> DataFrame:
-    """``wanted`` with the stored value of each place, else ``missing``."""
-    return wanted.join(coo.select(row, col, value), [row, col], "left").withColumn(value, F.coalesce(F.col(value), F.lit(missing)))
+def lookup(wanted: DataFrame, entries: DataFrame, row: str, col: str, value: str, missing=None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Each wanted place once, with the sum of the entries stored there, else ``missing``; a place with a null has none. Both tables meet in one aggregation, without
+    a join, and are dealt to as many tasks as leave each about ``task_rows`` of their rows, so a task's memory doesn't grow with the tables or hang on the
+    session's partitions. Rows are counted first, which reads no column of a Parquet table; one place's rows stream through one task."""
+    kept = entries.filter(F.col(row).isNotNull() & F.col(col).isNotNull()).select(row, col, value, F.lit(False).alias("_wanted"))
+    both = kept.unionByName(wanted.select(row, col, F.lit(None).cast(entries.schema[value].dataType).alias(value), F.lit(True).alias("_wanted")))
+    tasks = max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(entries.count() + wanted.count()) // task_rows))
+    t = both.repartition(tasks, row, col).groupBy(row, col).agg(F.sum(value).alias(value), F.max("_wanted").alias("_wanted")).filter("_wanted")
+    return t.select(row, col, F.coalesce(F.col(value), F.lit(missing)).alias(value))
 
 
 def block_bounds(blocks: DataFrame, block: str, rows: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Clusters of similar sequences and products of vectors, against brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -163,3 +164,35 @@ def test_unlike_sequences_of_common_grams_are_not_shuffled_in_pairs(spark, monke
             low, high = sorted((want[a], want[b]))
             want = {i: low if c == high else c for i, c in want.items()}
     assert got == want and len(set(want.values())) < len(rows) - 90
+
+
+def test_edit_distance_within_equals_the_table():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.choice([5, 14, 150])
+        x = "".join(rng.choice("ACGé") for _ in range(rng.randrange(n)))
+        y = "".join(v for v in x if rng.random() < 0.8) if rng.random() < 0.5 else "".join(rng.choice("ACGé") for _ in range(rng.randrange(n)))
+        d = distance(x, y)
+        assert all(clusters.within(x, y, b) == (d <= b) for b in {0, 1, 4, max(d - 1, 0), d, d + 1, d + 30})
+
+
+def test_least_grams_are_those_of_md5():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGTé") for _ in range(n)) for n in (12, 13, 60, 9000)]
+    owner, hashes = clusters.least_grams(texts, 12, 20)
+    for j, q in enumerate(texts):
+        data = q.encode()
+        want = sorted({int(hashlib.md5(data[i : i + 12]).hexdigest()[:16], 16) for i in range(len(q) - 11)})[:20]
+        assert hashes[owner == j].tolist() == want
+
+
+def test_pairs_need_no_rounds(spark, monkeypatch):
+    """Pairs alone equal those of the clusters, and aren't kept waiting by their rounds."""
+    rng = random.Random(10)
+    base = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(6)]
+    rows = [(i, mutant(rng, base[i % 6], 0.9)) for i in range(30)] + [(40, base[0]), (41, base[0]), (42, None), (43, "AC")]
+    t = spark.createDataFrame(rows, "id long, q string")
+    want = {tuple(r) for r in clusters.linear_clusters(t, "id", "q", 8, 20, 70, 90)[1].collect()}
+    monkeypatch.setattr(clusters, "greedy_clusters", None)
+    got = [tuple(r) for r in clusters.linear_pairs(t, "id", "q", 8, 20, 70, 90).collect()]
+    assert set(got) == want and len(got) == len(want) > 20

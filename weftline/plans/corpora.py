@@ -67,14 +67,14 @@ links AS (SELECT a, b FROM pairs UNION ALL SELECT a, b FROM twins)"""
 
 
 def linear(spark, sf_dir):
-    return clusters.linear_clusters(seqs(spark, sf_dir), "doc_id", "seq", 12, 20, 70, 90)
+    return seqs(spark, sf_dir).select("doc_id", "seq"), "doc_id", "seq", 12, 20, 70, 90
 
 
 @query(f"WITH {SEQS}, {PAIRS}, c AS (SELECT doc_id, {ROLL.format(seed=61, key='(doc_id % 40)')} < 0.2::DOUBLE AS held FROM seqs), near AS (SELECT a AS doc_id FROM links JOIN c ON c.doc_id = b WHERE held UNION SELECT b FROM links JOIN c ON c.doc_id = a WHERE held) SELECT doc_id, CASE WHEN held THEN 'held' WHEN doc_id IN (SELECT doc_id FROM near) THEN 'removed' ELSE 'train' END AS split FROM c")
 def r16_held_out_clusters(spark, sf_dir):
     """Clusters held out; training rows whose whole sequence is like a held-out one's are removed."""
     t = seqs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("cluster"))
-    return corpora.held_out(t, "doc_id", "cluster", 0.2, 61, linear(spark, sf_dir)[1]).select("doc_id", "split")
+    return corpora.held_out(t, "doc_id", "cluster", 0.2, 61, clusters.linear_pairs(*linear(spark, sf_dir))).select("doc_id", "split")
 
 
 @query(f"WITH d AS (SELECT DISTINCT c_nationkey, c_mktsegment, c_nationkey // 3 AS tissue, {ROLL.format(seed=5, key='c_nationkey')} < 0.6::DOUBLE AS held FROM customer), m AS (SELECT c_nationkey FROM d WHERE c_mktsegment IN (SELECT c_mktsegment FROM d GROUP BY 1 HAVING bool_and(held)) UNION SELECT c_nationkey FROM d WHERE tissue IN (SELECT tissue FROM d GROUP BY 1 HAVING bool_and(held))) SELECT DISTINCT c_nationkey, CASE WHEN held AND c_nationkey NOT IN (SELECT c_nationkey FROM m) THEN 'held' ELSE 'train' END AS split FROM d")
@@ -156,13 +156,13 @@ def c01_similar_sequences(spark, sf_dir):
 @query(f"WITH {SEQS}, {PAIRS} SELECT a, b FROM links")
 def c01_sequence_pairs(spark, sf_dir):
     """Sequences with the longest that has a 12-mer with them, at 70 % identity and 90 % coverage."""
-    return linear(spark, sf_dir)[1]
+    return clusters.linear_pairs(*linear(spark, sf_dir))
 
 
 @query()
 def c01_linear_clusters(spark, sf_dir):
     """Clusters of sequences around the longest, in linear time."""
-    return linear(spark, sf_dir)[0]
+    return clusters.linear_clusters(*linear(spark, sf_dir))[0]
 
 
 WEIGHTS = {"en": 5.0, "de": -1.5, "fr": 2.25}

@@ -64,6 +64,18 @@ def test_interval_join_of_crowded_points_and_long_spans(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_interval_join_spreads_crowded_spans(spark):
+    """3,000 spans over three points, of which one task would compare all; tasks follow the rows, and no cut loses or repeats a pair."""
+    points = spark.createDataFrame([(i, 0, 100 + 40 * i) for i in range(1000)] + [(2000 + i, 0, 90_001 + i) for i in range(3)], "p int, k int, pos int").coalesce(1)
+    spans = spark.createDataFrame([(i, 0, 90_000, 90_010) for i in range(3000)] + [(5000, 0, 100, 101)], "i int, k int, s int, e int")
+    met = intervals.point_in_interval(points, spans, "k", "pos", "s", "e", task_rows=500)
+    assert met.rdd.getNumPartitions() == 9
+    found = met.select("p", "i", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.p, r.i) for r in found) == sorted([(0, 5000), *((2000 + j, i) for j in range(3) for i in range(3000))])
+    tasks = [r.task for r in found]
+    assert max(map(tasks.count, set(tasks))) < 0.5 * len(tasks)
+
+
 def test_token_batches(spark):
     rows = [("a", i, 2) for i in range(5)] + [("a", 9, 50)]
     got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), ["lane"], "i", "n", 4).collect()

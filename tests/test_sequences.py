@@ -76,6 +76,22 @@ def test_interval_join_spreads_crowded_spans(spark):
     assert max(map(tasks.count, set(tasks))) < 0.5 * len(tasks)
 
 
+def test_interval_join_lists_equal_spans_one_after_another(spark):
+    """300 equal spans meet 200 points, among others: a point's spans come in runs, so a task's rows hold few changes; all pairs are there, with those of rows without other columns."""
+    points = [(i, 0, 1000 + i % 40, None if i % 3 else i) for i in range(200)] + [(900, 0, 5000, 1)]
+    spans = [(i if i % 2 else None, 0, 990, 1050) for i in range(300)] + [(700 + i, 0, 1000 + i, 1030) for i in range(20)]
+    p, x = spark.createDataFrame(points, "p int, k int, pos int, v int").repartition(5), spark.createDataFrame(spans, "i int, k int, s int, e int").repartition(5)
+    met = intervals.point_in_interval(p, x, "k", "pos", "s", "e")
+    assert met.columns == ["k", "i", "s", "e", "p", "pos", "v"]
+    got = [r[:-1] for r in met.withColumn("task", F.spark_partition_id()).collect()]
+    whole = sorted(((k, i, s, e, q, pos, v) for q, k, pos, v in points for i, c, s, e in spans if k == c and s <= pos < e), key=repr)
+    assert sorted(map(tuple, got), key=repr) == whole
+    wide = [r for r in got if (r[2], r[3]) == (990, 1050)]
+    assert sum(a[4] != b[4] for a, b in zip(wide[:-1], wide[1:], strict=True)) < len(wide) / 12
+    bare = intervals.point_in_interval(p.select("k", "pos"), x.select("k", "s", "e"), "k", "pos", "s", "e").collect()
+    assert sorted(map(tuple, bare)) == sorted((k, s, e, pos) for k, _, s, e, _, pos, _ in whole)
+
+
 def test_token_batches(spark):
     rows = [("a", i, 2) for i in range(5)] + [("a", 9, 50)]
     got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), ["lane"], "i", "n", 4).collect()

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,25 @@ def test_interval_join_lists_equal_spans_one_after_another(spark):
     assert sorted(map(tuple, bare)) == sorted((k, s, e, pos) for k, _, s, e, _, pos, _ in whole)
 
 
+@pytest.mark.parametrize("name", ["j03_variant_exon_join", "j04_j05_positions"])
+def test_rows_of_equal_exons_stand_together(spark, tmp_path, name):
+    """200 transcripts whose second exons are equal, at three offsets: neither events nor places change from row to row."""
+    lines = [(o, o % 3 if n == 1 else 2, 7, n, 1.0, 1.0) for o in range(200) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200).selectExpr("id as o_orderkey", "50L as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(8000).selectExpr("id as event_id", "0L as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    rows = [tuple(r) for r in got.collect()]
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders", "events"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.sql(registry.oracle_sql()[name])
+    assert got.columns == want.columns and sorted(rows) == sorted(want.fetchall())
+    for at in {"event_id", "cds_pos", "cds_place"} & set(got.columns):
+        column = [r[got.columns.index(at)] for r in rows]
+        assert sum(a != b for a, b in zip(column[:-1], column[1:], strict=True)) < len(rows) / 8
+
+
 def test_token_batches(spark):
     rows = [("a", i, 2) for i in range(5)] + [("a", 9, 50)]
     got = sampling.token_batches(spark.createDataFrame(rows, "lane string, i int, n int"), ["lane"], "i", "n", 4).collect()

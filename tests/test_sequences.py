@@ -93,7 +93,7 @@ def test_interval_join_lists_equal_spans_one_after_another(spark):
     assert sorted(map(tuple, bare)) == sorted((k, s, e, pos) for k, _, s, e, _, pos, _ in whole)
 
 
-@pytest.mark.parametrize("name", ["j03_variant_exon_join", "j04_j05_positions"])
+@pytest.mark.parametrize("name", ["j03_variant_exon_join", "j04_j05_positions", "j06_coding_places"])
 def test_rows_of_equal_exons_stand_together(spark, tmp_path, name):
     """200 transcripts whose second exons are equal, at three offsets: neither events nor places change from row to row."""
     lines = [(o, o % 3 if n == 1 else 2, 7, n, 1.0, 1.0) for o in range(200) for n in (1, 2)]

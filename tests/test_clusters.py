@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -166,6 +167,46 @@ def test_unlike_sequences_of_common_grams_are_not_shuffled_in_pairs(spark, monke
     assert got == want and len(set(want.values())) < len(rows) - 90
 
 
+def test_sequences_travel_a_bounded_number_of_times(spark, monkeypatch):
+    """60 blocks of like sizes: a text used to travel once for each of them."""
+    monkeypatch.setattr(similar, "SETS", 10)
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice("ACGT") for _ in range(200))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1][draw.randrange(20) :]) for i in range(0, 400, 2)]
+    df = spark.createDataFrame(rows, "i long, q string").repartition(4).cache()
+    df.count()
+    got = {}
+    assert shuffled(spark, lambda: got.update((r.i, r.cluster) for r in corpora.similar_sequences(df, "i", "q", 12, 60).collect())) < 30 * len(rows)
+    assert got == {i: i - 1000 * (i >= 1000) for i, _ in rows}
+
+
+@pytest.mark.parametrize("block, held", [(4096, 1 << 20), (7, 1 << 20), (7, 10)])
+def test_share_links_in_blocks_equal_brute_force(monkeypatch, block, held):
+    """Of a share with itself and of two, in one block and in many, in memory and in a file: the links join what brute force joins, and no others are there."""
+    monkeypatch.setattr(similar, "SETS", block)
+    monkeypatch.setattr(similar, "HELD", held)
+    draw = random.Random(3)
+    base = ["".join(draw.choice("ACGTé") for _ in range(draw.randrange(30, 400))) for _ in range(30)]
+    texts = [base[i % 30][draw.randrange(len(base[i % 30]) // 3) :] if i % 2 else base[i % 30][: -draw.randrange(1, len(base[i % 30]) // 3)] for i in range(150)]
+    sets = [set(x.tolist()) for x in similar.gram_sets(texts, 12)]
+    rows = sorted((len(s), i, zlib.compress(q.encode())) for i, (q, s) in enumerate(zip(texts, sets, strict=True)))
+    linked = {(a, b) for a, b in itertools.combinations(range(150), 2) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+
+    def joined(links):
+        label = list(range(150))
+        for a, b in links:
+            x, y = sorted((label[a], label[b]))
+            label = [x if v == y else v for v in label]
+        return label
+
+    sided = sorted((int(r[1] % 3 > 0), *r) for r in rows)
+    for given, alone in (([(0, *r) for r in rows], True), (sided, False), ([r for r in sided if not r[0]], False)):
+        here = {r[2]: r[0] for r in given}
+        want = {(a, b) for a, b in linked if a in here and b in here and (alone or here[a] != here[b])}
+        got = [tuple(sorted(x)) for x in similar.share_links(iter(given), 12, 60, alone)]
+        assert set(got) <= want and joined(got) == joined(want)
+
+
 def test_edit_distance_within_equals_the_table():
     rng = random.Random(8)
     for _ in range(300):
